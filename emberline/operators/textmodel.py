@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
+from ..session import checkpoint
 from .indexing import rank_within
 
 
@@ -87,6 +88,7 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9) ->
     :func:`rank_within`."""
     if temperature <= 0:
         raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
+    counts = checkpoint(counts.select("ctx", "next_token", "cnt"))  # read three times below
     levels = counts.groupBy("ctx", "cnt").agg(F.count(F.lit(1)).alias("k"))
     w_before = Window.partitionBy("ctx").orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("ctx")

@@ -2,30 +2,57 @@
 returns a DataFrame and ``ORACLE[name]`` is the DuckDB SQL of the same table.
 
 Every query reads the whole tables it names (no id subsets, no row caps);
-limits appear only where first-K is the operator under test."""
+limits appear only where first-K is the operator under test. Queries that
+exercise a sink write to a fresh folder under the shared checkpoint dir and
+read the result back.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import batching as bt
+from ..operators import embed as em
 from ..operators import generate as gen
+from ..operators import metrics as mt
+from ..operators import prompts as pr
+from ..operators import sweep as sw
 from ..operators import textmodel as tm
+from ..operators import training as tr
+from ..session import scratch_path
+from ..sinks import writers as wr
+from ..sources import files as fs
+from ..sources import prompts as src
+from ..streaming import score as st
 from . import oracle as sql
-from .tables import doc_prompts, table
+from .tables import conversation_records, doc_prompts, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-# Generation settings of the headline runs. 200 tokens and
-# top_p 0.9 are the reference configs' values; the joined decoder runs a
-# shorter walk because each step is a join.
+# Job settings of the registered runs. 200 tokens, top_p 0.9,
+# batch sizes 8 and 2 workers are the reference configs' values; 128 tokens
+# per text for the encoder; 128 rows x workers per training step; lr 0.1.
 GREEDY = gen.SamplingParams(temperature=0.0, max_tokens=200)
 JOINED = gen.SamplingParams(temperature=0.0, max_tokens=24)
 WITH_STOP = gen.SamplingParams(temperature=0.0, max_tokens=40, stop=(".",))
 SAMPLED = gen.SamplingParams(temperature=1.0, top_p=0.9, max_tokens=40, n=3)
 BATCH_SIZE = 8
+WORKERS = 2
+MAX_MODEL_LEN = 2048
+FIRST_K = 100
+SMOKE_ROWS = 64
+VAL_PCT = 20
+TRAIN_ROWS = 128
+SWEEP_LRS = (0.05, 0.1, 0.5)
+SWEEP_MOMENTA = (0.0, 0.9)
+FIT_EPOCHS = 10
+SHARDS = 4
 
 
 def query(name: str, oracle: str | None = None):
@@ -37,11 +64,237 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+# ---------------------------------------------------------------- helpers
 def doc_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.fit_next_token(table(spark, sf_dir, "documents").select("text"))
 
 
+def conversation_file(spark: SparkSession, sf_dir: str) -> str:
+    """Conversation turns as a prompt JSONL (``text``/``prompt`` keys, nulls
+    written), shards ordered by turn key."""
+    path = scratch_path(spark, "conv-prompts")
+    wr.write_ordered(conversation_records(spark, sf_dir), "prompt_id", path, SHARDS)
+    return path
+
+
+def conversation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.drop_empty(pr.choose_prompt(conversation_records(spark, sf_dir)))
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+MD5_BUCKET = "CAST(('0x' || substr(md5(CAST({col} AS VARCHAR)), 1, 8)) AS BIGINT) % {n}"
+CONV_REC_SQL = """SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE '' END AS text,
+       CASE WHEN role = 'system' THEN text END AS prompt FROM conversations"""
+CONV_CHOSEN_SQL = f"""SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS prompt_id,
+       coalesce(nullif(text, ''), nullif(prompt, '')) AS prompt FROM ({CONV_REC_SQL})"""
 DOC_PROMPTS_SQL = "SELECT doc_id AS prompt_id, text AS prompt FROM documents"
+CONV_KEY_PROMPTS_SQL = f"""SELECT conv_id * 1000000 + turn AS prompt_id, coalesce(nullif(text, ''), nullif(prompt, ''))
+       AS prompt FROM ({CONV_REC_SQL}) WHERE coalesce(nullif(text, ''), nullif(prompt, '')) IS NOT NULL"""
+SPLIT_SQL = ("SELECT vec_id, embedding, label, CASE WHEN " + MD5_BUCKET.format(col="vec_id", n=100)
+             + f" < {VAL_PCT} THEN 'val' ELSE 'train' END AS split FROM embeddings")
+LONG_X_SQL = f"""x AS (SELECT vec_id, label, split, unnest(embedding)::DOUBLE AS xv,
+       unnest(range(len(embedding))) AS dim FROM ({SPLIT_SQL})),
+kk AS (SELECT max(label) + 1 AS k FROM embeddings),
+classes AS (SELECT range AS cls FROM range((SELECT k FROM kk)))"""
+GRAD_SQL = f"""{LONG_X_SQL},
+g AS (SELECT cls, dim, avg(xv * (1.0 / (SELECT k FROM kk) - CASE WHEN label = cls THEN 1.0 ELSE 0.0 END)) AS grad
+      FROM x, classes WHERE split = 'train' GROUP BY cls, dim)"""
+
+
+# ---------------------------------------------------------------- sources
+@query("prompt_scan", """SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS prompt_id, text AS prompt
+FROM documents WHERE regexp_matches(text, '\\S')""")
+def prompt_scan(spark, sf_dir):
+    """Documents written as JSONL shards, read back as prompts."""
+    path = scratch_path(spark, "doc-prompts")
+    wr.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", path, SHARDS)
+    return src.read_prompts(spark, path)
+
+
+@query("json_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_scan(spark, sf_dir):
+    """Generic JSON scan with an inferred schema (round trip)."""
+    path = scratch_path(spark, "doc-json")
+    wr.write_results(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return fs.read_json(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query("csv_double_parquet", "SELECT event_id, user_id, event_type, value * 2 AS value FROM events")
+def csv_double_parquet(spark, sf_dir):
+    """S3 + P5 + K3: events -> CSV -> read with a schema -> value*2 -> Parquet."""
+    csv_path = scratch_path(spark, "events-csv")
+    pq_path = scratch_path(spark, "events-doubled")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events.write.mode("overwrite").option("header", True).csv(csv_path)
+    back = fs.read_csv(spark, csv_path, schema="event_id long, user_id long, event_type string, value double")
+    wr.write_parquet(back.withColumn("value", F.col("value") * 2), pq_path)
+    return spark.read.parquet(pq_path)
+
+
+@query("prompt_count", f"SELECT count(*) AS n_prompts FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL")
+def prompt_count(spark, sf_dir):
+    """Load guard + count of usable prompts from the conversation JSONL."""
+    prompts = src.require_rows(src.read_prompts(spark, conversation_file(spark, sf_dir)))
+    return src.prompt_count(prompts)
+
+
+# ---------------------------------------------------------------- prompts
+@query("prompt_choose", CONV_CHOSEN_SQL)
+def prompt_choose(spark, sf_dir):
+    """Row-level choice, ``text`` if truthy else ``prompt`` (nulls kept)."""
+    return pr.choose_prompt(src.read_prompt_records(spark, conversation_file(spark, sf_dir)))
+
+
+@query("prompt_column", "SELECT doc_id AS prompt_id, text AS prompt FROM documents")
+def prompt_column(spark, sf_dir):
+    """Column-level choice on a table that has ``text``."""
+    return pr.choose_prompt_column(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), "text"))
+
+
+@query("prompt_filter", f"SELECT * FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL")
+def prompt_filter(spark, sf_dir):
+    """Rows with neither field are dropped."""
+    return src.read_prompts(spark, conversation_file(spark, sf_dir))
+
+
+@query("first_k_valid", f"SELECT * FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL ORDER BY prompt_id LIMIT {FIRST_K}")
+def first_k_valid(spark, sf_dir):
+    """L1: first K usable prompts in file order."""
+    return src.read_prompts(spark, conversation_file(spark, sf_dir), max_prompts=FIRST_K)
+
+
+@query("first_k_raw", f"SELECT * FROM (SELECT * FROM ({CONV_CHOSEN_SQL}) ORDER BY prompt_id LIMIT {FIRST_K}) "
+                      "WHERE prompt IS NOT NULL")
+def first_k_raw(spark, sf_dir):
+    """L2: first K raw records, then the choice and the empty filter."""
+    recs = pr.limit_raw(src.read_prompt_records(spark, conversation_file(spark, sf_dir)), FIRST_K)
+    return pr.drop_empty(pr.choose_prompt(recs))
+
+
+@query("head_per_split", f"""SELECT vec_id, label, split FROM (
+  SELECT *, row_number() OVER (PARTITION BY split ORDER BY vec_id) AS rn FROM ({SPLIT_SQL})) WHERE rn <= {SMOKE_ROWS}""")
+def head_per_split(spark, sf_dir):
+    """L3: first 64 rows of each split (smoke mode)."""
+    emb = tr.split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", VAL_PCT)
+    return pr.head_per_split(emb, SMOKE_ROWS).select("vec_id", "label", "split")
+
+
+# ---------------------------------------------------------------- batching
+DOC_BATCH_SQL = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_idx,
+       CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS BIGINT) AS batch_id FROM documents"""
+
+
+def doc_batches(spark, sf_dir, extra=()):
+    docs = table(spark, sf_dir, "documents").select("doc_id", *extra)
+    return bt.assign_batches(docs, "doc_id", BATCH_SIZE)
+
+
+@query("batch_assign", DOC_BATCH_SQL)
+def batch_assign(spark, sf_dir):
+    """B1: row i -> batch i // 8 without a single-partition window."""
+    return doc_batches(spark, sf_dir).select("doc_id", "row_idx", "batch_id")
+
+
+@query("batch_profile", f"SELECT batch_id, count(*) AS batch_rows FROM ({DOC_BATCH_SQL}) GROUP BY batch_id")
+def batch_profile(spark, sf_dir):
+    """B2: rows per batch."""
+    return bt.batch_profile(doc_batches(spark, sf_dir))
+
+
+WORKER_SQL = f"SELECT doc_id, batch_id, batch_id % {WORKERS} AS worker_id FROM ({DOC_BATCH_SQL})"
+
+
+@query("worker_assign", WORKER_SQL)
+def worker_assign(spark, sf_dir):
+    """Batch i -> worker i % 2."""
+    return bt.assign_workers(doc_batches(spark, sf_dir), WORKERS).select("doc_id", "batch_id", "worker_id")
+
+
+@query("placement_spread", f"""SELECT count(*) AS n_workers, CAST(sum(rows) AS BIGINT) AS total_rows,
+  CAST(sum(batches) AS BIGINT) AS total_batches, max(rows) AS max_rows, min(rows) AS min_rows,
+  round(max(rows) / avg(rows), 6) AS skew
+FROM (SELECT worker_id, count(*) AS rows, count(DISTINCT batch_id) AS batches FROM ({WORKER_SQL}) GROUP BY worker_id)""")
+def placement_spread(spark, sf_dir):
+    """B4 + A4: spread of work over workers."""
+    return bt.placement_report(bt.assign_workers(doc_batches(spark, sf_dir), WORKERS))
+
+
+def _double_value(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = pdf[["event_id", "batch_id"]].copy()
+    out["batch_rows"] = len(pdf)
+    out["value"] = pdf["value"] * 2
+    return out
+
+
+@query("map_batches_double", """WITH b AS (SELECT event_id, value,
+  CAST((row_number() OVER (ORDER BY event_id) - 1) // 32 AS BIGINT) AS batch_id FROM events)
+SELECT event_id, batch_id, count(*) OVER (PARTITION BY batch_id) AS batch_rows, value * 2 AS value FROM b""")
+def map_batches_double(spark, sf_dir):
+    """Vectorised batch map over exact global batches of 32 rows."""
+    ev = bt.assign_batches(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 32)
+    return bt.map_batches(ev.select("event_id", "batch_id", "value"), _double_value,
+                          "event_id long, batch_id long, batch_rows long, value double", 32, batch_col="batch_id")
+
+
+@query("standardise_embeddings", f"""WITH {LONG_X_SQL},
+st AS (SELECT dim, avg(xv) AS mean, stddev_pop(xv) AS std FROM x WHERE split = 'train' GROUP BY dim)
+SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((xv - mean) / std, 6) AS value FROM x JOIN st USING (dim)""")
+def standardise_embeddings(spark, sf_dir):
+    """Per-dimension (x - mean) / std, constants from the train split."""
+    emb = tr.split(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", VAL_PCT)
+    mean, std = tr.fit_standardiser(emb.filter(F.col("split") == "train"))
+    out = tr.standardise(emb, mean, std)
+    return em.explode_vectors(out, "vec_id", "features").select("vec_id", "dim", r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- text model
+@query("next_token_counts", f"WITH {sql.model_ctes()} SELECT ctx, next_token, cnt FROM counts")
+def next_token_counts(spark, sf_dir):
+    """Token-pair counts over all documents."""
+    return doc_model(spark, sf_dir)
+
+
+@query("next_token_argmax", f"WITH {sql.model_ctes()} SELECT ctx, next_token, cnt FROM am")
+def next_token_argmax(spark, sf_dir):
+    """Greedy successor per context (count desc, token asc)."""
+    return tm.argmax_model(doc_model(spark, sf_dir))
+
+
+TOKEN_LEN_SQL = f"""WITH b AS (SELECT doc_id, len({sql.tokens_sql('text')}) AS n_tokens,
+  CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS BIGINT) AS batch_id FROM documents)
+SELECT doc_id, n_tokens, batch_id, max(n_tokens) OVER (PARTITION BY batch_id) AS padded_len FROM b"""
+
+
+@query("token_lengths", TOKEN_LEN_SQL)
+def token_lengths(spark, sf_dir):
+    """Token count per text and padded length per batch."""
+    b = tm.tokenise(doc_batches(spark, sf_dir, extra=("text",)))
+    return tm.token_lengths(b).select("doc_id", "n_tokens", "batch_id", "padded_len")
+
+
+@query("context_window", f"""WITH t AS (SELECT doc_id, {sql.tokens_sql('text')} AS tk FROM documents)
+SELECT doc_id, len(tk) AS n_tokens, len(tk[greatest(len(tk) - {MAX_MODEL_LEN} + 1, 1):]) AS window_len,
+  len(tk) > {MAX_MODEL_LEN} AS over_limit, md5(array_to_string(tk[greatest(len(tk) - {MAX_MODEL_LEN} + 1, 1):], ' '))
+  AS window_md5 FROM t""")
+def context_window(spark, sf_dir):
+    """I4: last 2048 tokens per prompt, over-long prompts flagged."""
+    t = tm.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    w = tm.fit_window(t, MAX_MODEL_LEN)
+    return w.select("doc_id", "n_tokens", F.size("window").cast("long").alias("window_len"), "over_limit",
+                    F.md5(F.concat_ws(" ", "window")).alias("window_md5"))
+
+
+@query("nucleus_candidates", f"""WITH {sql.model_ctes()},
+c AS (SELECT *, coalesce(sum(cnt) OVER (PARTITION BY ctx ORDER BY cnt DESC, next_token
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(cnt) OVER (PARTITION BY ctx) AS total FROM counts)
+SELECT ctx, next_token, cnt FROM c WHERE 10 * before < 9 * total""")
+def nucleus_candidates(spark, sf_dir):
+    """Top-p 0.9 candidates at temperature 1 (exact integer test)."""
+    return tm.nucleus(doc_model(spark, sf_dir), 1.0, 0.9).select("ctx", "next_token", "cnt")
 
 
 @query("generate_greedy", sql.greedy_sql(DOC_PROMPTS_SQL, GREEDY.max_tokens))
@@ -50,3 +303,331 @@ def generate_greedy(spark, sf_dir):
     model = tm.argmax_model(doc_model(spark, sf_dir))
     predictor = gen.NextTokenPredictor(spark, model, GREEDY)
     return gen.long_form(gen.generate(doc_prompts(spark, sf_dir), predictor, BATCH_SIZE))
+
+
+@query("generate_n", sql.sampled_sql(DOC_PROMPTS_SQL, SAMPLED.max_tokens, SAMPLED.n))
+def generate_n(spark, sf_dir):
+    """I6 + I7: n = 3 nucleus samples per prompt (T = 1, top_p = 0.9); draws
+    from md5(prompt_id:sample:step)."""
+    model = tm.nucleus(doc_model(spark, sf_dir), SAMPLED.temperature, SAMPLED.top_p)
+    predictor = gen.NextTokenPredictor(spark, model, SAMPLED)
+    return gen.long_form(gen.generate(doc_prompts(spark, sf_dir), predictor, BATCH_SIZE))
+
+
+@query("finish_reasons", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
+def finish_reasons(spark, sf_dir):
+    """I8: stop string '.', 40-token cap: both finish reasons occur."""
+    model = tm.argmax_model(doc_model(spark, sf_dir))
+    predictor = gen.NextTokenPredictor(spark, model, WITH_STOP)
+    return gen.long_form(gen.generate(doc_prompts(spark, sf_dir), predictor, BATCH_SIZE))
+
+
+@query("detokenise_roundtrip", f"""WITH t AS (SELECT doc_id, {sql.tokens_sql('text')} AS tk FROM documents)
+SELECT doc_id, len(tk) AS n_tokens, md5(array_to_string(list_filter(tk, lambda x: x <> '</s>'), ' ')) AS detok_md5 FROM t""")
+def detokenise_roundtrip(spark, sf_dir):
+    """Tokens back to text (end marker dropped)."""
+    t = tm.detokenise_text(tm.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return t.select("doc_id", "n_tokens", F.md5("detok").alias("detok_md5"))
+
+
+@query("generate_joined", sql.greedy_sql(DOC_PROMPTS_SQL, JOINED.max_tokens))
+def generate_joined(spark, sf_dir):
+    """Greedy decoding by per-step joins (model not broadcast)."""
+    model = tm.argmax_model(doc_model(spark, sf_dir))
+    return gen.generate_joined(doc_prompts(spark, sf_dir), model, JOINED)
+
+
+# ---------------------------------------------------------------- embedding
+@query("truncate_tokens", f"""WITH t AS (SELECT doc_id, {sql.tokens_sql('text')} AS tk FROM documents)
+SELECT doc_id, len(tk[1:{em.MAX_TOKENS}]) AS n_kept, len(tk) > {em.MAX_TOKENS} AS truncated,
+  md5(array_to_string(tk[1:{em.MAX_TOKENS}], ' ')) AS kept_md5 FROM t""")
+def truncate_tokens(spark, sf_dir):
+    """First 128 tokens per text."""
+    t = em.truncate_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return t.select("doc_id", F.size("tokens").cast("long").alias("n_kept"), "truncated",
+                    F.md5(F.concat_ws(" ", "tokens")).alias("kept_md5"))
+
+
+EMBED_SQL = f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, embedding FROM embeddings),
+nv AS (SELECT count(*) AS n FROM embeddings),
+t AS (SELECT doc_id, unnest({sql.tokens_sql('text')}[1:{em.MAX_TOKENS}]) AS tok FROM documents),
+s AS (SELECT doc_id, {MD5_BUCKET.format(col='tok', n='(SELECT n FROM nv)')} AS slot FROM t),
+x AS (SELECT doc_id, unnest(embedding)::DOUBLE AS xv, unnest(range(len(embedding))) AS dim FROM s JOIN v USING (slot))
+SELECT doc_id, CAST(dim AS BIGINT) AS dim, round(avg(xv), 6) AS value FROM x GROUP BY doc_id, dim"""
+
+
+def _vectors(spark, sf_dir):
+    vecs = em.vector_slots(table(spark, sf_dir, "embeddings"))
+    n = vecs.count()
+    return vecs, n
+
+
+@query("embed_mean_pool", EMBED_SQL)
+def embed_mean_pool(spark, sf_dir):
+    """Masked mean of the first 128 token vectors per document."""
+    vecs, n = _vectors(spark, sf_dir)
+    out = em.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), vecs, n)
+    return out.select("doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
+def _encoded(spark, sf_dir, keep=()):
+    vecs, _ = _vectors(spark, sf_dir)
+    encoder = em.MeanPoolEncoder(spark, vecs)
+    docs = doc_batches(spark, sf_dir, extra=("text", "n_chars")) if keep else \
+        table(spark, sf_dir, "documents").select("doc_id", "text")
+    return em.encode(docs, encoder, keep=keep, batch_size=BATCH_SIZE)
+
+
+@query("encode_predictor", EMBED_SQL)
+def encode_predictor(spark, sf_dir):
+    """The same pooling through the predictor harness (NumPy per batch)."""
+    out = em.explode_vectors(_encoded(spark, sf_dir).filter(F.size("embedding") > 0))
+    return out.filter(~F.isnan("value")).select("doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
+BATCH_STATS_SQL = f"""WITH b AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS batch_id
+  FROM documents),
+per AS (SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS num_texts,
+  (SELECT CAST(max(len(embedding)) AS BIGINT) FROM embeddings) AS embedding_dim, sum(n_chars / 1e6) AS t
+  FROM b GROUP BY batch_id)"""
+
+
+def _batch_stats(spark, sf_dir):
+    enc = _encoded(spark, sf_dir, keep=("batch_id", "n_chars"))
+    return em.batch_stats(enc.withColumn("inference_time", F.col("n_chars") / F.lit(1e6)))
+
+
+@query("batch_stats", BATCH_STATS_SQL + """
+SELECT batch_id, num_texts, embedding_dim, round(t, 6) AS inference_time,
+  round(CASE WHEN t > 0 THEN num_texts / t END, 6) AS throughput FROM per""")
+def batch_stats(spark, sf_dir):
+    """Texts, dimension, time (sum(n_chars)/1e6, fixed) and throughput per batch."""
+    s = _batch_stats(spark, sf_dir)
+    return s.select("batch_id", "num_texts", "embedding_dim", r6(F.col("inference_time")).alias("inference_time"),
+                    r6(F.col("throughput")).alias("throughput"))
+
+
+@query("run_totals", BATCH_STATS_SQL + """
+SELECT CAST(sum(num_texts) AS BIGINT) AS total_texts, count(*) AS num_batches, round(sum(t), 6) AS total_time,
+  round(sum(num_texts) / sum(t), 6) AS overall_throughput,
+  round(avg(CASE WHEN t > 0 THEN num_texts / t END), 6) AS avg_batch_throughput FROM per""")
+def run_totals(spark, sf_dir):
+    """A1 + A2: overall throughput and the unweighted mean batch throughput."""
+    t = mt.run_totals(_batch_stats(spark, sf_dir))
+    return t.select("total_texts", "num_batches", r6(F.col("total_time")).alias("total_time"),
+                    r6(F.col("overall_throughput")).alias("overall_throughput"),
+                    r6(F.col("avg_batch_throughput")).alias("avg_batch_throughput"))
+
+
+@query("outcome_rollup", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop, final="""
+SELECT finish_reason, count(*) AS completions, CAST(sum(num_tokens) AS BIGINT) AS total_tokens,
+  CAST(max(num_tokens) AS BIGINT) AS max_tokens FROM gen GROUP BY finish_reason"""))
+def outcome_rollup(spark, sf_dir):
+    """A3: completions and tokens per finish reason."""
+    return mt.outcome_rollup(finish_reasons(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- training
+def _split_embeddings(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    emb = emb.withColumn("features", F.transform("embedding", lambda v: v.cast("double")))
+    return tr.split(emb, "vec_id", VAL_PCT)
+
+
+@query("train_val_split", f"SELECT vec_id, label, split FROM ({SPLIT_SQL})")
+def train_val_split(spark, sf_dir):
+    """Fixed train / validation membership from md5(vec_id)."""
+    return _split_embeddings(spark, sf_dir).select("vec_id", "label", "split")
+
+
+@query("train_batches", f"""SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_idx,
+  CAST((row_number() OVER (ORDER BY vec_id) - 1) // {TRAIN_ROWS * WORKERS} AS BIGINT) AS step_id
+FROM ({SPLIT_SQL}) WHERE split = 'train'""")
+def train_batches(spark, sf_dir):
+    """Global mini-batches of 128 x 2 rows -> step_id."""
+    train = _split_embeddings(spark, sf_dir).filter(F.col("split") == "train").select("vec_id")
+    return tr.train_batches(train, "vec_id", TRAIN_ROWS, WORKERS).select("vec_id", "row_idx", "step_id")
+
+
+@query("loss_at_zero", "SELECT round(ln(max(label) + 1), 6) AS loss, count(*) AS n_rows FROM embeddings")
+def loss_at_zero(spark, sf_dir):
+    """Cross-entropy of the zero model = ln(K) over all rows."""
+    df = _split_embeddings(spark, sf_dir)
+    k = tr.num_classes(df)
+    d = tr.feature_dim(df)
+    res = tr.pass_stats(df, tr.np.zeros((1, k, d)), split_col=None)
+    loss = res["loss"][(0, "train")]
+    # the pass result is two numbers on the driver; shown next to the row count
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(round(loss, 6)).alias("loss"), "n_rows")
+
+
+@query("gradient_at_zero", f"WITH {GRAD_SQL} SELECT CAST(cls AS BIGINT) AS class, CAST(dim AS BIGINT) AS dim, "
+                           "round(grad, 6) AS grad FROM g")
+def gradient_at_zero(spark, sf_dir):
+    """T4: data-parallel mean gradient at W = 0 over train rows."""
+    df = _split_embeddings(spark, sf_dir)
+    k, d = tr.num_classes(df), tr.feature_dim(df)
+    g = tr.gradient(df, tr.np.zeros((k, d)))
+    return tr.weights_frame(spark, g).select("class", "dim", r6(F.col("weight")).alias("grad"))
+
+
+@query("fit_one_step", f"WITH {GRAD_SQL} SELECT CAST(cls AS BIGINT) AS class, CAST(dim AS BIGINT) AS dim, "
+                       "round(-0.1 * grad, 6) AS weight FROM g")
+def fit_one_step(spark, sf_dir):
+    """Smoke mode, one step (lr 0.1, momentum 0.9 from zero)."""
+    df = _split_embeddings(spark, sf_dir)
+    w, _ = tr.fit_softmax(df, epochs=1, max_steps=1)
+    return tr.weights_frame(spark, w).select("class", "dim", r6(F.col("weight")).alias("weight"))
+
+
+ONE_STEP_SCORES_SQL = f"""{GRAD_SQL},
+sc AS (SELECT x.vec_id, x.label, x.split, g.cls, sum(x.xv * (-1.0 * g.grad)) AS s FROM x JOIN g USING (dim)
+       GROUP BY x.vec_id, x.label, x.split, g.cls)"""
+
+
+@query("eval_accuracy", f"""WITH {ONE_STEP_SCORES_SQL},
+pred AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cls) AS r FROM sc) WHERE r = 1)
+SELECT split, count(*) AS n, round(avg(CASE WHEN cls = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM pred GROUP BY split""")
+def eval_accuracy(spark, sf_dir):
+    """Accuracy per split of the one-step model (predictions in the JVM)."""
+    df = _split_embeddings(spark, sf_dir)
+    w, _ = tr.fit_softmax(df, epochs=1, max_steps=1)
+    return tr.evaluate(tr.predict(df, w))
+
+
+@query("fit_softmax")
+def fit_softmax(spark, sf_dir):
+    """T5: 10 epochs of momentum SGD; final weights in long form."""
+    df = _split_embeddings(spark, sf_dir)
+    w, _ = tr.fit_softmax(df, epochs=FIT_EPOCHS)
+    return tr.weights_frame(spark, w)
+
+
+@query("fit_history")
+def fit_history(spark, sf_dir):
+    """T6 + T8: per-epoch lr, loss and accuracy."""
+    df = _split_embeddings(spark, sf_dir)
+    _, hist = tr.fit_softmax(df, epochs=FIT_EPOCHS)
+    return tr.history_frame(spark, hist)
+
+
+# ---------------------------------------------------------------- sweep
+TRIALS = sw.grid(lr=list(SWEEP_LRS), momentum=list(SWEEP_MOMENTA))
+TRIALS_SQL = "(VALUES " + ", ".join(f"({t['trial_id']}, {t['lr']}, {t['momentum']})" for t in TRIALS) + \
+    ") AS tv(trial_id, lr, momentum)"
+SWEEP_SQL = f"""WITH {ONE_STEP_SCORES_SQL},
+tr AS (SELECT * FROM {TRIALS_SQL}),
+ts AS (SELECT tr.trial_id, tr.lr, tr.momentum, sc.vec_id, sc.label, sc.cls, tr.lr * sc.s AS s
+       FROM sc, tr WHERE sc.split = 'val'),
+per AS (SELECT trial_id, lr, momentum, vec_id, ln(sum(exp(s))) - max(CASE WHEN cls = label THEN s END) AS loss,
+        arg_max(cls, s) AS pred, max(label) AS label FROM ts GROUP BY trial_id, lr, momentum, vec_id),
+res AS (SELECT CAST(trial_id AS BIGINT) AS trial_id, CAST(lr AS DOUBLE) AS lr, CAST(momentum AS DOUBLE) AS momentum,
+        CAST(1 AS BIGINT) AS epochs, round(avg(loss), 6) AS loss,
+        round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+        FROM per GROUP BY trial_id, lr, momentum)"""
+
+
+def _sweep(spark, sf_dir):
+    df = _split_embeddings(spark, sf_dir)
+    res = sw.sweep(df, TRIALS, epochs=1)
+    return res.select("trial_id", "lr", "momentum", "epochs", r6(F.col("loss")).alias("loss"),
+                      r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("sweep_step", SWEEP_SQL + " SELECT * FROM res")
+def sweep_step(spark, sf_dir):
+    """H1 + H2: six trials (lr x momentum) trained together, one step;
+    validation loss and accuracy per trial."""
+    return _sweep(spark, sf_dir)
+
+
+@query("best_trial", SWEEP_SQL + " SELECT * FROM res WHERE NOT isnan(loss) ORDER BY loss, trial_id LIMIT 1")
+def best_trial(spark, sf_dir):
+    """H3: best trial by (loss, min); ties to the lowest trial id."""
+    return sw.best_trial(_sweep(spark, sf_dir), "loss", "min")
+
+
+# ---------------------------------------------------------------- sinks
+@query("jsonl_sink", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
+def jsonl_sink(spark, sf_dir):
+    """K1: results written as sharded JSONL and read back."""
+    model = tm.argmax_model(doc_model(spark, sf_dir))
+    res = gen.generate(doc_prompts(spark, sf_dir), gen.NextTokenPredictor(spark, model, WITH_STOP), BATCH_SIZE)
+    path = scratch_path(spark, "results-jsonl")
+    wr.write_results(res, path)
+    back = spark.read.schema(gen.RESULT_SCHEMA).json(path)
+    return gen.long_form(back)
+
+
+@query("ordered_export", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS file_pos FROM documents")
+def ordered_export(spark, sf_dir):
+    """K2: range-partitioned, sorted shards; read in file-name order they are
+    globally ordered."""
+    path = scratch_path(spark, "ordered")
+    wr.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", path, SHARDS)
+    lines = src.read_lines(spark, path)
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"),
+                        F.col("line_no").alias("file_pos"))
+
+
+@query("run_partition", """SELECT 'job-7' AS run_id, event_type, count(*) AS n, round(sum(value * 2), 6) AS total FROM events
+GROUP BY event_type UNION ALL
+SELECT 'local' AS run_id, event_type, count(*) AS n, round(sum(value * 3), 6) AS total FROM events GROUP BY event_type""")
+def run_partition(spark, sf_dir):
+    """K4: run-keyed output; rerunning 'local' replaces only its own folder."""
+    path = scratch_path(spark, "runs")
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    wr.write_results(ev.withColumn("value", F.col("value") * 1), path, run_id=wr.LOCAL_RUN)
+    wr.write_results(ev.withColumn("value", F.col("value") * 2), path, run_id="job-7")
+    wr.write_results(ev.withColumn("value", F.col("value") * 3), path, run_id=wr.LOCAL_RUN)
+    back = spark.read.schema("event_id long, event_type string, value double, run_id string").json(path)
+    return back.groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query("run_record", BATCH_STATS_SQL + f"""
+SELECT 'mean-pool-md5' AS model, CAST({WORKERS} AS BIGINT) AS num_actors, count(*) AS num_batches,
+  CAST({BATCH_SIZE} AS BIGINT) AS batch_size, CAST(sum(num_texts) AS BIGINT) AS total_texts,
+  round(sum(t), 6) AS total_time, round(sum(num_texts) / sum(t), 6) AS overall_throughput,
+  round(avg(CASE WHEN t > 0 THEN num_texts / t END), 6) AS avg_batch_throughput,
+  max(embedding_dim) AS embedding_dim, CAST(count(*) FILTER (WHERE batch_id < 1000) AS BIGINT) AS n_batch_rows FROM per""")
+def run_record(spark, sf_dir):
+    """K5: run report written (config, report, full batch table) and read back."""
+    stats = _batch_stats(spark, sf_dir)
+    rec = mt.run_record(stats, "mean-pool-md5", {"batch_size": BATCH_SIZE, "max_tokens": em.MAX_TOKENS},
+                        BATCH_SIZE, WORKERS)
+    path = scratch_path(spark, "run")
+    wr.write_run(rec, stats, path, config={"batch_size": BATCH_SIZE, "workers": WORKERS})
+    back = spark.read.json(os.path.join(path, "report"))
+    return back.select("model", F.col("num_actors").cast("long"), F.col("num_batches").cast("long"),
+                       F.col("batch_size").cast("long"), F.col("total_texts").cast("long"),
+                       r6(F.col("total_time")).alias("total_time"),
+                       r6(F.col("overall_throughput")).alias("overall_throughput"),
+                       r6(F.col("avg_batch_throughput")).alias("avg_batch_throughput"),
+                       F.col("embedding_dim").cast("long"),
+                       F.size("batch_results").cast("long").alias("n_batch_rows"))
+
+
+# ---------------------------------------------------------------- streaming
+def _stream(spark, sf_dir, max_files):
+    prompts = conversation_prompts(spark, sf_dir)
+    in_dir = scratch_path(spark, "stream-in")
+    out_dir = scratch_path(spark, "stream-out")
+    wr.write_ordered(prompts, "prompt_id", in_dir, 3)
+    model = tm.argmax_model(doc_model(spark, sf_dir))
+    predictor = gen.NextTokenPredictor(spark, model, WITH_STOP)
+    st.score_stream(spark, in_dir, out_dir, predictor, BATCH_SIZE, max_files=max_files)
+    return gen.long_form(st.read_scored(spark, out_dir))
+
+
+@query("stream_score", sql.greedy_sql(CONV_KEY_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
+def stream_score(spark, sf_dir):
+    """V1: prompts scored by a Structured Streaming query (available-now)."""
+    return _stream(spark, sf_dir, None)
+
+
+@query("stream_bounded", sql.greedy_sql(CONV_KEY_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
+def stream_bounded(spark, sf_dir):
+    """V2: the same stream with at most one file per micro-batch."""
+    return _stream(spark, sf_dir, 1)
+

@@ -69,3 +69,41 @@ gen AS (
     FROM cut)
 {select_final}
 """
+
+
+def sampled_sql(prompts_sql: str, max_tokens: int, n: int, top_num: int = 9, top_den: int = 10) -> str:
+    """Nucleus sampling at T = 1 as a recursive CTE: candidates kept while
+    ``den * before < num * total``; the draw ``u = md5(prompt_id:sample:step)``
+    picks the candidate whose cumulative interval holds ``u * mass``."""
+    u = ("(CAST(('0x' || substr(md5(CAST(w.prompt_id AS VARCHAR) || ':' || CAST(w.sample AS VARCHAR) || ':' "
+         "|| CAST(w.step + 1 AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)")
+    return f"""
+WITH RECURSIVE {model_ctes()},
+nuc AS MATERIALIZED (
+    SELECT ctx, next_token, cnt,
+           coalesce(sum(cnt) OVER (PARTITION BY ctx ORDER BY cnt DESC, next_token
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+           sum(cnt) OVER (PARTITION BY ctx) AS total
+    FROM counts),
+cand AS MATERIALIZED (
+    SELECT ctx, next_token, CAST(before AS DOUBLE) AS lo, CAST(before + cnt AS DOUBLE) AS hi,
+           CAST(sum(cnt) OVER (PARTITION BY ctx) AS DOUBLE) AS mass
+    FROM nuc WHERE {top_den} * before < {top_num} * total),
+prompts AS ({prompts_sql}),
+starts AS (SELECT prompt_id, {tokens_sql('prompt')}[-1] AS tok FROM prompts),
+walk AS (
+    SELECT prompt_id, CAST(r.s AS BIGINT) AS sample, 0 AS step, tok FROM starts, range({n}) AS r(s)
+    UNION ALL
+    SELECT w.prompt_id, w.sample, w.step + 1, c.next_token
+    FROM walk w JOIN cand c ON c.ctx = w.tok
+    WHERE w.step < {max_tokens} AND c.lo <= {u} * c.mass AND {u} * c.mass < c.hi
+),
+agg AS (
+    SELECT prompt_id, sample, max(step) AS step,
+           coalesce(string_agg(tok, ' ' ORDER BY step) FILTER (WHERE step > 0), '') AS txt
+    FROM walk GROUP BY prompt_id, sample)
+SELECT prompt_id, sample, txt AS generated_text,
+       CASE WHEN step >= {max_tokens} THEN 'length' ELSE 'stop' END AS finish_reason,
+       CAST(step AS BIGINT) AS num_tokens
+FROM agg
+"""

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +74,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared dir) that cuts lineage."""
+    """Reliable checkpoint (written to the shared dir) that cuts lineage.
+
+    The frame is persisted for the duration of the write, so the eager count
+    and the checkpoint write share one computation instead of two."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -87,6 +95,16 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def collect_bounded(df: DataFrame, max_rows: int, what: str = "table"):
+    """Arrow table of ``df`` when it has at most ``max_rows`` rows (one pass:
+    ``limit(max_rows + 1)``), else ``ValueError``. For model tables that are
+    broadcast to Python workers."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        raise ValueError(f"{what} has more than {max_rows} rows")
+    return table
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
     """Join ``small`` into ``big``: broadcast when its row count is proven to be
     under ``max_rows``, otherwise a shuffle join (AQE may still re-plan or
