@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from .indexing import rank_within
 
 
@@ -46,10 +46,10 @@ def token_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(ctx, next_token) for every adjacent token pair of every text. Pairs
     are built inside each row (``arrays_zip`` of two slices): no window, no
     shuffle before the count."""
-    t = tokens(text_col)
-    n = F.size(t)
-    zipped = F.arrays_zip(F.slice(t, 1, n - 1).alias("ctx"), F.slice(t, 2, n - 1).alias("next_token"))
-    return (df.select(F.explode(F.when(n > 1, zipped)).alias("p"))
+    t = spread(df.select(text_col)).select(tokens(text_col).alias("_t"))
+    n = F.size("_t")
+    zipped = F.arrays_zip(F.slice("_t", 1, n - 1).alias("ctx"), F.slice("_t", 2, n - 1).alias("next_token"))
+    return (t.select(F.explode(F.when(n > 1, zipped)).alias("p"))
               .select(F.col("p.ctx").alias("ctx"), F.col("p.next_token").alias("next_token")))
 
 

@@ -90,6 +90,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_tasks`` partitions (default: the
+    cluster's parallelism) when its scan yields fewer, before a CPU-heavy step
+    (tokenising, Python predictors). Large inputs already have many more file
+    splits than cores, so this is a no-op there and costs no shuffle."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    want = min_tasks or spark.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. remote sessions): leave as is
+        return df
+    return df.repartition(want) if have < want else df
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has no more than ``max_rows`` rows; stops early."""
     return df.limit(max_rows + 1).count() <= max_rows
