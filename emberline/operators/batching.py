@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .indexing import dense_index
 
 
@@ -121,6 +122,7 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     are range-partitioned by the batch id, so a batch never straddles two
     tasks. Select and filter *before* calling this: the Python step is a
     barrier to column pruning and filter push-down."""
+    prepare(df.sparkSession)
     if batch_col is None:
         return df.mapInPandas(_rebatch_by_count(fn, batch_size), schema)
     n = num_partitions or df.sparkSession.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import collect_bounded, join_small
+from ..session import collect_bounded, join_small, prepare, spread
 from .batching import _rebatch_by_count
 from .generate import cached_state
 from .indexing import dense_index
@@ -47,30 +47,32 @@ def token_slots(df: DataFrame, n_vectors: int, id_col: str, text_col: str = "tex
     return df.select(id_col, F.transform(t, lambda x: md5_bucket(n_vectors, x)).alias("slots"))
 
 
+def long_vectors(vectors: DataFrame) -> DataFrame:
+    """Vector table in long form ``(slot, dim, x double)``."""
+    return (vectors.select("slot", F.posexplode("embedding").alias("dim", "x"))
+            .select("slot", F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x")))
+
+
 def embed(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_id", text_col: str = "text",
-          max_len: int = MAX_TOKENS, pad_to: str | None = None) -> DataFrame:
+          max_len: int = MAX_TOKENS, pad_to: str | None = None, max_broadcast_rows: int = 4_000_000) -> DataFrame:
     """Mean-pooled vector per text, long form ``(id, dim, value)``.
 
-    Token rows meet the vector table in a join that is broadcast when the
-    table is proven small; each text then sums at most ``max_len`` vectors
-    (``aggregate`` + ``zip_with``), a group bounded by the truncation."""
-    slots = token_slots(df.select(id_col, text_col, *([pad_to] if pad_to else [])), n_vectors, id_col, text_col,
-                        max_len)
-    if pad_to:
-        slots = slots.join(df.select(id_col, pad_to), id_col)
-    rows = slots.select(id_col, *([pad_to] if pad_to else []), F.explode("slots").alias("slot"))
-    hit = join_small(rows, vectors.select("slot", "embedding"), "slot")
-    dims = F.size(F.first("embedding"))
-    summed = hit.groupBy(id_col).agg(
-        F.aggregate(F.collect_list(F.transform("embedding", lambda v: v.cast("double"))),
-                    F.array_repeat(F.lit(0.0), dims),
-                    lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("s"),
-        F.count(F.lit(1)).alias("n"),
-        *([F.first(pad_to).alias("_pad")] if pad_to else []),
-    )
-    divisor = F.col("_pad") if pad_to else F.col("n")
-    return summed.select(id_col, F.posexplode("s").alias("dim", "x"), divisor.alias("_d")).select(
-        id_col, F.col("dim").cast("long").alias("dim"), (F.col("x") / F.col("_d")).alias("value"))
+    All steps are code-generated relational operators: tokens are exploded
+    (at most ``max_len`` per text) and counted per (text, slot) with a
+    map-side partial count; the counts meet the long vector table in a join
+    that is broadcast only when that table is proven small; a second
+    aggregate sums ``x * count`` per (text, dim). No group is larger than
+    ``max_len`` slots times the dimension."""
+    keys = [id_col] + ([pad_to] if pad_to else [])
+    toks = spread(df.select(*keys, text_col)).select(
+        *keys, F.explode(F.slice(tokens(text_col), 1, max_len)).alias("tok"))
+    per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("tok")).alias("slot")).agg(
+        F.count(F.lit(1)).alias("c"))
+    hit = join_small(per_slot, long_vectors(vectors), "slot", max_rows=max_broadcast_rows)
+    pooled = hit.groupBy(*keys, "dim").agg(F.sum(F.col("x") * F.col("c")).alias("s"),
+                                           F.sum("c").alias("n"))
+    divisor = F.col(pad_to) if pad_to else F.col("n")
+    return pooled.select(id_col, "dim", (F.col("s") / divisor).alias("value"))
 
 
 def as_vectors(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -113,8 +115,10 @@ def encode(df: DataFrame, encoder: MeanPoolEncoder, id_col: str = "doc_id", text
            keep: tuple[str, ...] = (), batch_size: int = 8, max_len: int = MAX_TOKENS) -> DataFrame:
     """``(id, *keep, embedding array<double>)`` through the predictor
     harness (exact batches, model once per worker)."""
+    prepare(df.sparkSession)
     t = F.slice(tokens(text_col), 1, max_len)
-    staged = df.select(id_col, *keep, F.transform(t, lambda x: md5_bucket(encoder.n_vectors, x)).alias("slots"))
+    staged = spread(df.select(id_col, *keep, text_col)).select(
+        id_col, *keep, F.transform(t, lambda x: md5_bucket(encoder.n_vectors, x)).alias("slots"))
     fields = [f for f in staged.schema.fields if f.name != "slots"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", embedding array<double>"
 

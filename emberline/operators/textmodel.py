@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
-from ..session import checkpoint, spread
+from ..session import spread
 from .indexing import rank_within
 
 
@@ -75,7 +76,8 @@ def argmax_model(counts: DataFrame) -> DataFrame:
     return best.select("ctx", F.col("b.next_token").alias("next_token"), (-F.col("b.neg")).alias("cnt"))
 
 
-def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9) -> DataFrame:
+def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
+            max_window_group: int = 100_000) -> DataFrame:
     """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
     *before* them (in count desc, token asc order) is below ``top_p``; weight =
     cnt^(1/T). At T = 1 the test is done in exact integers.
@@ -83,12 +85,14 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9) ->
     Work is split by count level: within a context all tokens with the same
     count have the same weight, so the running mass is a window over the
     (ctx, cnt) level table (at most ~sqrt(2 * total) levels per context).
-    Whole levels are kept or dropped without ranking; only the one level per
-    context that straddles the cut needs ranks by token, from the skew-safe
-    :func:`rank_within`."""
+    Whole levels are kept or dropped without ranking. Only the one level per
+    context that straddles the cut needs ranks by token: levels of at most
+    ``max_window_group`` tokens rank in a window (a bounded group); larger
+    ones, the hot groups, go through the skew-safe :func:`rank_within`, which
+    spreads one group over many tasks."""
     if temperature <= 0:
         raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
-    counts = checkpoint(counts.select("ctx", "next_token", "cnt"))  # read three times below
+    counts = counts.select("ctx", "next_token", "cnt").persist(StorageLevel.MEMORY_AND_DISK)
     levels = counts.groupBy("ctx", "cnt").agg(F.count(F.lit(1)).alias("k"))
     w_before = Window.partitionBy("ctx").orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("ctx")
@@ -114,9 +118,17 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9) ->
             F.least(F.col("k"), F.ceil(gap / F.pow(F.col("cnt").cast("double"), F.lit(inv_t))).cast("long")))
     lv = lv.select("ctx", "cnt", "k", m.alias("m")).filter(F.col("m") > 0)
     whole = counts.join(lv.filter(F.col("m") == F.col("k")).select("ctx", "cnt"), ["ctx", "cnt"])
-    cut = counts.join(lv.filter(F.col("m") < F.col("k")).select("ctx", "cnt", "m"), ["ctx", "cnt"])
-    cut = rank_within(cut, ["ctx", "cnt"], [F.col("next_token")], "_r").filter(F.col("_r") < F.col("m"))
-    kept = whole.unionByName(cut.select("ctx", "cnt", "next_token"))
+    straddle = lv.filter(F.col("m") < F.col("k"))
+    small = counts.join(straddle.filter(F.col("k") <= max_window_group).select("ctx", "cnt", "m"), ["ctx", "cnt"])
+    rn = F.row_number().over(Window.partitionBy("ctx", "cnt").orderBy("next_token"))
+    parts = [whole, small.withColumn("_r", rn).filter(F.col("_r") <= F.col("m")).select("ctx", "cnt", "next_token")]
+    hot = straddle.filter(F.col("k") > max_window_group).select("ctx", "cnt", "m")
+    if not hot.isEmpty():
+        big = rank_within(counts.join(hot, ["ctx", "cnt"]), ["ctx", "cnt"], [F.col("next_token")], "_r")
+        parts.append(big.filter(F.col("_r") < F.col("m")).select("ctx", "cnt", "next_token"))
+    kept = parts[0]
+    for p in parts[1:]:
+        kept = kept.unionByName(p)
     weight = F.col("cnt").cast("double") if temperature == 1.0 else F.pow(F.col("cnt").cast("double"),
                                                                             F.lit(1.0 / temperature))
     return kept.select("ctx", "next_token", "cnt", weight.alias("weight"))

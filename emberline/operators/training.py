@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
+from ..session import prepare
 from .batching import assign_batches
 
 # The reference trainer's schedule (lr 0.1, momentum 0.9,
@@ -129,6 +130,7 @@ def pass_stats(df: DataFrame, weights: np.ndarray, vec_col: str = "features", la
     the mean gradient over train rows, and loss / accuracy per split. Returns
     plain NumPy on the driver (size T x K x D)."""
     spark: SparkSession = df.sparkSession
+    prepare(spark)
     t_, k, d = weights.shape
     bc = spark.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
     cols = [vec_col, label_col] + ([split_col] if split_col else [])

@@ -40,7 +40,39 @@ def build_session(cpus: int | str = "*", app: str = "emberline", shuffle_partiti
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``emberline`` importable on every executor: the package is zipped
+    once per application and handed to ``addPyFile`` (Spark distributes it).
+    Python steps (``mapInPandas`` predictors, gradient partials) unpickle
+    classes and functions from it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="emberline-pkg-"), "emberline.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package on the executors; cheap after the first call."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_non_blank
-from ..session import join_small
+from ..session import join_small, prepare
 
 PROMPT_FIELDS = T.StructType([
     T.StructField("text", T.StringType()),
@@ -78,6 +78,7 @@ def read_prompt_records(spark: SparkSession, path: str, strict: bool = False) ->
     prompt choice. ``strict`` parses in Python (slow path, exact ``json.loads``
     rules); the default stays in the JVM with ``from_json`` FAILFAST."""
     lines = read_lines(spark, path).filter(is_non_blank("value"))
+    prepare(spark)
     if strict:
         parsed = lines.mapInPandas(_strict_parse, "line_no long, text string, prompt string")
         return parsed.withColumnRenamed("line_no", "prompt_id")
