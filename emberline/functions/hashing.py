@@ -27,9 +27,10 @@ def md5_unit(*parts: Column) -> Column:
 
 
 def py_md5_u32(*parts) -> int:
-    """Python twin of :func:`md5_u32` for use inside pandas tasks."""
-    key = ":".join(str(p) for p in parts)
-    return int(hashlib.md5(key.encode("utf-8")).hexdigest()[:8], 16)
+    """Python twin of :func:`md5_u32` for use inside pandas tasks (the first
+    four digest bytes, big-endian, are the first eight hex digits)."""
+    key = ":".join(map(str, parts))
+    return int.from_bytes(hashlib.md5(key.encode("utf-8")).digest()[:4], "big")
 
 
 def py_md5_unit(*parts) -> float:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
-from ..session import spread
+from ..session import has_at_most, spread
 from .indexing import rank_within
 
 
@@ -76,62 +76,87 @@ def argmax_model(counts: DataFrame) -> DataFrame:
     return best.select("ctx", F.col("b.next_token").alias("next_token"), (-F.col("b.neg")).alias("cnt"))
 
 
-def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
-            max_window_group: int = 100_000) -> DataFrame:
-    """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
-    *before* them (in count desc, token asc order) is below ``top_p``; weight =
-    cnt^(1/T). At T = 1 the test is done in exact integers.
-
-    Work is split by count level: within a context all tokens with the same
-    count have the same weight, so the running mass is a window over the
-    (ctx, cnt) level table (at most ~sqrt(2 * total) levels per context).
-    Whole levels are kept or dropped without ranking. Only the one level per
-    context that straddles the cut needs ranks by token: levels of at most
-    ``max_window_group`` tokens rank in a window (a bounded group); larger
-    ones, the hot groups, go through the skew-safe :func:`rank_within`, which
-    spreads one group over many tasks."""
-    if temperature <= 0:
-        raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
-    counts = counts.select("ctx", "next_token", "cnt").persist(StorageLevel.MEMORY_AND_DISK)
+def _keep_test(before, total, temperature: float, top_p: float):
+    """Nucleus membership ``before < top_p * total``; exact in integers at T = 1
+    (``top_p`` as a fraction with a small denominator)."""
+    if temperature == 1.0:
+        frac = Fraction(str(top_p)).limit_denominator(1000)
+        return F.lit(frac.denominator) * before < F.lit(frac.numerator) * total
+    return before < F.lit(top_p) * total
+
+
+def _weight(temperature: float):
+    c = F.col("cnt").cast("double")
+    return c if temperature == 1.0 else F.pow(c, F.lit(1.0 / temperature))
+
+
+def _nucleus_window(counts: DataFrame, temperature: float, top_p: float) -> DataFrame:
+    """Contexts of bounded size: one window per context, running mass before
+    each candidate in (count desc, token asc) order."""
+    w = Window.partitionBy("ctx").orderBy(F.col("cnt").desc(), F.col("next_token"))
+    wt = F.col("cnt") if temperature == 1.0 else _weight(temperature)
+    zero = F.lit(0) if temperature == 1.0 else F.lit(0.0)
+    ranked = counts.select("ctx", "next_token", "cnt",
+                           F.coalesce(F.sum(wt).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero)
+                           .alias("_before"),
+                           F.sum(wt).over(Window.partitionBy("ctx")).alias("_total"))
+    return ranked.filter(_keep_test(F.col("_before"), F.col("_total"), temperature, top_p)).select(
+        "ctx", "next_token", "cnt")
+
+
+def _nucleus_levels(counts: DataFrame, temperature: float, top_p: float) -> DataFrame:
+    """Hot contexts: work by count level. All tokens of one (ctx, cnt) level
+    share a weight, so the running mass is a window over levels (at most
+    ~sqrt(2 * total) per context); whole levels are kept or dropped without
+    ranking and only the straddling level ranks its tokens, with the skew-safe
+    :func:`rank_within` (one level may be spread over many tasks)."""
     levels = counts.groupBy("ctx", "cnt").agg(F.count(F.lit(1)).alias("k"))
     w_before = Window.partitionBy("ctx").orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("ctx")
     if temperature == 1.0:
-        frac = Fraction(str(top_p)).limit_denominator(10 ** 6)
+        frac = Fraction(str(top_p)).limit_denominator(1000)
         num, den = frac.numerator, frac.denominator
-        dec = "decimal(38,0)"
-        mass = (F.col("cnt") * F.col("k")).cast(dec)
-        lv = levels.select("ctx", "cnt", "k",
-                           F.coalesce(F.sum(mass).over(w_before), F.lit(0).cast(dec)).alias("before"),
+        mass = F.col("cnt") * F.col("k")
+        lv = levels.select("ctx", "cnt", "k", F.coalesce(F.sum(mass).over(w_before), F.lit(0)).alias("before"),
                            F.sum(mass).over(w_all).alias("total"))
-        x = F.lit(num).cast(dec) * F.col("total") - F.lit(den).cast(dec) * F.col("before")
-        y = F.lit(den).cast(dec) * F.col("cnt").cast(dec)
-        m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), (F.floor((x - 1) / y) + 1).cast("long")))
+        x = F.lit(num) * F.col("total") - F.lit(den) * F.col("before")
+        y = F.lit(den) * F.col("cnt")
+        m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.floor((x - 1) / y).cast("long") + 1))
     else:
-        inv_t = 1.0 / temperature
-        wt = F.pow(F.col("cnt").cast("double"), F.lit(inv_t))
-        lv = levels.select("ctx", "cnt", "k",
-                           F.coalesce(F.sum(wt * F.col("k")).over(w_before), F.lit(0.0)).alias("before"),
-                           F.sum(wt * F.col("k")).over(w_all).alias("total"))
+        wt = _weight(temperature)
+        lv = levels.select("ctx", "cnt", "k", F.coalesce(F.sum(wt * F.col("k")).over(w_before), F.lit(0.0))
+                           .alias("before"), F.sum(wt * F.col("k")).over(w_all).alias("total"))
         gap = F.lit(top_p) * F.col("total") - F.col("before")
-        m = F.when(gap <= 0, F.lit(0)).otherwise(
-            F.least(F.col("k"), F.ceil(gap / F.pow(F.col("cnt").cast("double"), F.lit(inv_t))).cast("long")))
+        m = F.when(gap <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.ceil(gap / _weight(temperature)).cast("long")))
     lv = lv.select("ctx", "cnt", "k", m.alias("m")).filter(F.col("m") > 0)
-    whole = counts.join(lv.filter(F.col("m") == F.col("k")).select("ctx", "cnt"), ["ctx", "cnt"])
-    straddle = lv.filter(F.col("m") < F.col("k"))
-    small = counts.join(straddle.filter(F.col("k") <= max_window_group).select("ctx", "cnt", "m"), ["ctx", "cnt"])
-    rn = F.row_number().over(Window.partitionBy("ctx", "cnt").orderBy("next_token"))
-    parts = [whole, small.withColumn("_r", rn).filter(F.col("_r") <= F.col("m")).select("ctx", "cnt", "next_token")]
-    hot = straddle.filter(F.col("k") > max_window_group).select("ctx", "cnt", "m")
-    if not hot.isEmpty():
-        big = rank_within(counts.join(hot, ["ctx", "cnt"]), ["ctx", "cnt"], [F.col("next_token")], "_r")
-        parts.append(big.filter(F.col("_r") < F.col("m")).select("ctx", "cnt", "next_token"))
-    kept = parts[0]
-    for p in parts[1:]:
-        kept = kept.unionByName(p)
-    weight = F.col("cnt").cast("double") if temperature == 1.0 else F.pow(F.col("cnt").cast("double"),
-                                                                            F.lit(1.0 / temperature))
-    return kept.select("ctx", "next_token", "cnt", weight.alias("weight"))
+    j = counts.join(lv, ["ctx", "cnt"])
+    whole = j.filter(F.col("m") == F.col("k")).select("ctx", "next_token", "cnt")
+    cut = rank_within(j.filter(F.col("m") < F.col("k")), ["ctx", "cnt"], [F.col("next_token")], "_r")
+    return whole.unionByName(cut.filter(F.col("_r") < F.col("m")).select("ctx", "next_token", "cnt"))
+
+
+def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
+            hot_successors: int = 100_000, max_hot_broadcast: int = 200_000) -> DataFrame:
+    """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
+    *before* them (count desc, token asc) is below ``top_p``; weight =
+    cnt^(1/T). At T = 1 the test is exact integer arithmetic.
+
+    Hot groups are split off explicitly: a partial aggregate counts distinct
+    successors per context; contexts above ``hot_successors`` (few, and their
+    number is checked before the list is broadcast) take the level route,
+    all others one bounded window per context."""
+    if temperature <= 0:
+        raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
+    counts = counts.select("ctx", "next_token", "cnt").persist(StorageLevel.MEMORY_AND_DISK)
+    hot = (counts.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_successors).select("ctx"))
+    if hot.isEmpty():
+        kept = _nucleus_window(counts, temperature, top_p)
+    else:
+        hot_b = F.broadcast(hot) if has_at_most(hot, max_hot_broadcast) else hot
+        kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), temperature, top_p)
+                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), temperature, top_p)))
+    return kept.select("ctx", "next_token", "cnt", _weight(temperature).alias("weight"))
 
 
 def detokenise_text(df: DataFrame, tokens_col: str = "tokens", out: str = "detok") -> DataFrame:

@@ -59,10 +59,10 @@ def test_top_k_and_min_count(spark, docs):
 
 
 @pytest.mark.parametrize("top_p", [0.1, 0.5, 0.9, 1.0])
-@pytest.mark.parametrize("group_cap", [1, 100_000])
+@pytest.mark.parametrize("group_cap", [0, 1, 100_000])
 def test_nucleus_matches_bruteforce(spark, docs, top_p, group_cap):
     counts = tm.fit_next_token(docs)
-    got = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 1.0, top_p, max_window_group=group_cap).collect())
+    got = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 1.0, top_p, hot_successors=group_cap).collect())
     assert got == pandas_nucleus(pandas_counts(TEXTS), 1.0, top_p)
 
 
@@ -73,7 +73,7 @@ def test_nucleus_hot_context(spark):
     text = " ".join(f"hot {s}" for s in succ) + " hot w0001 hot w0001"
     df = spark.createDataFrame([(text,)], "text string")
     counts = tm.fit_next_token(df)
-    a = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 1.0, 0.5, max_window_group=10).collect())
+    a = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 1.0, 0.5, hot_successors=10).collect())
     b = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 1.0, 0.5).collect())
     assert a == b == pandas_nucleus(pandas_counts([text]), 1.0, 0.5)
 
@@ -82,6 +82,8 @@ def test_nucleus_temperature(spark, docs):
     counts = tm.fit_next_token(docs)
     got = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 0.5, 0.8).collect())
     assert got == pandas_nucleus(pandas_counts(TEXTS), 0.5, 0.8)
+    hot = sorted((r.ctx, r.next_token) for r in tm.nucleus(counts, 0.5, 0.8, hot_successors=0).collect())
+    assert hot == got
     with pytest.raises(ValueError):
         tm.nucleus(counts, 0.0, 0.9)
 
