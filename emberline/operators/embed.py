@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import collect_bounded, join_small, prepare, spread
+from ..session import collect_bounded, join_small, prepare
 from .batching import _rebatch_by_count
 from .generate import cached_state
 from .indexing import dense_index
@@ -64,7 +64,7 @@ def embed(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_
     aggregate sums ``x * count`` per (text, dim). No group is larger than
     ``max_len`` slots times the dimension."""
     keys = [id_col] + ([pad_to] if pad_to else [])
-    toks = spread(df.select(*keys, text_col)).select(
+    toks = df.select(*keys, text_col).select(
         *keys, F.explode(F.slice(tokens(text_col), 1, max_len)).alias("tok"))
     per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("tok")).alias("slot")).agg(
         F.count(F.lit(1)).alias("c"))
@@ -117,7 +117,7 @@ def encode(df: DataFrame, encoder: MeanPoolEncoder, id_col: str = "doc_id", text
     harness (exact batches, model once per worker)."""
     prepare(df.sparkSession)
     t = F.slice(tokens(text_col), 1, max_len)
-    staged = spread(df.select(id_col, *keep, text_col)).select(
+    staged = df.select(id_col, *keep, text_col).select(
         id_col, *keep, F.transform(t, lambda x: md5_bucket(encoder.n_vectors, x)).alias("slots"))
     fields = [f for f in staged.schema.fields if f.name != "slots"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", embedding array<double>"

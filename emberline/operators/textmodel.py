@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
-from ..session import has_at_most, spread
+from ..session import has_at_most
 from .indexing import rank_within
 
 
@@ -47,7 +47,7 @@ def token_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(ctx, next_token) for every adjacent token pair of every text. Pairs
     are built inside each row (``arrays_zip`` of two slices): no window, no
     shuffle before the count."""
-    t = spread(df.select(text_col)).select(tokens(text_col).alias("_t"))
+    t = df.select(tokens(text_col).alias("_t"))
     n = F.size("_t")
     zipped = F.arrays_zip(F.slice("_t", 1, n - 1).alias("ctx"), F.slice("_t", 2, n - 1).alias("next_token"))
     return (t.select(F.explode(F.when(n > 1, zipped)).alias("p"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -15,10 +17,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 TURN_SPAN = 1_000_000
 
 
+# Tables whose rows carry long texts: tokenising them is CPU-heavy.
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's scan; text tables are spread over all cores when the file
+    has fewer splits than cores (planning only, no job; column pruning still
+    reaches the scan through the round-robin exchange)."""
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,10 +124,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_tasks`` partitions (default: the
-    cluster's parallelism) when its scan yields fewer, before a CPU-heavy step
-    (tokenising, Python predictors). Large inputs already have many more file
-    splits than cores, so this is a no-op there and costs no shuffle."""
+    """Round-robin a *scan* over at least ``min_tasks`` partitions (default:
+    the cluster's parallelism) when its files give fewer splits, before a
+    CPU-heavy step (tokenising, Python predictors). Call it on a scan: the
+    split count of a scan is known from planning alone (no job). Large inputs
+    already have far more splits than cores, so it is a no-op there."""
     if df.isStreaming:
         return df
     spark = df.sparkSession
