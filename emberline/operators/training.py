@@ -181,34 +181,81 @@ def cross_entropy(df: DataFrame, weights: np.ndarray, split_name: str = "train",
     return pass_stats(df, weights[None, ...], **kw)["loss"].get((0, split_name), float("nan"))
 
 
+def step_table(df: DataFrame, key: str, batch_rows: int, workers: int = 1) -> DataFrame:
+    """T2 stored for training: train rows with ``step_id`` written to the
+    shared folder partitioned by step, so a step's filter prunes to one
+    folder instead of scanning every row (partition pruning)."""
+    from ..session import scratch_path
+    from ..sinks.writers import write_parquet
+
+    train = df.filter(F.col("split") == "train") if "split" in df.columns else df
+    steps = train_batches(train, key, batch_rows, workers)
+    path = scratch_path(df.sparkSession, "train-steps")
+    write_parquet(steps.drop("row_idx"), path, partition_by=["step_id"])
+    return df.sparkSession.read.parquet(path)
+
+
 def fit_softmax(df: DataFrame, epochs: int, lr: float = LR, momentum: float = MOMENTUM, milestones=MILESTONES,
                 gamma: float = GAMMA, max_steps: int | None = None, vec_col: str = "features",
-                label_col: str = "label", n_classes: int | None = None):
-    """T5 + T6 + T8 (+ T9 with ``max_steps=1``): SGD with momentum, one
-    full-batch step per epoch. Returns ``(weights, history rows)``; history
-    has ``epoch, lr, loss, accuracy, val_loss, val_accuracy`` where the train
-    metrics are measured at the weights the epoch starts from and the
-    validation metrics at the weights the epoch ends with."""
+                label_col: str = "label", n_classes: int | None = None, steps: DataFrame | None = None):
+    """T5 + T6 + T8 (+ T9 with ``max_steps``): SGD with momentum.
+
+    Default: one full-batch step per epoch (one Spark job per epoch). With
+    ``steps`` (from :func:`step_table`) every epoch walks the global
+    mini-batches in ``step_id`` order, one job per step reading only that
+    step's folder; ``max_steps`` caps the total number of steps (smoke mode).
+    Returns ``(weights, history rows)``: per epoch ``lr``, the mean train
+    loss / accuracy over the epoch's steps (measured at the weights each step
+    starts from) and validation loss / accuracy at the weights the epoch ends
+    with."""
     k = n_classes or num_classes(df, label_col)
     d = feature_dim(df, vec_col)
     w = np.zeros((k, d))
     v = np.zeros_like(w)
     history = []
-    steps = epochs if max_steps is None else min(epochs, max_steps)
-    stats = pass_stats(df, w[None], vec_col=vec_col, label_col=label_col)
-    for epoch in range(steps):
-        rate = lr_at(epoch, lr, milestones, gamma)
-        g = stats["grad"][0]
-        v = momentum * v + g
-        w = w - rate * v
-        before = stats
+    if steps is None:
+        n_steps = epochs if max_steps is None else min(epochs, max_steps)
         stats = pass_stats(df, w[None], vec_col=vec_col, label_col=label_col)
+        for epoch in range(n_steps):
+            rate = lr_at(epoch, lr, milestones, gamma)
+            v = momentum * v + stats["grad"][0]
+            w = w - rate * v
+            before = stats
+            stats = pass_stats(df, w[None], vec_col=vec_col, label_col=label_col)
+            history.append({
+                "epoch": epoch, "lr": rate,
+                "loss": before["loss"].get((0, "train"), float("nan")),
+                "accuracy": before["accuracy"].get((0, "train"), float("nan")),
+                "val_loss": stats["loss"].get((0, "val"), float("nan")),
+                "val_accuracy": stats["accuracy"].get((0, "val"), float("nan")),
+            })
+        return w, history
+    step_ids = [r[0] for r in steps.select("step_id").distinct().orderBy("step_id").collect()]  # one per step
+    val = df.filter(F.col("split") == "val") if "split" in df.columns else None
+    done = 0
+    for epoch in range(epochs):
+        rate = lr_at(epoch, lr, milestones, gamma)
+        losses, accs, sizes = [], [], []
+        for sid in step_ids:
+            if max_steps is not None and done >= max_steps:
+                break
+            part = steps.filter(F.col("step_id") == sid)
+            st = pass_stats(part, w[None], vec_col=vec_col, label_col=label_col, split_col=None)
+            v = momentum * v + st["grad"][0]
+            w = w - rate * v
+            losses.append(st["loss"][(0, "train")])
+            accs.append(st["accuracy"][(0, "train")])
+            sizes.append(st["n"][(0, "train")])
+            done += 1
+        if not sizes:
+            break
+        vs = pass_stats(val, w[None], vec_col=vec_col, label_col=label_col, split_col=None) if val is not None \
+            else {"loss": {}, "accuracy": {}}
         history.append({
             "epoch": epoch, "lr": rate,
-            "loss": before["loss"].get((0, "train"), float("nan")),
-            "accuracy": before["accuracy"].get((0, "train"), float("nan")),
-            "val_loss": stats["loss"].get((0, "val"), float("nan")),
-            "val_accuracy": stats["accuracy"].get((0, "val"), float("nan")),
+            "loss": float(np.average(losses, weights=sizes)), "accuracy": float(np.average(accs, weights=sizes)),
+            "val_loss": vs["loss"].get((0, "train"), float("nan")),
+            "val_accuracy": vs["accuracy"].get((0, "train"), float("nan")),
         })
     return w, history
 

@@ -512,6 +512,16 @@ def fit_history(spark, sf_dir):
     return tr.history_frame(spark, hist)
 
 
+@query("fit_minibatch")
+def fit_minibatch(spark, sf_dir):
+    """T2 + T5: momentum SGD over global mini-batches of 128 x 2 rows, the
+    step table written partitioned by step (each step reads one folder)."""
+    df = _split_embeddings(spark, sf_dir)
+    steps = tr.step_table(df, "vec_id", TRAIN_ROWS, WORKERS)
+    _, hist = tr.fit_softmax(df, epochs=2, steps=steps)
+    return tr.history_frame(spark, hist)
+
+
 # ---------------------------------------------------------------- sweep
 TRIALS = sw.grid(lr=list(SWEEP_LRS), momentum=list(SWEEP_MOMENTA))
 TRIALS_SQL = "(VALUES " + ", ".join(f"({t['trial_id']}, {t['lr']}, {t['momentum']})" for t in TRIALS) + \

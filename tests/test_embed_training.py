@@ -145,3 +145,29 @@ def test_sweep_equals_single_runs_and_best_trial(spark):
                                   "trial_id long, loss double")
     assert sw.best_trial(frame, "loss", "min").first().trial_id == 2
     assert sw.best_trial(frame, "loss", "max").first().trial_id == 0
+
+
+def test_minibatch_fit_matches_numpy(spark):
+    df = _train_frame(spark)
+    steps = tr.step_table(df, "vec_id", 64, workers=2)
+    assert {r.step_id for r in steps.select("step_id").distinct().collect()} == set(range(4))
+    pdf = df.filter(F.col("split") == "train").toPandas().sort_values("vec_id")
+    x = np.stack(pdf["features"].to_numpy())
+    y = pdf["label"].to_numpy()
+    k = int(df.agg(F.max("label")).first()[0]) + 1
+    w_np = np.zeros((k, x.shape[1]))
+    v = np.zeros_like(w_np)
+    for epoch in range(2):
+        for s in range(0, len(y), 128):
+            xb, yb = x[s:s + 128], y[s:s + 128]
+            sc = xb @ w_np.T
+            p = np.exp(sc - sc.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = (p - np.eye(k)[yb]).T @ xb / len(yb)
+            v = 0.9 * v + g
+            w_np = w_np - 0.1 * v
+    w, hist = tr.fit_softmax(df, epochs=2, steps=steps)
+    assert np.allclose(w, w_np, atol=1e-10)
+    assert len(hist) == 2 and 0 <= hist[-1]["val_accuracy"] <= 1
+    w1, h1 = tr.fit_softmax(df, epochs=2, steps=steps, max_steps=1)
+    assert len(h1) == 1

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"fit_softmax", "fit_history"}
+ROWS_ONLY = {"fit_softmax", "fit_history", "fit_minibatch"}
 
 
 def test_entry_runs(spark):
