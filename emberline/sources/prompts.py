@@ -111,3 +111,14 @@ def require_rows(df: DataFrame, message: str = "No prompts loaded") -> DataFrame
 def prompt_count(df: DataFrame) -> DataFrame:
     """S4 count as a one-row table (``n_prompts``)."""
     return df.agg(F.count(F.lit(1)).alias("n_prompts"))
+
+
+def observe_count(df: DataFrame, name: str = "prompts"):
+    """S4 without a second scan: attach an ``Observation`` that counts rows as
+    they flow through the job's own action. Returns ``(df, observation)``;
+    after the action, ``observation.get["n_prompts"]`` is the count (the
+    "Loaded N prompts" figure)."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("n_prompts")), obs

@@ -141,3 +141,10 @@ def test_head_per_split(spark):
     got = pr.head_per_split(df, 3).orderBy("split", "vec_id").collect()
     assert [(r.split, r.vec_id) for r in got] == [("train", 1), ("train", 2), ("train", 3),
                                                  ("val", 0), ("val", 10), ("val", 20)]
+
+
+def test_observed_count_needs_no_second_scan(spark, tmp_dir):
+    path = write_lines(os.path.join(tmp_dir, "p.jsonl"), MIXED)
+    df, obs = src.observe_count(src.read_prompts(spark, path))
+    rows = df.collect()
+    assert obs.get["n_prompts"] == len(rows) == len(python_reading(MIXED))
