@@ -99,11 +99,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for written
     tables (round trips, stream inputs, step tables)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    # keep the scheme (hdfs://, s3a://, file:): the path is only used by Spark readers and writers
+    return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

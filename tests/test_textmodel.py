@@ -4,7 +4,6 @@ windows, detokenise — against pandas brute force."""
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from emberline.operators import textmodel as tm
 
@@ -109,4 +108,3 @@ def test_tokens_match_python_split_on_ascii_space(spark):
     got = [r.tokens for r in tm.tokenise(df).collect()]
     import re
     assert got == [[t for t in re.split(r"[ \t\n\x0b\x0c\r]+", s) if t] for s in texts]
-    assert F is not None
