@@ -73,3 +73,18 @@ def test_map_batches_by_key_gives_global_batches(spark):
     out = bt.map_batches(df.select("k", "batch_id"), _sizes, "n long, first long", 32, batch_col="batch_id")
     got = sorted((r.first, r.n) for r in out.collect())
     assert got == [(i * 32, min(32, 1000 - i * 32)) for i in range(32)]
+
+
+def test_hot_group_is_cut_across_tasks(spark):
+    """A key holding ~2/3 of the rows lands in several range partitions, and
+    the per-partition row counts stay near the mean (no task gets the group)."""
+    from emberline.operators.indexing import global_positions
+
+    rng = np.random.default_rng(9)
+    g = np.where(rng.random(6000) < 0.66, "hot", rng.choice(["a", "b", "c", "d"], 6000))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": rng.permutation(6000)}))
+    pos = global_positions(df, [F.col("g"), F.col("v")], num_partitions=8)
+    per = {r._pid: r.n for r in pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot_parts = pos.filter(F.col("g") == "hot").select("_pid").distinct().count()
+    assert hot_parts >= 4
+    assert max(per.values()) < 2 * (6000 / len(per))

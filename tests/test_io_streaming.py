@@ -81,3 +81,17 @@ def test_prompt_file_roundtrip(spark, tmp_dir):
     wr.write_ordered(df, "doc_id", path, 3)
     got = sorted(tuple(r) for r in src.read_prompts(spark, path).collect())
     assert got == [(i, f"text {i}") for i in range(50)]
+
+
+def test_prompt_tables_in_other_formats(spark, tmp_dir):
+    from emberline.sources import files as fs
+
+    df = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "d")], "id long, text string")
+    for fmt in ("parquet", "json", "csv", "orc"):
+        path = os.path.join(tmp_dir, fmt)
+        w = df.write.mode("overwrite")
+        w = w.option("header", True) if fmt == "csv" else w
+        w.format(fmt).save(path)
+        schema = "id long, text string" if fmt in ("csv", "json") else None
+        got = sorted(tuple(r) for r in fs.prompts_from_table(fs.read_table(spark, path, fmt, schema), "id").collect())
+        assert got == [(1, "a"), (4, "d")], fmt
