@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import collect_bounded, join_small, prepare
+from ..session import join_small, prepare, read_model_table, write_model_table
 from .batching import _rebatch_by_count
 from .generate import cached_state
 from .indexing import dense_index
@@ -82,22 +82,32 @@ def as_vectors(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 class MeanPoolEncoder:
-    """E3 predictor: the vector table is shipped once (broadcast, size checked)
-    and kept per Python worker; a batch of slot lists is pooled with NumPy."""
+    """E3 predictor: the vector table is written once to the shared folder
+    (size checked) and each Python worker loads it into a NumPy matrix once;
+    a batch of slot lists is pooled with NumPy."""
 
     def __init__(self, spark, vectors: DataFrame, max_rows: int = 2_000_000):
-        pdf = collect_bounded(vectors.select("slot", "embedding"), max_rows, "vector table").to_pandas()
-        pdf = pdf.sort_values("slot")
-        if len(pdf) and not np.array_equal(pdf["slot"].to_numpy(), np.arange(len(pdf))):
-            raise ValueError("vector slots must be 0..n-1")
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]]) if len(pdf) else np.zeros((0, 0))
-        self.n_vectors = len(pdf)
+        self.n_vectors = vectors.count()
+        self.path = write_model_table(vectors.select("slot", "embedding"), "vector-table", max_rows)
         self.key = f"enc-{uuid.uuid4().hex}"
-        self._bc = spark.sparkContext.broadcast(matrix)
 
     def load(self):
-        bc = self._bc
-        return cached_state(self.key, lambda: bc.value)
+        path = self.path
+        n = self.n_vectors
+
+        def build():
+            t = read_model_table(path, ["slot", "embedding"])
+            slots = t.column("slot").to_numpy()
+            if len(slots) != n or (n and not np.array_equal(np.sort(slots), np.arange(n))):
+                raise ValueError("vector slots must be 0..n-1")
+            values = np.asarray(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False),
+                                dtype=np.float64)
+            dim = len(values) // n if n else 0
+            matrix = np.empty((n, dim))
+            matrix[slots] = values.reshape(n, dim)
+            return matrix
+
+        return cached_state(self.key, build)
 
     def predict(self, batch: pd.DataFrame) -> pd.DataFrame:
         matrix = self.load()

@@ -160,3 +160,38 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
     if has_at_most(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def write_model_table(df: DataFrame, name: str, max_rows: int, sort_keys: list | None = None,
+                      group_key: str | None = None) -> str:
+    """Write a model table (checked to have at most ``max_rows`` rows) to the
+    shared folder for Python workers to load themselves: the driver only
+    passes the path. With ``group_key``, each group's rows land in one file,
+    sorted by ``sort_keys`` inside it (range partitioning by the group key)."""
+    spark = df.sparkSession
+    if not has_at_most(df, max_rows):
+        raise ValueError(f"{name} has more than {max_rows} rows")
+    path = scratch_path(spark, name)
+    out = df
+    if group_key is not None:
+        n = max(1, spark.sparkContext.defaultParallelism)
+        out = out.repartitionByRange(n, group_key).sortWithinPartitions(*(sort_keys or [group_key]))
+    out.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_model_table(path: str, columns: list[str]):
+    """Inside a Python worker: the model table as one Arrow table (files in
+    name order). Local ``file:`` paths and URIs pyarrow understands
+    (``hdfs://``, ``s3://``; ``s3a://`` is mapped to ``s3://``) are accepted."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        fs, root = pafs.LocalFileSystem(), path[len("file:"):].lstrip("/")
+        root = "/" + root
+    else:
+        fs, root = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path \
+            else (pafs.LocalFileSystem(), path)
+    dataset = ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True)
+    return dataset.to_table(columns=columns)
