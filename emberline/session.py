@@ -143,16 +143,6 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def collect_bounded(df: DataFrame, max_rows: int, what: str = "table"):
-    """Arrow table of ``df`` when it has at most ``max_rows`` rows (one pass:
-    ``limit(max_rows + 1)``), else ``ValueError``. For model tables that are
-    broadcast to Python workers."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows")
-    return table
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 200_000) -> DataFrame:
     """Join ``small`` into ``big``: broadcast when its row count is proven to be
     under ``max_rows``, otherwise a shuffle join (AQE may still re-plan or
