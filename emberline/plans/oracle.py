@@ -75,8 +75,8 @@ def sampled_sql(prompts_sql: str, max_tokens: int, n: int, top_num: int = 9, top
     """Nucleus sampling at T = 1 as a recursive CTE: candidates kept while
     ``den * before < num * total``; the draw ``u = md5(prompt_id:sample:step)``
     picks the candidate whose cumulative interval holds ``u * mass``."""
-    u = ("(CAST(('0x' || substr(md5(CAST(w.prompt_id AS VARCHAR) || ':' || CAST(w.sample AS VARCHAR) || ':' "
-         "|| CAST(w.step + 1 AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)")
+    u = ("(CAST(('0x' || substr(md5(CAST(prompt_id AS VARCHAR) || ':' || CAST(sample AS VARCHAR) || ':' "
+         "|| CAST(step + 1 AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)")
     return f"""
 WITH RECURSIVE {model_ctes()},
 nuc AS MATERIALIZED (
@@ -95,8 +95,8 @@ walk AS (
     SELECT prompt_id, CAST(r.s AS BIGINT) AS sample, 0 AS step, tok FROM starts, range({n}) AS r(s)
     UNION ALL
     SELECT w.prompt_id, w.sample, w.step + 1, c.next_token
-    FROM walk w JOIN cand c ON c.ctx = w.tok
-    WHERE w.step < {max_tokens} AND c.lo <= {u} * c.mass AND {u} * c.mass < c.hi
+    FROM (SELECT prompt_id, sample, step, tok, {u} AS u FROM walk WHERE step < {max_tokens}) w
+    JOIN cand c ON c.ctx = w.tok AND c.lo <= w.u * c.mass AND w.u * c.mass < c.hi
 ),
 agg AS (
     SELECT prompt_id, sample, max(step) AS step,
