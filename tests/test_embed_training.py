@@ -171,3 +171,13 @@ def test_minibatch_fit_matches_numpy(spark):
     assert len(hist) == 2 and 0 <= hist[-1]["val_accuracy"] <= 1
     w1, h1 = tr.fit_softmax(df, epochs=2, steps=steps, max_steps=1)
     assert len(h1) == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_pooling_is_partition_invariant(spark, vectors, parts):
+    vecs, n = vectors
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    base = {(r.doc_id, r.dim): r.value for r in em.embed(docs.coalesce(1), vecs, n).collect()}
+    other = {(r.doc_id, r.dim): r.value for r in em.embed(docs.repartition(parts), vecs, n).collect()}
+    assert base.keys() == other.keys()
+    assert max(abs(base[k] - other[k]) for k in base) < 1e-12
