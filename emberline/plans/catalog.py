@@ -299,7 +299,7 @@ def nucleus_candidates(spark, sf_dir):
 
 @query("generate_greedy", sql.greedy_sql(DOC_PROMPTS_SQL, GREEDY.max_tokens))
 def generate_greedy(spark, sf_dir):
-    """I1 + I5 + I9: greedy completions of every document, broadcast model."""
+    """I1 + I5 + I9: greedy completions of every document, model loaded per worker."""
     model = tm.argmax_model(doc_model(spark, sf_dir))
     predictor = gen.NextTokenPredictor(spark, model, GREEDY)
     return gen.long_form(gen.generate(doc_prompts(spark, sf_dir), predictor, BATCH_SIZE))
@@ -332,7 +332,7 @@ def detokenise_roundtrip(spark, sf_dir):
 
 @query("generate_joined", sql.greedy_sql(DOC_PROMPTS_SQL, JOINED.max_tokens))
 def generate_joined(spark, sf_dir):
-    """Greedy decoding by per-step joins (model not broadcast)."""
+    """Greedy decoding by per-step joins (model stays a partitioned table)."""
     model = tm.argmax_model(doc_model(spark, sf_dir))
     return gen.generate_joined(doc_prompts(spark, sf_dir), model, JOINED)
 
