@@ -6,6 +6,8 @@ Usage: python tests/oracle_check.py [sf_dir] [name ...]
 
 from __future__ import annotations
 
+import contextlib
+import io
 import math
 import sys
 import time
@@ -45,9 +47,12 @@ def compare(spark, con, sf_dir: str, name: str) -> dict:
     sql = entry.oracle_sql().get(name)
     t0 = time.time()
     sdf = q(spark, sf_dir)
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        sdf.explain("formatted")
     spdf = sdf.toPandas()
     t_spark = time.time() - t0
-    res = {"name": name, "spark_rows": len(spdf), "spark_sec": round(t_spark, 2)}
+    res = {"name": name, "spark_rows": len(spdf), "spark_sec": round(t_spark, 2), "_plan": plan.getvalue()}
     if sql is None:
         res["status"] = "rows-only"
         return res
@@ -94,6 +99,7 @@ def main(argv):
             r = {"name": n, "status": f"ERROR {type(e).__name__}: {str(e)[:400]}"}
         if r["status"] not in ("MATCH", "rows-only"):
             bad += 1
+        r.pop("_plan", None)
         print(r, flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
     return 1 if bad else 0
