@@ -154,19 +154,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
 
 def write_model_table(df: DataFrame, name: str, max_rows: int, sort_keys: list | None = None,
                       group_key: str | None = None) -> str:
-    """Write a model table (checked to have at most ``max_rows`` rows) to the
-    shared folder for Python workers to load themselves: the driver only
-    passes the path. With ``group_key``, each group's rows land in one file,
+    """Write a model table to the shared folder for Python workers to load
+    themselves (the driver only passes the path), then check it has at most
+    ``max_rows`` rows: the count comes from the written Parquet, so the model
+    is computed once. With ``group_key``, each group's rows land in one file,
     sorted by ``sort_keys`` inside it (range partitioning by the group key)."""
     spark = df.sparkSession
-    if not has_at_most(df, max_rows):
-        raise ValueError(f"{name} has more than {max_rows} rows")
     path = scratch_path(spark, name)
     out = df
     if group_key is not None:
         n = max(1, spark.sparkContext.defaultParallelism)
         out = out.repartitionByRange(n, group_key).sortWithinPartitions(*(sort_keys or [group_key]))
     out.write.mode("overwrite").parquet(path)
+    if spark.read.parquet(path).count() > max_rows:
+        raise ValueError(f"{name} has more than {max_rows} rows")
     return path
 
 
