@@ -148,3 +148,13 @@ def test_observed_count_needs_no_second_scan(spark, tmp_dir):
     df, obs = src.observe_count(src.read_prompts(spark, path))
     rows = df.collect()
     assert obs.get["n_prompts"] == len(rows) == len(python_reading(MIXED))
+
+
+def test_default_reader_decisions_q7_q8(spark, tmp_dir):
+    """Q7: a non-string ``text`` is read as its JSON text ('0'), so it is kept
+    (Python would fall through to ``prompt``; strict mode rejects it).
+    Q8: trailing text after the object is not noticed by the JVM parser
+    (strict mode rejects it)."""
+    path = write_lines(os.path.join(tmp_dir, "q.jsonl"), ['{"text":0,"prompt":"p"}', '{"text":"x"} y'])
+    got = sorted(tuple(r) for r in src.read_prompts(spark, path).collect())
+    assert got == [(0, "0"), (1, "x")]
