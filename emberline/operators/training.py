@@ -230,7 +230,9 @@ def fit_softmax(df: DataFrame, epochs: int, lr: float = LR, momentum: float = MO
                 "val_accuracy": stats["accuracy"].get((0, "val"), float("nan")),
             })
         return w, history
-    step_ids = [r[0] for r in steps.select("step_id").distinct().orderBy("step_id").collect()]  # one per step
+    # step ids are dense (0..S-1, from the global index), so one aggregate gives them all
+    n_steps = steps.agg(F.max("step_id")).first()[0]
+    step_ids = range(0 if n_steps is None else n_steps + 1)
     val = df.filter(F.col("split") == "val") if "split" in df.columns else None
     done = 0
     for epoch in range(epochs):
