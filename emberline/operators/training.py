@@ -14,7 +14,8 @@ mini-batches (one job per step).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,56 +75,72 @@ def lr_at(epoch, lr: float = LR, milestones=MILESTONES, gamma: float = GAMMA):
     return F.lit(lr) * F.pow(F.lit(gamma), passed)
 
 
-def _scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w.T
+def _features_matrix(col, d: int) -> np.ndarray:
+    """An Arrow list column of equal-length rows as an (n, d) float matrix,
+    without touching rows one by one."""
+    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, d))
+    lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
+    if arr.null_count or not (lengths == d).all():
+        raise ValueError(f"every feature row must have {d} values")
+    return np.asarray(arr.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, d)
 
 
 def _partials_fn(weights_bc, k: int, d: int, vec_col: str, label_col: str, split_col: str | None):
-    """Per-task pass: gradient sums over train rows, loss sum, counts and
-    hits for each split; emitted as long rows ``(kind, split, k, j, value)``."""
+    """Per-task pass over Arrow batches: gradient sums over train rows, loss
+    sum, counts and hits for each split; emitted as one small batch of long
+    rows ``(trial, kind, split, k, j, value)``."""
 
     def run(it):
         w_all = weights_bc.value  # (T, K, D)
         n_trials = w_all.shape[0]
         g = np.zeros_like(w_all)
         stats: dict[tuple, float] = {}
-        for pdf in it:
-            if pdf.empty:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            y = pdf[label_col].to_numpy(dtype=np.int64)
-            splits = pdf[split_col].to_numpy(object) if split_col else np.full(len(y), "train", dtype=object)
+            x = _features_matrix(batch.column(vec_col), d)
+            y = batch.column(label_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            splits = (np.asarray(batch.column(split_col).to_pylist(), dtype=object) if split_col
+                      else np.full(len(y), "train", dtype=object))
             onehot = np.zeros((len(y), k))
             onehot[np.arange(len(y)), y] = 1.0
+            names = np.unique(splits)
             for t in range(n_trials):
-                s = _scores(x, w_all[t])
+                s = x @ w_all[t].T
                 top = s.max(axis=1, keepdims=True)
                 e = np.exp(s - top)
                 z = e.sum(axis=1, keepdims=True)
                 p = e / z
-                logp = (s - top) - np.log(z)
-                loss = -(logp * onehot).sum(axis=1)
-                pred = s.argmax(axis=1)
-                hit = (pred == y).astype(np.float64)
-                for name in np.unique(splits):
+                loss = -(((s - top) - np.log(z)) * onehot).sum(axis=1)
+                hit = (s.argmax(axis=1) == y).astype(np.float64)
+                for name in names:
                     mask = splits == name
                     for kind, vals in (("n", mask.astype(np.float64)), ("loss", loss * mask), ("hit", hit * mask)):
                         stats[(t, kind, name)] = stats.get((t, kind, name), 0.0) + float(vals.sum())
                 train = splits == "train"
                 if train.any():
                     g[t] += (p[train] - onehot[train]).T @ x[train]
-        rows = []
-        for t in range(n_trials):
-            for kk in range(k):
-                for j in range(d):
-                    rows.append((t, "grad", "train", kk, j, float(g[t, kk, j])))
-        for (t, kind, name), v in stats.items():
-            rows.append((t, kind, name, -1, -1, v))
-        yield pd.DataFrame(rows, columns=["trial", "kind", "split", "k", "j", "value"])
+        tt, kk, jj = np.meshgrid(np.arange(n_trials), np.arange(k), np.arange(d), indexing="ij")
+        cols = {
+            "trial": list(tt.ravel().astype(np.int32)) + [t for (t, _, _) in stats],
+            "kind": ["grad"] * g.size + [kind for (_, kind, _) in stats],
+            "split": ["train"] * g.size + [name for (_, _, name) in stats],
+            "k": list(kk.ravel().astype(np.int32)) + [-1] * len(stats),
+            "j": list(jj.ravel().astype(np.int32)) + [-1] * len(stats),
+            "value": list(g.ravel()) + list(stats.values()),
+        }
+        yield pa.RecordBatch.from_pydict(cols, schema=PARTIAL_SCHEMA)
 
     return run
 
 
+PARTIAL_SCHEMA = pa.schema([("trial", pa.int32()), ("kind", pa.string()), ("split", pa.string()),
+                           ("k", pa.int32()), ("j", pa.int32()), ("value", pa.float64())])
+
+
 def pass_stats(df: DataFrame, weights: np.ndarray, vec_col: str = "features", label_col: str = "label",
                split_col: str | None = "split") -> dict:
     """One data pass for a stack of weight matrices ``(T, K, D)``: per trial
@@ -134,7 +151,7 @@ def pass_stats(df: DataFrame, weights: np.ndarray, vec_col: str = "features", la
     t_, k, d = weights.shape
     bc = spark.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
     cols = [vec_col, label_col] + ([split_col] if split_col else [])
-    partial = df.select(*cols).mapInPandas(
+    partial = df.select(*cols).mapInArrow(
         _partials_fn(bc, k, d, vec_col, label_col, split_col),
         "trial int, kind string, split string, k int, j int, value double")
     total = partial.groupBy("trial", "kind", "split", "k", "j").agg(F.sum("value").alias("value"))
