@@ -110,14 +110,20 @@ class MeanPoolEncoder:
         return cached_state(self.key, build)
 
     def predict(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Mean of each row's slot vectors: one gather for the whole batch and
+        a segmented sum (``np.add.reduceat``); rows without tokens get NaN."""
         matrix = self.load()
         dim = matrix.shape[1]
-        vecs = []
-        for slots in batch["slots"]:
-            idx = np.asarray(slots, dtype=np.int64)
-            vecs.append(matrix[idx].mean(axis=0) if len(idx) else np.full(dim, np.nan))
+        slot_lists = list(batch["slots"])
+        lens = np.fromiter((0 if s is None else len(s) for s in slot_lists), dtype=np.int64, count=len(slot_lists))
+        pooled = np.full((len(slot_lists), dim), np.nan)
+        filled = lens > 0
+        if filled.any():
+            flat = np.concatenate([np.asarray(s, dtype=np.int64) for s, f in zip(slot_lists, filled) if f])
+            starts = (np.cumsum(lens) - lens)[filled]
+            pooled[filled] = np.add.reduceat(matrix[flat], starts, axis=0) / lens[filled][:, None]
         out = batch.drop(columns=["slots"]).copy()
-        out["embedding"] = vecs
+        out["embedding"] = list(pooled)
         return out
 
 
