@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     pos = global_positions(df, keys, "_gpos", num_partitions)
     if not group:
         return pos.withColumnRenamed("_gpos", name).drop("_pid")
-    starts = pos.groupBy(*group).agg(F.min("_gpos").alias("_gstart"))
+    # one row per group; kept so the size check and the join read it once
+    starts = pos.groupBy(*group).agg(F.min("_gpos").alias("_gstart")).persist(StorageLevel.MEMORY_AND_DISK)
     ranked = join_small(pos, starts, list(group), max_rows=max_broadcast_groups)
     return ranked.withColumn(name, F.col("_gpos") - F.col("_gstart")).drop("_gpos", "_gstart", "_pid")
 
