@@ -95,3 +95,17 @@ def test_prompt_tables_in_other_formats(spark, tmp_dir):
         schema = "id long, text string" if fmt in ("csv", "json") else None
         got = sorted(tuple(r) for r in fs.prompts_from_table(fs.read_table(spark, path, fmt, schema), "id").collect())
         assert got == [(1, "a"), (4, "d")], fmt
+
+
+def test_stream_restart_scores_only_new_files(spark, tmp_dir):
+    pred = _predictor(spark)
+    in_dir, out_dir, ckpt = (os.path.join(tmp_dir, d) for d in ("in", "out", "ckpt"))
+    first = spark.createDataFrame([(0, "a"), (1, "b c")], "prompt_id long, prompt string")
+    first.coalesce(1).write.mode("overwrite").json(in_dir)
+    st.score_stream(spark, in_dir, out_dir, pred, checkpoint_dir=ckpt)
+    assert st.read_scored(spark, out_dir).count() == 2
+    later = spark.createDataFrame([(2, "a b"), (3, "d")], "prompt_id long, prompt string")
+    later.coalesce(1).write.mode("append").json(in_dir)
+    st.score_stream(spark, in_dir, out_dir, pred, checkpoint_dir=ckpt)
+    ids = sorted(r.prompt_id for r in st.read_scored(spark, out_dir).collect())
+    assert ids == [0, 1, 2, 3]
