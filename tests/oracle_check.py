@@ -83,7 +83,9 @@ def compare(spark, con, sf_dir: str, name: str) -> dict:
 
 
 def main(argv):
-    sys.path.insert(0, ".")
+    import os
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     from emberline.session import build_session
     import __spark_entry__ as entry
