@@ -50,26 +50,45 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``emberline`` importable on every executor: the package is zipped
-    once per application and handed to ``addPyFile`` (Spark distributes it).
-    Python steps (``mapInPandas`` predictors, gradient partials) unpickle
-    classes and functions from it."""
+    once per application into the shared checkpoint folder and handed to
+    ``addPyFile`` (Spark distributes it). Python steps (``mapInPandas``
+    predictors, gradient partials) unpickle classes and functions from it."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
+    import io
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="emberline-pkg-"), "emberline.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(out)
+    target = f"{scratch_path(spark, 'code')}/emberline.zip"
+    fs, where = _arrow_fs(target)
+    fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(where) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
 
+def _arrow_fs(path: str):
+    """pyarrow file system and path for a Spark-style location: ``file:``
+    paths, plain paths, or URIs pyarrow understands (``hdfs://``, ``s3://``;
+    ``s3a://`` is read as ``s3://``)."""
+    import pyarrow.fs as pafs
+
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return pafs.LocalFileSystem(), path
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Checkpoint folder + package on the executors; cheap after the first call."""
     ensure_checkpoint_dir(spark)
@@ -176,13 +195,7 @@ def read_model_table(path: str, columns: list[str]):
     name order). Local ``file:`` paths and URIs pyarrow understands
     (``hdfs://``, ``s3://``; ``s3a://`` is mapped to ``s3://``) are accepted."""
     import pyarrow.dataset as ds
-    import pyarrow.fs as pafs
 
-    if path.startswith("file:"):
-        fs, root = pafs.LocalFileSystem(), path[len("file:"):].lstrip("/")
-        root = "/" + root
-    else:
-        fs, root = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path \
-            else (pafs.LocalFileSystem(), path)
+    fs, root = _arrow_fs(path)
     dataset = ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True)
     return dataset.to_table(columns=columns)
