@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, exact, mixing, packing
+from . import chat, exact, html, lines, mixing, neighbours, packing, quality, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_html_text": html.op3_html_text,
+    "op4_quality": quality.op4_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op8_vector_search": neighbours.op8_vector_search,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLE = {

@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,34 +157,88 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text in one pass: start and end
-    byte of each, and how many each text has."""
-    if not len(raw):
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
+    """Consecutive rows of a batch, about ``limit`` bytes of text at a time (a
+    longer text is whole and alone): bounds what array work holds at once."""
+    sizes = batch.column(column).cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true bytes that do not cross a text's edge: first byte, end
+    byte, and how many runs each text has."""
+    if not len(inside):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets) - 1, np.int64)
-    solid = ~_IS_SPACE[raw]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[edges < len(raw)]
-    first[edges] = solid[edges]  # a text's first byte starts a word of its own
-    last = solid.copy()
-    last[:-1] &= ~solid[1:]
-    ends = edges[edges > 0] - 1
-    last[ends] = solid[ends]
+    edges = edges[(edges > 0) & (edges < len(inside))]
+    first[edges] = inside[edges]
+    last[edges - 1] = inside[edges - 1]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return starts, stops, counts
-
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial over the bytes (prefix sums,
-    so no per-word Python), then mixed. Equal spans hash alike anywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    values = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values * up[:len(raw)], out=sums[1:])
-    return mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    return starts, stops, np.diff(np.searchsorted(starts, offsets))
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text: see ``runs``."""
+    return runs(~_IS_SPACE[raw], offsets)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case, nothing else changed."""
+    return _LOWER[raw]
+
+
+class SpanHash:
+    """64-bit hashes of byte spans: a polynomial over the bytes from prefix
+    sums (no per-word Python), then mixed. Equal spans hash alike anywhere."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        up, self.down = _powers(len(raw))
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[stops] - self.sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with one fact row per key, where some keys hold
+    many rows. ``hot`` lists those keys (a table with a proven row bound, as
+    keys above 1/HOT_KEYS of the rows); their rows are dealt over as many salts
+    as there are shuffle partitions, and their facts are copied to each salt."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flag = F.broadcast(hot.select(F.col(key), F.lit(True).alias("__hot")))
+    left = rows.join(flag, key, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    right = facts.join(flag, key, "left").withColumn("__salt", F.explode(
+        F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+# A fixed-size set sketch: MAP_BITS bits in rows of 4 KB, so 2 MB at any input size.
+MAP_BITS = 1 << 24
+
+
+def bit_map(ids: DataFrame, col: str) -> DataFrame:
+    """``ids[col]`` (64-bit hashes) as a bitmap of fixed size."""
+    at = F.pmod(F.col(col), F.lit(MAP_BITS))
+    return ids.select((at / 32768).cast("int").alias("__page"), (at % 32768).alias("__bit")).groupBy("__page").agg(
+        F.bitmap_construct_agg("__bit").alias("__map"))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, col: str, flag: str = "__maybe") -> DataFrame:
+    """Adds ``flag``: false only where ``col`` surely is not among the ids of
+    the bitmap (2 MB, broadcast). Spares rows a shuffle; decides nothing."""
+    at = F.pmod(F.col(col), F.lit(MAP_BITS))
+    cut = rows.withColumns({"__page": (at / 32768).cast("int"), "__bit": (at % 32768).cast("int")})
+    hit = F.expr("(cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) >> (__bit % 8)) & 1")
+    return cut.join(F.broadcast(bitmap), "__page", "left").withColumn(
+        flag, F.coalesce(hit == 1, F.lit(False))).drop("__page", "__bit", "__map")
