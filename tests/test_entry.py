@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from emberline.plans import catalog
 
 ROWS_ONLY = {"fit_softmax", "fit_history", "fit_minibatch"}
 
@@ -16,7 +17,9 @@ def test_entry_runs(spark):
 
 
 def test_oracle_coverage():
-    q, o = entry.queries(), entry.oracle_sql()
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    q, o = catalog.QUERIES, catalog.ORACLE
+    assert set(q) <= set(entry.queries())
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
 
@@ -27,7 +30,7 @@ def duck():
     return make(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     from oracle_check import compare
     res = compare(spark, duck, SF_SMALL, name)
