@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, html, lines, mixing, neighbours, packing, quality, toxicity
+from . import chat, exact, html, lines, mixing, neighbours, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_vector_search": neighbours.op8_vector_search,
     "op9_chat_format": chat.op9_chat_format,
     "op10_line_dedup": lines.op10_line_dedup,

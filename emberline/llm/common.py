@@ -209,11 +209,13 @@ class SpanHash:
         return mix64((self.sums[stops] - self.sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame | None, by: list[str]) -> DataFrame:
     """Inner join of ``rows`` with one fact row per key, where some keys hold
     many rows. ``hot`` lists those keys (a table with a proven row bound, as
     keys above 1/HOT_KEYS of the rows); their rows are dealt over as many salts
-    as there are shuffle partitions, and their facts are copied to each salt."""
+    as there are shuffle partitions, and their facts are copied to each salt. None: there are none."""
+    if hot is None:
+        return rows.join(facts, key)
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flag = F.broadcast(hot.select(F.col(key), F.lit(True).alias("__hot")))
     left = rows.join(flag, key, "left").withColumn(

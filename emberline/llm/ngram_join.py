@@ -1,4 +1,12 @@
-"""Exact n-gram Jaccard join in the metric space of shingle sets."""
+"""Exact n-gram Jaccard join in the metric space of shingle sets.
+
+Jaccard distance is a metric. Pivots cut the sets into regions, sets near a
+border go to all regions a link could reach, and regions are joined exactly,
+with document pivots and the triangle inequality where they are large. Almost
+all documents lie at distance 1 from any document pivot, which would send
+every one to every region; so the first level takes single shingles as pivots
+(see ``set_components``), and document pivots work inside their regions.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, SpanHash, byte_slices, connected, lowered, mix64, read_table, salted_join, staged, text_bytes, words
+from .common import (
+    HOT_KEYS, SpanHash, attach_groups, bit_map, byte_slices, connected, lowered, maybe_in, mix64, ranked, read_table,
+    salted_join, staged, text_bytes, words)
 
 WORDS = 3
 NUM, DEN = 90, 100  # link when DEN * intersection >= NUM * union
@@ -93,3 +103,171 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
                     names=["doc_id", "sid", "n", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, sid long, n int, prefix array<long>")
+
+
+def frequent_shingles(prefixes: DataFrame) -> np.ndarray:
+    """The shingles that most sets hold among the first of theirs, sorted: a
+    list of bounded length. It only fixes the order in which shingles are
+    taken; any list gives the same links."""
+    sets = prefixes.where("n > 0").groupBy("sid").agg(F.any_value("prefix").alias("prefix"))
+    often = sets.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(
+        F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "t").limit(FREQUENT).select("t").toArrow()
+    return np.sort(often["t"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(sid, set)`` of the wanted sets, once each. The bitmap spares most
+    other sets the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, 0):
+                h, counts = shingle_sets(*text_bytes(part.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, counts).view(np.int64)), _lists(h, counts)],
+                                                 names=["sid", "set"])
+
+    every = docs.select("text").mapInArrow(run, "sid long, set array<long>")
+    few = maybe_in(every, staged(bit_map(wanted, "sid"), "map"), "sid").where("__maybe").groupBy("sid").agg(
+        F.any_value("set").alias("set"))
+    return few.join(wanted, "sid", "left_semi")
+
+
+def _often(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """Keys that hold more than 1/HOT_KEYS of the rows; fewer than a thousand are never many."""
+    if total <= 1000:
+        return None
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(1000, total // HOT_KEYS))
+
+
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, both, either)``: exact sizes of intersection and union."""
+    pairs = staged(pairs, "pairs")
+    total = pairs.count()
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    near = maybe_in(sets, staged(bit_map(ends, "sid"), "map"), "sid").where("__maybe")
+    one = salted_join(pairs, near.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a", _often(pairs, "a", total), ["b"])
+    two = salted_join(one, near.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b", _often(pairs, "b", total), ["a"])
+    both = F.size(F.array_intersect("x", "y"))
+    return staged(two.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")), "measured")
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where(F.col("both") * DEN >= F.col("either") * NUM).select("a", "b")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _grouped(regions: DataFrame, links: DataFrame) -> DataFrame:
+    """Regions with each set's component so far as ``grp``; regions that are
+    all one component are done and go."""
+    comp = connected(links).select(F.col("id").alias("sid"), F.col("component").alias("__c"))
+    now = staged(regions.drop("grp").join(comp, "sid", "left").withColumn("grp", F.coalesce("__c", "sid")).drop("__c"), "grouped")
+    mixed = now.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = staged(mixed.select("region", "n"), "mixed")
+    total = now.count()
+    hot = mixed.where(F.col("n") > max(1000, total // HOT_KEYS)) if total > 1000 else None
+    return staged(salted_join(now, mixed.select("region"), "region", hot, ["sid"]), "regions")
+
+
+def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
+    """``(id, component)`` over set ids: the components of all links.
+
+    1. Pivots of one shingle each: a set lies at distance 1 - 1/n from the
+       pivots of its own shingles and at 1 from all others. Linked sets share
+       a shingle among the first ``prefix`` of theirs, so a set goes to these
+       regions only. Regions of two sets are pairs; regions with the same
+       members are one region.
+    2. In every larger region one set is the pivot; its exact distance to all
+       members is measured, and members within the radius link to it.
+    3. Members that are still of different components meet in rounds: the next
+       32, 128, 512 ... members of the region are compared with those after them,
+       but only where the triangle inequality over the pivot leaves a chance
+       (rings of the radius, and one ring to each side), sizes allow a link,
+       and the components differ. Regions of one component leave.
+    Every pair of a region is measured, known to be connected, or ruled out,
+    so no link between components is lost."""
+    cells = uniques.select("sid", "n", F.explode("prefix").alias("t"))
+    buckets = staged(cells.groupBy("t").agg(
+        F.count("*").alias("k"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min("n").alias("small"),
+        F.max("n").alias("large"), F.bit_xor(F.xxhash64("sid")).alias("sig")).where("k > 1"), "buckets")
+    fits = F.col("small") * DEN >= F.col("large") * NUM
+    twos = buckets.where((F.col("k") == 2) & fits).select(*_pair("lo", "hi")).distinct()
+    total = uniques.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    more = buckets.where("k > 2")
+    members = salted_join(cells, more.select("t", F.xxhash64("sig", "k").alias("region")), "t",
+                          more.where(F.col("k") > max(1000, total // HOT_KEYS)), ["sid"]).select("region", "sid", "n").distinct()
+    members = staged(members, "members")
+    held = members.count()
+    regions = staged(ranked(members, ["region"], ["sid"], held), "regions")
+    hot = _often(regions, "region", held)
+    hot = hot if hot is None else staged(hot, "hot")
+
+    first = regions.where("rank = 0").select("region", F.col("sid").alias("p"))
+    around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
+    pairs = staged(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    sets = staged(_sets(docs, staged(ends, "ends")), "sets")
+    measured = _measure(pairs, sets)
+    links = staged(_links(measured), "links")
+    # rings as wide as the radius; whole numbers, so that no rounding moves a set
+    ring = F.floor((F.col("either") - F.col("both")) * DEN / (F.col("either") * (DEN - NUM)))
+    rings = measured.select("a", "b", ring.cast("int").alias("ring"))
+    placed = around.withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(rings, ["a", "b"], "left").select(
+        "region", "sid", "n", "rank", F.coalesce("ring", F.lit(0)).alias("ring"))
+    regions = _grouped(placed, links)
+
+    start, width = 1, 32
+    while True:
+        top = regions.agg(F.max("rank").alias("r")).first()["r"]
+        if top is None or top < start:
+            return connected(links)
+        cell = F.xxhash64("region", "ring")
+        asks = regions.where(F.col("rank").between(start, start + width - 1)).select(
+            "region", F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("rank").alias("cr"), F.col("grp").alias("cg"),
+            F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring")).select(
+            "c", "cn", "cr", "cg", cell.alias("cell"))
+        rest = regions.where(F.col("rank") >= start).select("sid", "n", "rank", "grp", cell.alias("cell"))
+        met = salted_join(rest, asks, "cell", _often(rest, "cell", held), ["sid"])
+        met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
+            F.least("n", "cn") * DEN >= F.greatest("n", "cn") * NUM))
+        new = _links(_measure(met.select(*_pair("sid", "c")).distinct(), sets))
+        if not new.isEmpty():
+            links = staged(links.unionByName(new), "links")
+            regions = _grouped(regions, links)
+        start, width = start + width, width * 4
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id`` and ``copies``
+    (rows with the same set).
+
+    Documents link when the Jaccard similarity of their shingle sets is at
+    least NUM / DEN; a component is named by its smallest id. Null and empty
+    texts have no shingles and link with nothing (null ids then have a null
+    component), equal sets always link, repeated ids are rows like any other,
+    other columns are ignored, an empty table gives no rows. Sets are known by
+    64-bit hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    frequent = frequent_shingles(staged(_prefixes(rows, np.zeros(0, np.uint64), 2), "prefixes"))
+    found = staged(_prefixes(rows, frequent, 1), "prefixes")
+    uniques = staged(found.where("n > 0").groupBy("sid").agg(
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("doc_id").alias("least"),
+        F.count("*").alias("copies")), "uniques")
+    comp = set_components(rows, uniques).select(F.col("id").alias("sid"), "component")
+    named = staged(uniques.select("sid", "least", "copies").join(comp, "sid", "left").withColumn(
+        "component", F.coalesce("component", "sid")), "named")
+    names = staged(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    hot = names.where(F.col("n") > max(1000, named.count() // HOT_KEYS))
+    facts = staged(salted_join(named, names.select("component", "component_id"), "component", hot, ["sid"]).select(
+        "sid", "component_id", "copies"), "facts")
+    whole = attach_groups(found.where("n > 0").select("doc_id", "sid", "n"), facts, ["sid"], "copies", found.count())
+    none = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                       F.lit(1).cast("long").alias("copies"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies").unionByName(none)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word Jaccard of at least 0.9."""
+    out = ngram_join(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "copies")

@@ -279,6 +279,22 @@ def score_texts(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text
     return rows.mapInArrow(run, SCHEMA)
 
 
+def drop_toxic(docs: DataFrame, model: Crf | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, all columns as they are, no
+    shuffle. Without a model every row stays."""
+    state = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, text):
+                ids = pa.array(np.arange(part.num_rows))
+                scored = _score(state.value, pa.RecordBatch.from_arrays([ids, part.column(text)], names=["k", "text"]))
+                yield part.filter(pa.compute.less(scored.column("score"), threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _SPAN = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("p", pa.float32())])
 
 
