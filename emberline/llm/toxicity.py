@@ -21,19 +21,22 @@ from .common import SpanHash, byte_slices, lowered, mix64, read_table, runs, tex
 from .ngram_join import shingle_sets
 
 # The classifier is fitted on a bounded sample of labelled rows.
-FIT_TOXIC, FIT_CLEAN = 1500, 4500  # documents of each label, at most
+FIT_TOXIC, FIT_CLEAN = 1500, 3000  # documents of each label, at most
 FIT_CHARS = 20_000  # longer documents are not sampled
 FIT_FEATURES = 20_000
 STEMS = (4, 5, 6, 7, 8, 9, 10)  # bytes
 SUPPORT, LIFT, PURE = 3, 4.0, 0.9
-SURE = 4.0  # standard deviations above what chance gives
+SURE = 5.0  # standard deviations above what chance gives
 THRESHOLD = 0.7
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray):
+KINDS = (0, *STEMS)  # the word itself, then its stems
+
+
+def tokens(raw: np.ndarray, offsets: np.ndarray, kinds=KINDS):
     """Runs of letters, and the hashes of each one's word and stems (0 where a
     word is shorter than the stem): ``(starts, stops, counts, keys)``."""
     low = lowered(raw)
@@ -42,8 +45,11 @@ def tokens(raw: np.ndarray, offsets: np.ndarray):
         low[1:][capital] += 32
     starts, stops, counts = runs(_LETTER[raw], offsets)
     spans = SpanHash(low)
-    keys = [spans.of(starts, stops)]
-    for n in STEMS:
+    keys = []
+    for n in kinds:
+        if n == 0:
+            keys.append(spans.of(starts, stops))
+            continue
         has = stops - starts >= n
         stem = np.zeros(len(starts), np.uint64)
         stem[has] = mix64(spans.of(starts[has], starts[has] + n) + np.uint64(n))
@@ -135,17 +141,27 @@ def fit(texts: list[str], toxic: np.ndarray, rates: tuple[float, float], epochs:
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    raw, offsets = text_bytes(pa.array(texts, pa.string()))
-    _, _, counts, keys = tokens(raw, offsets)
-    doc = np.repeat(np.arange(len(texts)), counts)
+    # one slice of text and one kind of key at a time: the driver holds no more
+    sample = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts = [text_bytes(part.column(0)) for part in byte_slices(sample, 0)]
+    counts = np.concatenate([tokens(*part, kinds=())[2] for part in parts])
+
+    def keys_of(kind: int) -> np.ndarray:
+        return np.concatenate([tokens(*part, kinds=(kind,))[3][0] for part in parts])
+
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     # a text and its near copies are one witness: those with the same least shingle
-    h, sizes = shingle_sets(raw, offsets)
     least = np.arange(len(texts), dtype=np.uint64)
-    least[sizes > 0] = h[(np.cumsum(sizes) - sizes)[sizes > 0]]
+    at = 0
+    for part in parts:
+        h, sizes = shingle_sets(*part)
+        least[at:at + len(sizes)][sizes > 0] = h[(np.cumsum(sizes) - sizes)[sizes > 0]]
+        at += len(sizes)
     single = np.zeros(len(texts), bool)
     single[np.unique(least, return_index=True)[1]] = True
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for k in keys:
+    for kind in KINDS:
+        k = keys_of(kind)
         use = single[doc] & (k != 0)
         order = np.lexsort((doc[use], k[use]))
         a, b = k[use][order], doc[use][order]
@@ -154,7 +170,8 @@ def fit(texts: list[str], toxic: np.ndarray, rates: tuple[float, float], epochs:
         key, at = np.unique(a[new], return_inverse=True)
         t = np.bincount(at, toxic[b[new]], minlength=len(key))
         c = np.bincount(at, minlength=len(key)) - t
-        found.append((key, t, c))
+        enough = t >= min(SUPPORT, toxic.sum())
+        found.append((key[enough], t[enough], c[enough]))
     key, t, c = (np.concatenate(x) for x in zip(*found))
     nt, nc = max(1, (toxic & single).sum()), max(1, (~toxic & single).sum())
     lift = ((t + 0.5) / nt) / ((c + 0.5) / nc)
@@ -164,7 +181,7 @@ def fit(texts: list[str], toxic: np.ndarray, rates: tuple[float, float], epochs:
     key, inverse = np.unique(key[chosen], return_index=True)
     pure = ((t / nt) / (t / nt + c / nc))[chosen][inverse] >= PURE
     model = Crf(key, np.zeros(len(key)), -4.0, np.array([-1.0, 0.0, 0.0]), np.zeros(5))
-    active = model.active(keys)
+    active = [pair for kind in KINDS for pair in model.active([keys_of(kind)])]
     y = np.zeros(len(doc))
     for token, feature in active:
         y[token[pure[feature]]] = 1.0
