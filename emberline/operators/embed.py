@@ -9,6 +9,7 @@ an unmasked mean over zero-padded rows would.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import join_small, prepare, read_model_table, write_model_table
-from .batching import _rebatch_by_count
+from ..session import join_small, prepare, read_model_table, shuffle_partitions, write_model_table
+from .batching import _rebatch_by_count, _rebatch_by_key
 from .generate import cached_state
 from .indexing import dense_index
 
@@ -128,19 +129,38 @@ class MeanPoolEncoder:
 
 
 def encode(df: DataFrame, encoder: MeanPoolEncoder, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = (), batch_size: int = 8, max_len: int = MAX_TOKENS) -> DataFrame:
+           keep: tuple[str, ...] = (), batch_size: int = 8, max_len: int = MAX_TOKENS,
+           batch_col: str | None = None, time_col: str | None = None) -> DataFrame:
     """``(id, *keep, embedding array<double>)`` through the predictor
-    harness (exact batches, model once per worker)."""
+    harness (exact batches, model once per worker).
+
+    With ``batch_col`` (one of ``keep``) every encoder call gets the rows of
+    exactly one batch id. With ``time_col`` the measured time of the call is
+    added, in equal parts on its rows, so a sum by batch is the batch's time."""
     prepare(df.sparkSession)
+    if batch_col:
+        spark = df.sparkSession
+        df = df.repartitionByRange(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)), batch_col)
     t = F.slice(tokens(text_col), 1, max_len)
     staged = df.select(id_col, *keep, text_col).select(
         id_col, *keep, F.transform(t, lambda x: md5_bucket(encoder.n_vectors, x)).alias("slots"))
     fields = [f for f in staged.schema.fields if f.name != "slots"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", embedding array<double>"
 
+    if time_col:
+        schema += f", {time_col} double"
+
     def run_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        return encoder.predict(pdf)
+        if not time_col:
+            return encoder.predict(pdf)
+        encoder.load()
+        began = time.perf_counter()
+        out = encoder.predict(pdf)
+        out[time_col] = (time.perf_counter() - began) / len(pdf)
+        return out
 
+    if batch_col:
+        return staged.sortWithinPartitions(batch_col).mapInPandas(_rebatch_by_key(run_batch, batch_col), schema)
     return staged.mapInPandas(_rebatch_by_count(run_batch, batch_size), schema)
 
 

@@ -34,13 +34,11 @@ def outcome_rollup(results_long: DataFrame) -> DataFrame:
 
 
 def run_record(stats: DataFrame, model: str, params: dict, batch_size: int, num_workers: int,
-               max_batch_rows: int = 1000, timestamp: str | None = None) -> DataFrame:
-    """K5: the one-row run report: model, time, sizes, totals from A1/A2 and
-    the batch rows with ``batch_id < max_batch_rows`` (a preview: batch ids
-    are dense, so the list is bounded; the full batch table is written next to
-    the report by ``sinks.write_run``). One aggregate pass, no joins."""
+               timestamp: str | None = None) -> DataFrame:
+    """K5: the one-row run report: model, time, sizes and the totals of A1/A2.
+    One aggregate pass over the batch table, which ``sinks.write_run`` keeps
+    whole next to the report."""
     ts = timestamp or datetime.now(timezone.utc).isoformat()
-    row = F.struct("batch_id", "num_texts", "embedding_dim", "inference_time", "throughput")
     total_time = F.sum("inference_time")
     return stats.agg(
         F.lit(model).alias("model"),
@@ -54,5 +52,4 @@ def run_record(stats: DataFrame, model: str, params: dict, batch_size: int, num_
         F.avg("throughput").alias("avg_batch_throughput"),
         F.max("embedding_dim").alias("embedding_dim"),
         F.lit(json.dumps(params, sort_keys=True)).alias("params"),
-        F.array_sort(F.collect_list(F.when(F.col("batch_id") < max_batch_rows, row))).alias("batch_results"),
     )

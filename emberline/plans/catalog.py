@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import batching as bt
 from ..operators import embed as em
 from ..operators import generate as gen
@@ -39,7 +40,7 @@ ORACLE: dict[str, str] = {}
 # batch sizes 8 and 2 workers are the reference configs' values; 128 tokens
 # per text for the encoder; 128 rows x workers per training step; lr 0.1.
 GREEDY = gen.SamplingParams(temperature=0.0, max_tokens=200)
-JOINED = gen.SamplingParams(temperature=0.0, max_tokens=24)
+JOINED = GREEDY
 WITH_STOP = gen.SamplingParams(temperature=0.0, max_tokens=40, stop=(".",))
 SAMPLED = gen.SamplingParams(temperature=1.0, top_p=0.9, max_tokens=40, n=3)
 BATCH_SIZE = 8
@@ -52,7 +53,6 @@ TRAIN_ROWS = 128
 SWEEP_LRS = (0.05, 0.1, 0.5)
 SWEEP_MOMENTA = (0.0, 0.9)
 FIT_EPOCHS = 10
-SHARDS = 4
 
 
 def query(name: str, oracle: str | None = None):
@@ -73,7 +73,7 @@ def conversation_file(spark: SparkSession, sf_dir: str) -> str:
     """Conversation turns as a prompt JSONL (``text``/``prompt`` keys, nulls
     written), shards ordered by turn key."""
     path = scratch_path(spark, "conv-prompts")
-    wr.write_ordered(conversation_records(spark, sf_dir), "prompt_id", path, SHARDS)
+    wr.write_ordered(conversation_records(spark, sf_dir), "prompt_id", path)
     return path
 
 
@@ -110,7 +110,7 @@ FROM documents WHERE regexp_matches(text, '\\S')""")
 def prompt_scan(spark, sf_dir):
     """Documents written as JSONL shards, read back as prompts."""
     path = scratch_path(spark, "doc-prompts")
-    wr.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", path, SHARDS)
+    wr.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", path)
     return src.read_prompts(spark, path)
 
 
@@ -122,16 +122,17 @@ def json_scan(spark, sf_dir):
     return fs.read_json(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-@query("csv_double_parquet", "SELECT event_id, user_id, event_type, value * 2 AS value FROM events")
+@query("csv_double_parquet", "SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value * 2 AS value, props FROM events")
 def csv_double_parquet(spark, sf_dir):
-    """S3 + P5 + K3: events -> CSV -> read with a schema -> value*2 -> Parquet."""
+    """S3 + P5 + K3: events, all columns -> CSV (``props`` needs quoting) ->
+    read with a schema -> value*2 -> Parquet."""
     csv_path = scratch_path(spark, "events-csv")
     pq_path = scratch_path(spark, "events-doubled")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    events.write.mode("overwrite").option("header", True).csv(csv_path)
-    back = fs.read_csv(spark, csv_path, schema="event_id long, user_id long, event_type string, value double")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    wr.write_csv(events, csv_path)
+    back = fs.read_csv(spark, csv_path, schema=events.schema)
     wr.write_parquet(back.withColumn("value", F.col("value") * 2), pq_path)
-    return spark.read.parquet(pq_path)
+    return spark.read.parquet(pq_path).withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("prompt_count", f"SELECT count(*) AS n_prompts FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL")
@@ -370,12 +371,33 @@ def embed_mean_pool(spark, sf_dir):
     return out.select("doc_id", "dim", r6(F.col("value")).alias("value"))
 
 
+@query("embed_pad_to_batch", f"""WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, embedding FROM embeddings),
+nv AS (SELECT count(*) AS n FROM embeddings),
+b AS (SELECT doc_id, {sql.tokens_sql('text')}[1:{em.MAX_TOKENS}] AS tk,
+  (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS batch_id FROM documents),
+p AS (SELECT doc_id, tk, max(len(tk)) OVER (PARTITION BY batch_id) AS padded FROM b),
+t AS (SELECT doc_id, padded, unnest(tk) AS tok FROM p),
+s AS (SELECT doc_id, padded, {MD5_BUCKET.format(col='tok', n='(SELECT n FROM nv)')} AS slot FROM t),
+x AS (SELECT doc_id, padded, unnest(embedding)::DOUBLE AS xv, unnest(range(len(embedding))) AS dim FROM s JOIN v USING (slot))
+SELECT doc_id, CAST(dim AS BIGINT) AS dim, round(sum(xv) / max(padded), 6) AS value FROM x GROUP BY doc_id, dim""")
+def embed_pad_to_batch(spark, sf_dir):
+    """Unmasked mean over the batch's padded length (zero rows count)."""
+    vecs, n = _vectors(spark, sf_dir)
+    kept = table(spark, sf_dir, "documents").select("doc_id", F.size(F.slice(tokens("text"), 1, em.MAX_TOKENS)).alias("k"))
+    batched = bt.assign_batches(kept, "doc_id", BATCH_SIZE)
+    padded = batched.groupBy("batch_id").agg(F.max("k").alias("padded"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(
+        batched.select("doc_id", "batch_id").join(padded, "batch_id").select("doc_id", "padded"), "doc_id")
+    out = em.embed(docs, vecs, n, pad_to="padded")
+    return out.select("doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
 def _encoded(spark, sf_dir, keep=()):
     vecs, _ = _vectors(spark, sf_dir)
     encoder = em.MeanPoolEncoder(spark, vecs)
     docs = doc_batches(spark, sf_dir, extra=("text", "n_chars")) if keep else \
         table(spark, sf_dir, "documents").select("doc_id", "text")
-    return em.encode(docs, encoder, keep=keep, batch_size=BATCH_SIZE)
+    return em.encode(docs, encoder, keep=keep, batch_size=BATCH_SIZE, batch_col="batch_id" if keep else None)
 
 
 @query("encode_predictor", EMBED_SQL)
@@ -570,15 +592,16 @@ def jsonl_sink(spark, sf_dir):
     return gen.long_form(back)
 
 
-@query("ordered_export", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS file_pos FROM documents")
+@query("ordered_export", "SELECT *, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS file_pos FROM documents")
 def ordered_export(spark, sf_dir):
     """K2: range-partitioned, sorted shards; read in file-name order they are
     globally ordered."""
     path = scratch_path(spark, "ordered")
-    wr.write_ordered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", path, SHARDS)
+    docs = table(spark, sf_dir, "documents")
+    wr.write_ordered(docs, "doc_id", path)
     lines = src.read_lines(spark, path)
-    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"),
-                        F.col("line_no").alias("file_pos"))
+    return lines.select(F.from_json("value", docs.schema).alias("r"), "line_no").select(
+        "r.*", F.col("line_no").alias("file_pos"))
 
 
 @query("run_partition", """SELECT 'job-7' AS run_id, event_type, count(*) AS n, round(sum(value * 2), 6) AS total FROM events
@@ -595,27 +618,35 @@ def run_partition(spark, sf_dir):
     return back.groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query("run_record", BATCH_STATS_SQL + f"""
-SELECT 'mean-pool-md5' AS model, CAST({WORKERS} AS BIGINT) AS num_actors, count(*) AS num_batches,
-  CAST({BATCH_SIZE} AS BIGINT) AS batch_size, CAST(sum(num_texts) AS BIGINT) AS total_texts,
-  round(sum(t), 6) AS total_time, round(sum(num_texts) / sum(t), 6) AS overall_throughput,
-  round(avg(CASE WHEN t > 0 THEN num_texts / t END), 6) AS avg_batch_throughput,
-  max(embedding_dim) AS embedding_dim, CAST(count(*) FILTER (WHERE batch_id < 1000) AS BIGINT) AS n_batch_rows FROM per""")
+@query("run_record", BATCH_STATS_SQL + f""",
+rep AS (SELECT count(*) AS num_batches, CAST(sum(num_texts) AS BIGINT) AS total_texts, round(sum(t), 6) AS total_time,
+  round(sum(num_texts) / sum(t), 6) AS overall_throughput,
+  round(avg(CASE WHEN t > 0 THEN num_texts / t END), 6) AS avg_batch_throughput, max(embedding_dim) AS embedding_dim FROM per)
+SELECT 'report' AS part, 'mean-pool-md5' AS model, CAST({WORKERS} AS BIGINT) AS num_actors,
+  CAST({BATCH_SIZE} AS BIGINT) AS batch_size, num_batches, CAST(-1 AS BIGINT) AS batch_id, total_texts AS num_texts,
+  embedding_dim, total_time AS inference_time, overall_throughput AS throughput, avg_batch_throughput FROM rep
+UNION ALL
+SELECT 'batch', '', 0, 0, 0, batch_id, num_texts, embedding_dim, round(t, 6),
+  round(CASE WHEN t > 0 THEN num_texts / t END, 6), 0.0 FROM per""")
 def run_record(spark, sf_dir):
-    """K5: run report written (config, report, full batch table) and read back."""
-    stats = _batch_stats(spark, sf_dir)
-    rec = mt.run_record(stats, "mean-pool-md5", {"batch_size": BATCH_SIZE, "max_tokens": em.MAX_TOKENS},
-                        BATCH_SIZE, WORKERS)
+    """K5: run folder written (config, report, full batch table) and read back:
+    the report row and every batch row."""
     path = scratch_path(spark, "run")
-    wr.write_run(rec, stats, path, config={"batch_size": BATCH_SIZE, "workers": WORKERS})
-    back = spark.read.json(os.path.join(path, "report"))
-    return back.select("model", F.col("num_actors").cast("long"), F.col("num_batches").cast("long"),
-                       F.col("batch_size").cast("long"), F.col("total_texts").cast("long"),
-                       r6(F.col("total_time")).alias("total_time"),
-                       r6(F.col("overall_throughput")).alias("overall_throughput"),
-                       r6(F.col("avg_batch_throughput")).alias("avg_batch_throughput"),
-                       F.col("embedding_dim").cast("long"),
-                       F.size("batch_results").cast("long").alias("n_batch_rows"))
+    wr.write_run(_batch_stats(spark, sf_dir), path, lambda stored: mt.run_record(
+        stored, "mean-pool-md5", {"batch_size": BATCH_SIZE, "max_tokens": em.MAX_TOKENS}, BATCH_SIZE, WORKERS),
+        config={"batch_size": BATCH_SIZE, "workers": WORKERS})
+    report = spark.read.json(os.path.join(path, "report")).select(
+        F.lit("report").alias("part"), "model", F.col("num_actors").cast("long"), F.col("batch_size").cast("long"),
+        F.col("num_batches").cast("long"), F.lit(-1).cast("long").alias("batch_id"),
+        F.col("total_texts").cast("long").alias("num_texts"), F.col("embedding_dim").cast("long"),
+        r6(F.col("total_time")).alias("inference_time"), r6(F.col("overall_throughput")).alias("throughput"),
+        r6(F.col("avg_batch_throughput")).alias("avg_batch_throughput"))
+    batches = spark.read.parquet(os.path.join(path, "batches")).select(
+        F.lit("batch").alias("part"), F.lit("").alias("model"),
+        *[F.lit(0).cast("long").alias(c) for c in ("num_actors", "batch_size", "num_batches")],
+        "batch_id", "num_texts", "embedding_dim", r6(F.col("inference_time")).alias("inference_time"),
+        r6(F.col("throughput")).alias("throughput"), F.lit(0.0).alias("avg_batch_throughput"))
+    return report.unionByName(batches)
 
 
 # ---------------------------------------------------------------- streaming
@@ -623,7 +654,7 @@ def _stream(spark, sf_dir, max_files):
     prompts = conversation_prompts(spark, sf_dir)
     in_dir = scratch_path(spark, "stream-in")
     out_dir = scratch_path(spark, "stream-out")
-    wr.write_ordered(prompts, "prompt_id", in_dir, 3)
+    wr.write_ordered(prompts, "prompt_id", in_dir)
     model = tm.argmax_model(doc_model(spark, sf_dir))
     predictor = gen.NextTokenPredictor(spark, model, WITH_STOP)
     st.score_stream(spark, in_dir, out_dir, predictor, BATCH_SIZE, max_files=max_files)

@@ -172,11 +172,11 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
 
 
 def write_model_table(df: DataFrame, name: str, max_rows: int, sort_keys: list | None = None,
-                      group_key: str | None = None) -> str:
+                      group_key: str | None = None, hint: str = "") -> str:
     """Write a model table to the shared folder for Python workers to load
     themselves (the driver only passes the path), then check it has at most
     ``max_rows`` rows: the count comes from the written Parquet, so the model
-    is computed once. With ``group_key``, each group's rows land in one file,
+    is computed once. ``name`` becomes a folder, ``hint`` goes into the error. With ``group_key``, each group's rows land in one file,
     sorted by ``sort_keys`` inside it (range partitioning by the group key)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -186,7 +186,7 @@ def write_model_table(df: DataFrame, name: str, max_rows: int, sort_keys: list |
         out = out.repartitionByRange(n, group_key).sortWithinPartitions(*(sort_keys or [group_key]))
     out.write.mode("overwrite").parquet(path)
     if spark.read.parquet(path).count() > max_rows:
-        raise ValueError(f"{name} has more than {max_rows} rows")
+        raise ValueError(f"{name} has more than {max_rows} rows" + (f" ({hint})" if hint else ""))
     return path
 
 

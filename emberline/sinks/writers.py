@@ -26,15 +26,27 @@ def write_results(df: DataFrame, path: str, run_id: str | None = None, mode: str
     return path
 
 
-def write_ordered(df: DataFrame, key: str, path: str, num_shards: int) -> str:
+def write_ordered(df: DataFrame, key: str, path: str, num_shards: int | None = None) -> str:
     """K2: shards whose concatenation in file-name order is sorted by ``key``:
     range partitioning puts key ranges in partition order, each shard is sorted
-    inside. Merging into one file is left to the caller (single machine)."""
-    (df.repartitionByRange(num_shards, key).sortWithinPartitions(key)
+    inside. Without ``num_shards`` their number follows the data (adaptive
+    execution joins small ranges). Merging into one file is left to the caller
+    (single machine)."""
+    ranged = df.repartitionByRange(num_shards, key) if num_shards else df.repartitionByRange(key)
+    (ranged.sortWithinPartitions(key)
        .write.mode("overwrite").option("ignoreNullFields", "false").json(path))
     return path
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """CSV with a header; quotes inside values are doubled, as ``sources.files.read_csv``
+    expects, and times keep their microseconds."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("timestampNTZFormat", micros)
+       .option("timestampFormat", micros + "XXX").csv(path))
+    return path
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
     """K3: Parquet (optionally partitioned)."""
     w = df.write.mode(mode)
@@ -44,13 +56,16 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     return path
 
 
-def write_run(record: DataFrame, stats: DataFrame, path: str, config: dict | None = None) -> str:
+def write_run(stats: DataFrame, path: str, record, config: dict | None = None) -> str:
     """K5: the run folder: ``config.json`` (a copy of the job settings),
-    ``report/`` (the one-row record) and ``batches/`` (the full batch table)."""
-    record.coalesce(1).write.mode("overwrite").json(os.path.join(path, "report"))
+    ``batches/`` (the full batch table) and ``report/`` (the one-row record).
+    ``record`` makes the report from the batch table; it is given the stored
+    one, so the run itself is computed once."""
+    spark = stats.sparkSession
     stats.write.mode("overwrite").parquet(os.path.join(path, "batches"))
+    stored = spark.read.parquet(os.path.join(path, "batches"))
+    record(stored).coalesce(1).write.mode("overwrite").json(os.path.join(path, "report"))
     if config is not None:
-        spark = record.sparkSession
         spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string") \
             .coalesce(1).write.mode("overwrite").text(os.path.join(path, "config.json"))
     return path

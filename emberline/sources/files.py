@@ -15,8 +15,9 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
-    """S3: CSV with a header row; a given schema avoids the inference pass."""
-    reader = spark.read.option("header", header)
+    """S3: CSV with a header row (quotes in values doubled); a given schema
+    avoids the inference pass."""
+    reader = spark.read.option("header", header).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     else:

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_non_blank
-from ..session import join_small, prepare
+from ..session import has_at_most, prepare, scratch_path
+
+# Rows of a split table that are broadcast (about 100 bytes each).
+SPLIT_ROWS = 2_000_000
 
 PROMPT_FIELDS = T.StructType([
     T.StructField("text", T.StringType()),
@@ -26,14 +29,16 @@ PROMPT_FIELDS = T.StructType([
 ])
 
 
-def read_lines(spark: SparkSession, path: str, max_split_broadcast: int = 200_000) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no long, value string)`` for every line of the text files under
     ``path``, numbered in file order without shuffling the lines.
 
     Each file split's lines are consecutive in ``monotonically_increasing_id``;
-    a tiny per-split table (count, first id) ordered by (file, block start)
-    gives each split its offset. The scan is deterministic, so both passes
-    read the same rows."""
+    a per-split table (count, first id) ordered by (file, block start) gives
+    each split its offset. It is counted once and stored, and broadcast while
+    it is proven to be within SPLIT_ROWS (128 MB splits: over 200 TB), so the
+    lines do not shuffle. A line whose split is not in the table (a scan cut
+    otherwise) fails the job."""
     raw = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
@@ -46,9 +51,15 @@ def read_lines(spark: SparkSession, path: str, max_split_broadcast: int = 200_00
     w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_block", "_mid0",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    lines = join_small(raw, offsets, ["_file", "_block"], max_rows=max_split_broadcast)
+    stored = scratch_path(spark, "splits")
+    offsets.write.parquet(stored)
+    table = spark.read.parquet(stored)
+    if has_at_most(table, SPLIT_ROWS):
+        table = F.broadcast(table)
+    lines = raw.join(table, ["_file", "_block"], "left")
+    at = F.col("_off") + F.col("_mid") - F.col("_mid0")
     return lines.select(
-        (F.col("_off") + F.col("_mid") - F.col("_mid0")).alias("line_no"),
+        F.when(at.isNull(), F.raise_error(F.lit("text split without an offset")).cast("long")).otherwise(at).alias("line_no"),
         F.col("value"),
     )
 

@@ -47,8 +47,7 @@ def test_write_run_folder(spark, tmp_dir):
                                   "batch_id long, num_texts long, embedding_dim long, inference_time double, "
                                   "throughput double")
     from emberline.operators import metrics as mt
-    rec = mt.run_record(stats, "m", {"k": 1}, 8, 2)
-    path = wr.write_run(rec, stats, os.path.join(tmp_dir, "run"), config={"k": 1})
+    path = wr.write_run(stats, os.path.join(tmp_dir, "run"), lambda s: mt.run_record(s, "m", {"k": 1}, 8, 2), config={"k": 1})
     assert spark.read.json(os.path.join(path, "report")).first().total_texts == 2
     assert spark.read.parquet(os.path.join(path, "batches")).count() == 1
     assert json.loads(spark.read.text(os.path.join(path, "config.json")).first().value) == {"k": 1}
