@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -221,9 +222,16 @@ def render(page: str | None) -> str:
         return ""
     out = _Renderer()
     open_tags: list[str] = []  # with the elements that hide their content
+    how_many: Counter = Counter()  # of each name; deep pages are not searched in vain
     hidden_from = -1  # depth of the outermost hidden element
     details: list[int] = []  # depths of closed <details>, whose summary alone shows
 
+    def last(tag: str) -> int:
+        k = len(open_tags) - 1
+        while open_tags[k] != tag:
+            k -= 1
+        return k
+
     def shown() -> bool:
         if hidden_from >= 0:
             return False
@@ -234,6 +242,7 @@ def render(page: str | None) -> str:
         while len(open_tags) > depth:
             visible = shown()
             tag = open_tags.pop()
+            how_many[tag] -= 1
             if hidden_from >= len(open_tags):
                 hidden_from = -1
             elif visible or tag == "details":
@@ -244,7 +253,7 @@ def render(page: str | None) -> str:
     def open_tag(tag: str, raw: str) -> None:
         nonlocal hidden_from
         targets, fence = CLOSES.get(tag, ((), ()))
-        if targets:
+        if targets and any(how_many[x] for x in targets):
             low = len(open_tags)
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k] in fence:
@@ -252,14 +261,13 @@ def render(page: str | None) -> str:
                 if open_tags[k] in targets:
                     low = k
             close_to(low)
-        if tag in P_ENDS and "p" in open_tags:
-            k = len(open_tags) - 1 - open_tags[::-1].index("p")
+        if tag in P_ENDS and how_many["p"]:
+            k = last("p")
             if not TABLE_PARTS.intersection(open_tags[k:]):
                 close_to(k)
-        if tag in ("td", "th") and "table" in open_tags and (
-                "tr" not in open_tags[len(open_tags) - open_tags[::-1].index("table"):]):
+        if tag in ("td", "th") and how_many["table"] and "tr" not in open_tags[last("table"):]:
             open_tag("tr", "")
-        if tag in TABLE_PARTS and "table" not in open_tags:
+        if tag in TABLE_PARTS and not how_many["table"]:
             tag = "div"  # parts without a table are plain blocks
         attrs = _attributes(raw) if hidden_from < 0 and raw and (
             "hidden" in raw.lower() or "style" in raw.lower() or tag in ("details", "dialog")) else {}
@@ -270,6 +278,7 @@ def render(page: str | None) -> str:
                 out.enter(tag, raw)
             return
         open_tags.append(tag)
+        how_many[tag] += 1
         if hidden_from >= 0:
             return
         if hides:
@@ -306,11 +315,11 @@ def render(page: str | None) -> str:
             tag = end.lower()
             if tag == "br":
                 open_tag("br", "")
-            elif tag == "p" and "p" not in open_tags:
+            elif tag == "p" and not how_many["p"]:
                 open_tag("p", "")
                 close_to(len(open_tags) - 1)
-            elif tag in open_tags:
-                k = len(open_tags) - 1 - open_tags[::-1].index(tag)
+            elif how_many[tag]:
+                k = last(tag)
                 # an end tag does not reach out of the cell or table it stands in
                 if tag in TABLE_PARTS or tag == "table" or not {"td", "th", "table"}.intersection(open_tags[k + 1:]):
                     close_to(k)
