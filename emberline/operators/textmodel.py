@@ -76,70 +76,76 @@ def argmax_model(counts: DataFrame) -> DataFrame:
     return best.select("ctx", F.col("b.next_token").alias("next_token"), (-F.col("b.neg")).alias("cnt"))
 
 
-def _keep_test(before, total, temperature: float, top_p: float):
-    """Nucleus membership ``before < top_p * total``; exact in integers at T = 1
-    (``top_p`` as a fraction with a small denominator)."""
+# Weights at T != 1 are whole numbers: this many steps for a context's most
+# frequent successor, one at least for any other. Sums of whole numbers do not
+# depend on their order, so an edge candidate is the same in every plan.
+GRID = 1 << 30
+
+
+def _weighted(counts: DataFrame, temperature: float) -> DataFrame:
+    """Adds ``w``: the count at T = 1, else ``(cnt / largest)^(1/T)`` on the grid."""
     if temperature == 1.0:
-        frac = Fraction(str(top_p)).limit_denominator(1000)
-        return F.lit(frac.denominator) * before < F.lit(frac.numerator) * total
-    return before < F.lit(top_p) * total
+        return counts.select("ctx", "next_token", "cnt", F.col("cnt").alias("w"))
+    top = counts.groupBy("ctx").agg(F.max("cnt").alias("_top"))
+    r = F.col("cnt").cast("double") / F.col("_top")
+    power = 1.0 / temperature
+    if power == int(power) and power <= 16:  # products: the same bits everywhere
+        share = r
+        for _ in range(int(power) - 1):
+            share = share * r
+    else:
+        share = F.pow(r, F.lit(power))
+    w = F.greatest(F.floor(share * F.lit(float(GRID))), F.lit(1)).cast("long")
+    return counts.join(top, "ctx").select("ctx", "next_token", "cnt", w.alias("w"))
 
 
-def _weight(temperature: float):
-    c = F.col("cnt").cast("double")
-    return c if temperature == 1.0 else F.pow(c, F.lit(1.0 / temperature))
+def _fraction(top_p: float) -> tuple[int, int]:
+    frac = Fraction(str(top_p)).limit_denominator(1000)
+    return frac.numerator, frac.denominator
 
 
-def _nucleus_window(counts: DataFrame, temperature: float, top_p: float) -> DataFrame:
+def _nucleus_window(counts: DataFrame, top_p: float) -> DataFrame:
     """Contexts of bounded size: one window per context, running mass before
     each candidate in (count desc, token asc) order."""
+    num, den = _fraction(top_p)
     w = Window.partitionBy("ctx").orderBy(F.col("cnt").desc(), F.col("next_token"))
-    wt = F.col("cnt") if temperature == 1.0 else _weight(temperature)
-    zero = F.lit(0) if temperature == 1.0 else F.lit(0.0)
-    ranked = counts.select("ctx", "next_token", "cnt",
-                           F.coalesce(F.sum(wt).over(w.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    ranked = counts.select("ctx", "next_token", "cnt", "w",
+                           F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                            .alias("_before"),
-                           F.sum(wt).over(Window.partitionBy("ctx")).alias("_total"))
-    return ranked.filter(_keep_test(F.col("_before"), F.col("_total"), temperature, top_p)).select(
-        "ctx", "next_token", "cnt")
+                           F.sum("w").over(Window.partitionBy("ctx")).alias("_total"))
+    return ranked.filter(F.lit(den) * F.col("_before") < F.lit(num) * F.col("_total")).select(
+        "ctx", "next_token", "cnt", "w")
 
 
-def _nucleus_levels(counts: DataFrame, temperature: float, top_p: float) -> DataFrame:
+def _nucleus_levels(counts: DataFrame, top_p: float) -> DataFrame:
     """Hot contexts: work by count level. All tokens of one (ctx, cnt) level
     share a weight, so the running mass is a window over levels (at most
     ~sqrt(2 * total) per context); whole levels are kept or dropped without
     ranking and only the straddling level ranks its tokens, with the skew-safe
     :func:`rank_within` (one level may be spread over many tasks)."""
-    levels = counts.groupBy("ctx", "cnt").agg(F.count(F.lit(1)).alias("k"))
+    num, den = _fraction(top_p)
+    levels = counts.groupBy("ctx", "cnt", "w").agg(F.count(F.lit(1)).alias("k"))
     w_before = Window.partitionBy("ctx").orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("ctx")
-    if temperature == 1.0:
-        frac = Fraction(str(top_p)).limit_denominator(1000)
-        num, den = frac.numerator, frac.denominator
-        mass = F.col("cnt") * F.col("k")
-        lv = levels.select("ctx", "cnt", "k", F.coalesce(F.sum(mass).over(w_before), F.lit(0)).alias("before"),
-                           F.sum(mass).over(w_all).alias("total"))
-        x = F.lit(num) * F.col("total") - F.lit(den) * F.col("before")
-        y = F.lit(den) * F.col("cnt")
-        m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.floor((x - 1) / y).cast("long") + 1))
-    else:
-        wt = _weight(temperature)
-        lv = levels.select("ctx", "cnt", "k", F.coalesce(F.sum(wt * F.col("k")).over(w_before), F.lit(0.0))
-                           .alias("before"), F.sum(wt * F.col("k")).over(w_all).alias("total"))
-        gap = F.lit(top_p) * F.col("total") - F.col("before")
-        m = F.when(gap <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.ceil(gap / _weight(temperature)).cast("long")))
+    mass = F.col("w") * F.col("k")
+    lv = levels.select("ctx", "cnt", "w", "k", F.coalesce(F.sum(mass).over(w_before), F.lit(0)).alias("before"),
+                       F.sum(mass).over(w_all).alias("total"))
+    x = F.lit(num) * F.col("total") - F.lit(den) * F.col("before")
+    y = F.lit(den) * F.col("w")
+    m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.floor((x - 1) / y).cast("long") + 1))
     lv = lv.select("ctx", "cnt", "k", m.alias("m")).filter(F.col("m") > 0)
     j = counts.join(lv, ["ctx", "cnt"])
-    whole = j.filter(F.col("m") == F.col("k")).select("ctx", "next_token", "cnt")
+    whole = j.filter(F.col("m") == F.col("k")).select("ctx", "next_token", "cnt", "w")
     cut = rank_within(j.filter(F.col("m") < F.col("k")), ["ctx", "cnt"], [F.col("next_token")], "_r")
-    return whole.unionByName(cut.filter(F.col("_r") < F.col("m")).select("ctx", "next_token", "cnt"))
+    return whole.unionByName(cut.filter(F.col("_r") < F.col("m")).select("ctx", "next_token", "cnt", "w"))
 
 
 def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
             hot_successors: int = 100_000, max_hot_broadcast: int = 200_000) -> DataFrame:
     """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
     *before* them (count desc, token asc) is below ``top_p``; weight =
-    cnt^(1/T). At T = 1 the test is exact integer arithmetic.
+    cnt^(1/T), on a grid of whole numbers. The test is exact integer
+    arithmetic at every temperature, so both routes below give the same rows.
 
     Hot groups are split off explicitly: a partial aggregate counts distinct
     successors per context; contexts above ``hot_successors`` (few, and their
@@ -147,16 +153,16 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
     all others one bounded window per context."""
     if temperature <= 0:
         raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
-    counts = counts.select("ctx", "next_token", "cnt").persist(StorageLevel.MEMORY_AND_DISK)
+    counts = _weighted(counts.select("ctx", "next_token", "cnt"), temperature).persist(StorageLevel.MEMORY_AND_DISK)
     hot = (counts.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_successors).select("ctx"))
     if hot.isEmpty():
-        kept = _nucleus_window(counts, temperature, top_p)
+        kept = _nucleus_window(counts, top_p)
     else:
         hot_b = F.broadcast(hot) if has_at_most(hot, max_hot_broadcast) else hot
-        kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), temperature, top_p)
-                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), temperature, top_p)))
-    return kept.select("ctx", "next_token", "cnt", _weight(temperature).alias("weight"))
+        kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), top_p)
+                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), top_p)))
+    return kept.select("ctx", "next_token", "cnt", F.col("w").cast("double").alias("weight"))
 
 
 def detokenise_text(df: DataFrame, tokens_col: str = "tokens", out: str = "detok") -> DataFrame:

@@ -43,6 +43,7 @@ GREEDY = gen.SamplingParams(temperature=0.0, max_tokens=200)
 JOINED = GREEDY
 WITH_STOP = gen.SamplingParams(temperature=0.0, max_tokens=40, stop=(".",))
 SAMPLED = gen.SamplingParams(temperature=1.0, top_p=0.9, max_tokens=40, n=3)
+REFERENCE = gen.SamplingParams(temperature=0.2, top_p=0.9, max_tokens=200)
 BATCH_SIZE = 8
 WORKERS = 2
 MAX_MODEL_LEN = 2048
@@ -315,6 +316,19 @@ def generate_n(spark, sf_dir):
     return gen.long_form(gen.generate(doc_prompts(spark, sf_dir), predictor, BATCH_SIZE))
 
 
+@query("generate_reference", f"""SELECT r.prompt_id, d.text AS prompt, CAST(1 AS BIGINT) AS n_completions, generated_text,
+  finish_reason, num_tokens FROM ({sql.sampled_sql(DOC_PROMPTS_SQL, REFERENCE.max_tokens, 1, weight=sql.WEIGHT_T02)}) r
+JOIN documents d ON d.doc_id = r.prompt_id""")
+def generate_reference(spark, sf_dir):
+    """I1 + I6 + P4 with the settings every reference config uses (T = 0.2,
+    top_p = 0.9, 200 tokens, one completion): result rows beside their prompt."""
+    model = tm.nucleus(doc_model(spark, sf_dir), REFERENCE.temperature, REFERENCE.top_p)
+    res = gen.generate(doc_prompts(spark, sf_dir), gen.NextTokenPredictor(spark, model, REFERENCE), BATCH_SIZE)
+    return res.select("prompt_id", "prompt", F.size("generated_text").cast("long").alias("n_completions"),
+                      F.col("generated_text")[0].alias("generated_text"), F.col("finish_reason")[0].alias("finish_reason"),
+                      F.col("num_tokens")[0].cast("long").alias("num_tokens"))
+
+
 @query("finish_reasons", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
 def finish_reasons(spark, sf_dir):
     """I8: stop string '.', 40-token cap: both finish reasons occur."""

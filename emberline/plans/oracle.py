@@ -71,23 +71,30 @@ gen AS (
 """
 
 
-def sampled_sql(prompts_sql: str, max_tokens: int, n: int, top_num: int = 9, top_den: int = 10) -> str:
-    """Nucleus sampling at T = 1 as a recursive CTE: candidates kept while
-    ``den * before < num * total``; the draw ``u = md5(prompt_id:sample:step)``
+# Weights at T = 0.2, the fifth power of a count's share on the grid (same product as in Spark).
+WEIGHT_T02 = ("greatest(CAST(floor((r * r * r * r * r) * 1073741824.0) AS BIGINT), 1)")
+
+
+def sampled_sql(prompts_sql: str, max_tokens: int, n: int, top_num: int = 9, top_den: int = 10,
+                weight: str = "cnt") -> str:
+    """Nucleus sampling as a recursive CTE, at T = 1 or with the ``weight`` of
+    another temperature: candidates kept while ``den * before < num * total``; the draw ``u = md5(prompt_id:sample:step)``
     picks the candidate whose cumulative interval holds ``u * mass``."""
     u = ("(CAST(('0x' || substr(md5(CAST(prompt_id AS VARCHAR) || ':' || CAST(sample AS VARCHAR) || ':' "
          "|| CAST(step + 1 AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)")
     return f"""
 WITH RECURSIVE {model_ctes()},
+shares AS (SELECT *, CAST(cnt AS DOUBLE) / max(cnt) OVER (PARTITION BY ctx) AS r FROM counts),
+weighted AS (SELECT ctx, next_token, cnt, {weight} AS w FROM shares),
 nuc AS MATERIALIZED (
-    SELECT ctx, next_token, cnt,
-           coalesce(sum(cnt) OVER (PARTITION BY ctx ORDER BY cnt DESC, next_token
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-           sum(cnt) OVER (PARTITION BY ctx) AS total
-    FROM counts),
+    SELECT ctx, next_token, w,
+           coalesce(sum(w) OVER (PARTITION BY ctx ORDER BY cnt DESC, next_token
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+           sum(w) OVER (PARTITION BY ctx) AS total
+    FROM weighted),
 cand AS MATERIALIZED (
-    SELECT ctx, next_token, CAST(before AS DOUBLE) AS lo, CAST(before + cnt AS DOUBLE) AS hi,
-           CAST(sum(cnt) OVER (PARTITION BY ctx) AS DOUBLE) AS mass
+    SELECT ctx, next_token, CAST(before AS DOUBLE) AS lo, CAST(before + w AS DOUBLE) AS hi,
+           CAST(sum(w) OVER (PARTITION BY ctx) AS DOUBLE) AS mass
     FROM nuc WHERE {top_den} * before < {top_num} * total),
 prompts AS ({prompts_sql}),
 starts AS (SELECT prompt_id, {tokens_sql('prompt')}[-1] AS tok FROM prompts),
