@@ -25,6 +25,7 @@ WORDS = 3
 NUM, DEN = 90, 100  # link when DEN * intersection >= NUM * union
 FREQUENT = 1 << 20  # frequent shingles that are put last in the order, at most
 FREQUENT_FROM = 16  # sets a shingle must be seen in to be one of them
+SKETCH = 64  # counters of a set's sketch
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -79,8 +80,13 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
-    """``(doc_id, sid, n, prefix)`` with ``times`` the prefix needed, in the
-    order: frequent shingles last, else by hash."""
+    """``(doc_id, sid, n, prefix, sketch)`` with ``times`` the prefix needed, in
+    the order: frequent shingles last, else by hash.
+
+    The sketch counts a set's shingles in SKETCH classes of their hash. Shared
+    shingles share a class, so the sum of the lesser counts is at least the
+    intersection: the (weighted Jaccard) distance of two sketches is a metric
+    too, and never above the distance of their sets."""
     state = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +95,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
             for part in byte_slices(batch, 1):
                 h, counts = shingle_sets(*text_bytes(part.column(1)))
                 ids = set_ids(h, counts)
+                cell = np.repeat(np.arange(len(counts)), counts) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
+                sketch = pa.ListArray.from_arrays(
+                    np.arange(len(counts) + 1, dtype=np.int32) * SKETCH,
+                    pa.array(np.bincount(cell, minlength=len(counts) * SKETCH).astype(np.int32)))
                 take = np.minimum(prefix_sizes(counts) * times, counts)
                 if len(last):
                     at = np.searchsorted(last, h)
@@ -99,10 +109,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
                 place = np.arange(len(h)) - np.repeat(first, counts)
                 h = h[place < np.repeat(take, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int32)), _lists(h, take)],
-                    names=["doc_id", "sid", "n", "prefix"])
+                    [part.column(0), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int32)), _lists(h, take),
+                     sketch], names=["doc_id", "sid", "n", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, sid long, n int, prefix array<long>, sketch array<int>")
 
 
 def frequent_shingles(prefixes: DataFrame) -> np.ndarray:
@@ -138,16 +148,32 @@ def _often(rows: DataFrame, key: str, total: int) -> DataFrame | None:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(1000, total // HOT_KEYS))
 
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, both, either)``: exact sizes of intersection and union."""
-    pairs = staged(pairs, "pairs")
+def _joined(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
+    """Pairs ``(a, b)`` with both sides' ``value`` as ``x`` and ``y``."""
     total = pairs.count()
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
+    near = maybe_in(facts.select("sid", value), staged(bit_map(ends, "sid"), "map"), "sid").where("__maybe")
+    one = salted_join(pairs, near.select(F.col("sid").alias("a"), F.col(value).alias("x")), "a", _often(pairs, "a", total), ["b"])
+    return salted_join(one, near.select(F.col("sid").alias("b"), F.col(value).alias("y")), "b", _often(pairs, "b", total), ["a"])
+
+
+def _sketched(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
+    """``(a, b, both, either)`` of the sketches: no more than the sets differ."""
+    both = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    size = F.aggregate(F.zip_with("x", "y", lambda p, q: p + q), F.lit(0), lambda t, v: t + v)
+    out = _joined(staged(pairs, "pairs"), uniques, "sketch").select("a", "b", both.alias("both"), size.alias("__s"))
+    return staged(out.select("a", "b", "both", (F.col("__s") - F.col("both")).alias("either")), "sketched")
+
+
+def _verified(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs that link by the exact similarity of their whole sets; only
+    those whose sketches allow it are read."""
+    pairs = staged(_links(sketched), "pairs")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    near = maybe_in(sets, staged(bit_map(ends, "sid"), "map"), "sid").where("__maybe")
-    one = salted_join(pairs, near.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a", _often(pairs, "a", total), ["b"])
-    two = salted_join(one, near.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b", _often(pairs, "b", total), ["a"])
+    sets = staged(_sets(docs, staged(ends, "ends")), "sets")
     both = F.size(F.array_intersect("x", "y"))
-    return staged(two.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")), "measured")
+    return _links(_joined(pairs, sets, "set").select(
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")))
 
 
 def _links(measured: DataFrame) -> DataFrame:
@@ -178,8 +204,10 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
        a shingle among the first ``prefix`` of theirs, so a set goes to these
        regions only. Regions of two sets are pairs; regions with the same
        members are one region.
-    2. In every larger region one set is the pivot; its exact distance to all
-       members is measured, and members within the radius link to it.
+    2. In every larger region one set is the pivot. Its distance to all members
+       is measured on the sketches, a metric space in which no distance is
+       larger, so what is too far apart there cannot link; members that may be
+       within the radius are verified on the whole sets.
     3. Members that are still of different components meet in rounds: the next
        32, 128, 512 ... members of the region are compared with those after them,
        but only where the triangle inequality over the pivot leaves a chance
@@ -206,13 +234,11 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
     first = regions.where("rank = 0").select("region", F.col("sid").alias("p"))
     around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
     pairs = staged(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = staged(_sets(docs, staged(ends, "ends")), "sets")
-    measured = _measure(pairs, sets)
-    links = staged(_links(measured), "links")
+    sketched = _sketched(pairs, uniques)
+    links = staged(_verified(docs, sketched), "links")
     # rings as wide as the radius; whole numbers, so that no rounding moves a set
     ring = F.floor((F.col("either") - F.col("both")) * DEN / (F.col("either") * (DEN - NUM)))
-    rings = measured.select("a", "b", ring.cast("int").alias("ring"))
+    rings = sketched.select("a", "b", ring.cast("int").alias("ring"))
     placed = around.withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(rings, ["a", "b"], "left").select(
         "region", "sid", "n", "rank", F.coalesce("ring", F.lit(0)).alias("ring"))
     regions = _grouped(placed, links)
@@ -231,8 +257,9 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
         met = salted_join(rest, asks, "cell", _often(rest, "cell", held), ["sid"])
         met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
             F.least("n", "cn") * DEN >= F.greatest("n", "cn") * NUM))
-        new = _links(_measure(met.select(*_pair("sid", "c")).distinct(), sets))
-        if not new.isEmpty():
+        close = _sketched(met.select(*_pair("sid", "c")).distinct(), uniques)
+        new = staged(_verified(docs, close), "new") if not _links(close).isEmpty() else None
+        if new is not None and not new.isEmpty():
             links = staged(links.unionByName(new), "links")
             regions = _grouped(regions, links)
         start, width = start + width, width * 4
@@ -252,7 +279,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     frequent = frequent_shingles(staged(_prefixes(rows, np.zeros(0, np.uint64), 2), "prefixes"))
     found = staged(_prefixes(rows, frequent, 1), "prefixes")
     uniques = staged(found.where("n > 0").groupBy("sid").agg(
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("doc_id").alias("least"),
+        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"),
+        F.min("doc_id").alias("least"),
         F.count("*").alias("copies")), "uniques")
     comp = set_components(rows, uniques).select(F.col("id").alias("sid"), "component")
     named = staged(uniques.select("sid", "least", "copies").join(comp, "sid", "left").withColumn(
