@@ -28,6 +28,7 @@ STEMS = (4, 5, 6, 7, 8, 9, 10)  # bytes
 SUPPORT, LIFT, PURE = 3, 4.0, 0.9
 SURE = 5.0  # standard deviations above what chance gives
 THRESHOLD = 0.7
+FAINT = 0.05  # marginals below this are background
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -121,7 +122,9 @@ def forward_backward(e: np.ndarray, counts: np.ndarray, moves: np.ndarray) -> tu
 
 
 def doc_inputs(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What a document's marginals say: their sum, peak and odds of any."""
+    """What a document's marginals say: their sum, peak and odds of any. What
+    every token has a little of does not count, or length alone would add up."""
+    p = np.where(p >= FAINT, p, 0.0)
     edges = np.concatenate([[0], np.cumsum(counts)])
     total = np.concatenate([[0.0], np.cumsum(p)])
     odds = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-6)))])
