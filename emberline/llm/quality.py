@@ -25,61 +25,62 @@ QUANTILE = 0.99
 SLACK = 1.25  # on the quantile: languages with few trusted documents have a rough one
 HELD = 5  # one in HELD trusted documents sets thresholds and is not trained on
 BLOCK_BYTES = 8 << 20  # texts whose n-grams are listed together
-_BEGIN, _END = 0x110000, 0x110001  # beyond every code point
+_BEGIN, _END = 0x10FFFE, 0x10FFFF  # noncharacters that stand around every text
 
 
-def ngrams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of every event's n-grams. ``g[k]`` are those of ``k + 1``
-    characters that end in the event, and each event is a character of a text
-    or its end; ``events`` counts them by text."""
+def ngrams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a slice of texts, one for each event (a character of a
+    text, or its end): ``(distinct, which, events)``. ``distinct`` has a row of
+    ``order`` code points for each different n-gram, ``which`` the row of each
+    event, ``events`` how many events each text has."""
     codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
     n = len(offsets) - 1
     sizes = np.diff(chars) + order  # order - 1 begins and one end
     ends = np.cumsum(sizes)
-    line = np.full(int(ends[-1]) if n else 0, _BEGIN, np.uint64)
+    line = np.full(int(ends[-1]) if n else 0, _BEGIN, np.uint32)
     line[ends - 1] = _END
     line[np.arange(len(codes)) + np.repeat(np.arange(n) * order + order - 1, np.diff(chars))] = codes
     event = np.ones(len(line), bool)
-    first = ends - sizes
     for k in range(order - 1):
-        event[first + k] = False
-    g = [mix64(line + np.uint64(0x51))]
-    for k in range(1, order):
-        longer = np.zeros(len(line), np.uint64)
-        longer[1:] = mix64(g[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + line[1:] + np.uint64(k))
-        g.append(longer)
-    return [*g, event], sizes - order + 1
-
-
-def _names(order: int) -> list[str]:
-    """g4, c3, g3, c2, g2, c1, g1: an n-gram, the context (all but its last
-    character) and the ending (all but its first) of it, down to order 1."""
-    return [f"g{order}"] + [x for k in range(order - 1, 0, -1) for x in (f"c{k}", f"g{k}")]
-
-
-def _columns(g: list[np.ndarray], at: np.ndarray, order: int) -> list[np.ndarray]:
-    out = [g[order - 1][at]]
-    for k in range(order - 1, 0, -1):
-        out += [g[k - 1][at - 1], g[k - 1][at]]
-    return [x.view(np.int64) for x in out]
+        event[ends - sizes + k] = False
+    at = np.flatnonzero(event)
+    met = np.zeros(_END + 1, bool)
+    met[line] = True
+    letters = np.flatnonzero(met).astype(np.uint32)
+    if len(letters) <= 1 << 16 and order <= 4:  # 16 bits for each character of an n-gram
+        place = np.zeros(_END + 1, np.uint64)
+        place[letters] = np.arange(len(letters), dtype=np.uint64)
+        small = place[line]
+        packed = np.zeros(len(at), np.uint64)
+        for k in range(order):
+            packed |= small[at - k] << np.uint64(16 * k)
+        grams, which = np.unique(packed, return_inverse=True)
+        shifts = np.arange(order - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+        distinct = letters[((grams[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)]
+    else:
+        rows = np.stack([line[at - k] for k in range(order - 1, -1, -1)], axis=1)
+        distinct, which = np.unique(rows, axis=0, return_inverse=True)
+    return distinct, which.ravel(), sizes - order + 1
+
+
+def _strings(distinct: np.ndarray) -> list[str]:
+    order = distinct.shape[1]
+    text = np.ascontiguousarray(distinct, np.uint32).tobytes().decode("utf-32-le")
+    return [text[k:k + order] for k in range(0, len(text), order)]
 
 
 def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Distinct n-grams of all texts with their contexts, endings and counts."""
-    names = _names(order)
-
+    """``(g, c)``: the distinct n-grams of all texts and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 0):
-                *g, event = ngrams(*text_bytes(part.column(0)), order)[0]
-                at = np.flatnonzero(event)
-                _, first, counts = np.unique(g[order - 1][at], return_index=True, return_counts=True)
-                cols = [*_columns(g, at[first], order), counts]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[*names, "c"])
+                distinct, which, _ = ngrams(*text_bytes(part.column(0)), order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_strings(distinct), pa.string()), pa.array(np.bincount(which, minlength=len(distinct)))],
+                    names=["g", "c"])
 
-    rows = texts.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "c"]))
-    return rows.groupBy(names[0]).agg(F.sum("c").alias("c"), *[F.any_value(n).alias(n) for n in names[1:]])
+    return texts.mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -96,133 +97,182 @@ def _by_count(d: list[float]) -> Column:
 
 class KneserNey:
     """Tables of one model, one pair for each order ``k``: ``seen`` (n-gram ->
-    discounted share) and ``rest`` (context -> mass left to the order below)."""
+    discounted share) and ``rest`` (context, all but its last character -> mass
+    left to the order below)."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER) -> None:
         self.order = order
         self.seen, self.rest = {}, {}
         table = staged(counts, "ngrams")
         for k in range(order, 0, -1):
-            gram = f"g{k}"
             d = _discounts(table)
             if k > 1:
-                ctx = f"c{k - 1}"
-                left = table.groupBy(ctx).agg(F.sum("c").alias("total"), F.sum(_by_count(d)).alias("held"))
-                share = table.select(gram, ctx, "c").join(left, ctx).select(
-                    gram, ((F.col("c") - _by_count(d)) / F.col("total")).alias(f"a{k}"))
-                self.rest[k] = staged(left.select(ctx, (F.col("held") / F.col("total")).alias(f"r{k}")), "rest")
+                cut = table.select("g", "c", F.substring("g", 1, k - 1).alias("ctx"))
+                left = cut.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(_by_count(d)).alias("held"))
+                share = cut.join(left, "ctx").select(
+                    F.col("g").alias(f"g{k}"), ((F.col("c") - _by_count(d)) / F.col("total")).alias(f"a{k}"))
+                self.rest[k] = staged(left.select(F.col("ctx").alias(f"c{k}"), (F.col("held") / F.col("total")).alias(f"r{k}")), "rest")
                 self.seen[k] = staged(share, "seen")
-                # the order below counts in how many n-grams it is an ending
-                below = _names(k - 1)
-                table = staged(table.groupBy(f"g{k - 1}").agg(
-                    F.count("*").alias("c"), *[F.any_value(n).alias(n) for n in below[1:]]), "ngrams")
+                # the order below counts in how many n-grams it is the ending
+                table = staged(table.groupBy(F.substring("g", 2, k - 1).alias("g")).agg(F.count("*").alias("c")), "ngrams")
             else:
                 row = table.agg(F.sum("c").alias("total"), F.sum(_by_count(d)).alias("held"), F.count("*").alias("v")).first()
                 total = row["total"] or 1
                 self.floor = (row["held"] or 1.0) / total / ((row["v"] or 0) + 1)  # one share for all that is unseen
-                self.seen[1] = staged(table.select(gram, ((F.col("c") - _by_count(d)) / total).alias("a1")), "seen")
+                self.seen[1] = staged(table.select(F.col("g").alias("g1"), ((F.col("c") - _by_count(d)) / total).alias("a1")), "seen")
 
     def log_probabilities(self, grams: DataFrame) -> DataFrame:
-        """``(g, logp)`` for n-grams given with their contexts and endings."""
-        out = grams.join(self.seen[1], "g1", "left")
-        p = F.coalesce("a1", F.lit(0.0)) + F.lit(self.floor)
-        for k in range(2, self.order + 1):
-            out = out.join(self.seen[k], f"g{k}", "left").join(self.rest[k], f"c{k - 1}", "left")
-            p = F.coalesce(f"a{k}", F.lit(0.0)) + F.coalesce(f"r{k}", F.lit(1.0)) * p
-        return out.select(F.col(f"g{self.order}").alias("g"), F.log(p).alias("logp"))
+        """``(g, logp)`` of n-grams ``(g)``."""
+        out, n = grams.select("g"), self.order
+        p = F.lit(self.floor)
+        for k in range(1, n + 1):
+            out = out.withColumn(f"g{k}", F.substring("g", n - k + 1, k)).join(self.seen[k], f"g{k}", "left")
+            if k > 1:
+                out = out.withColumn(f"c{k}", F.substring("g", n - k + 1, k - 1)).join(self.rest[k], f"c{k}", "left")
+            held = F.coalesce(f"r{k}", F.lit(1.0)) if k > 1 else F.lit(1.0)
+            p = F.coalesce(f"a{k}", F.lit(0.0)) + held * p
+        return out.select("g", F.log(p).alias("logp"))
+
+
+_POST = pa.schema([("block", pa.int64()), ("g", pa.string()), ("docs", pa.binary()), ("doc_id", pa.int64()),
+                   ("lang", pa.string()), ("events", pa.int64())])
 
 
-_POST = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("at", pa.binary()), ("counts", pa.binary()),
-                   ("doc_id", pa.int64()), ("lang", pa.string()), ("events", pa.int64())])
+def _varints(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
+    """Runs ``edges`` of small numbers, seven bits to a byte, low bits first."""
+    sizes = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        has = sizes > k
+        more = (sizes[has] > k + 1).astype(np.uint8) << 7
+        out[(ends - sizes)[has] + k] = ((values[has] >> (7 * k)) & 0x7F).astype(np.uint8) | more
+    at = np.concatenate([[0], ends])[edges].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(at), pa.py_buffer(out.tobytes())])
+
+
+def _from_varints(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and for each the row it stands in."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    last = raw < 0x80
+    stops = np.flatnonzero(last)
+    starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+    values = np.zeros(len(stops), np.int64)
+    for k in range(5):
+        has = starts + k <= stops
+        values[has] |= (raw[(starts + k)[has]].astype(np.int64) & 0x7F) << (7 * k)
+    return values, np.repeat(np.arange(len(column)), lengths)[stops]
 
 
 def _postings(docs: DataFrame, order: int) -> DataFrame:
-    """For each block of documents: one row for each distinct n-gram (which of
-    the block's documents hold it and how often, two and one bytes each), and
-    one row for each document (``at`` null, ``events`` its length)."""
+    """For each block of documents: one row for each distinct n-gram (``docs``:
+    which of the block's documents hold it and how often), and one row for each
+    document (``events`` not null, ``docs`` its place in the block)."""
 
-    def emit(block: int, base: int, ids: list, langs: list, events: list, found: list) -> Iterator[pa.RecordBatch]:
+    def emit(block: int, ids: list, langs: list, events: list, found: list) -> Iterator[pa.RecordBatch]:
         if not ids:
             return
         doc, gram, count = (np.concatenate(x) for x in zip(*found))
-        while (count > 255).any():  # one byte for each count: larger ones take several entries
-            big = count > 255
-            doc, gram, count = (np.concatenate([x, y]) for x, y in (
-                (doc, doc[big]), (gram, gram[big]), (np.where(big, 255, count), count[big] - 255)))
+        names, gram = np.unique(gram, return_inverse=True)
         order_ = np.lexsort((doc, gram))
         doc, gram, count = doc[order_], gram[order_], count[order_]
-        new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        edges = np.concatenate([new, [len(gram)]])
-        at = pa.BinaryArray.from_buffers(pa.binary(), len(new), [
-            None, pa.py_buffer((edges * 2).astype(np.int32)), pa.py_buffer(doc.astype("<u2").tobytes())])
-        held = pa.BinaryArray.from_buffers(pa.binary(), len(new), [
-            None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(count.astype(np.uint8).tobytes())])
-        for lo in range(0, len(new), 20_000):
-            n = min(20_000, len(new) - lo)
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        gap = np.where(new, doc, np.diff(doc, prepend=0))
+        # gap and count in one number, counts up to 4; larger ones go on in entries without a gap
+        entries = (count + 3) // 4
+        first = np.cumsum(entries) - entries
+        values = np.full(int(entries.sum()), 3, np.int64)
+        values[first + entries - 1] = count - 4 * (entries - 1) - 1
+        values[first] += gap << 2
+        starts = first[new]
+        held = _varints(values, np.concatenate([starts, [len(values)]]))
+        grams = pa.array(names[gram[new]].tolist(), pa.string())
+        for lo in range(0, len(starts), 20_000):
+            n = min(20_000, len(starts) - lo)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.array(gram[new[lo:lo + n]].view(np.int64)), at.slice(lo, n), held.slice(lo, n),
+                pa.array(np.full(n, block)), grams.slice(lo, n), held.slice(lo, n),
                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_POST)
         n = len(ids)
-        # document rows match no n-gram; their keys spread over the shards
-        spread = mix64(np.arange(n, dtype=np.uint64) + np.uint64(block) * np.uint64(1 << 17))
+        # rows of documents match no n-gram (their keys are longer) and spread over the shards
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(spread.view(np.int64)), pa.nulls(n, pa.binary()),
-            pa.array([int(k).to_bytes(2, "little") for k in range(n)], pa.binary()), pa.array(ids, pa.int64()),
-            pa.array(langs, pa.string()), pa.array(events, pa.int64())], schema=_POST)
+            pa.array(np.full(n, block)), pa.array([f"document {block} {k}" for k in range(n)], pa.string()),
+            _varints(np.arange(n), np.arange(n + 1)), pa.array(ids, pa.int64()), pa.array(langs, pa.string()),
+            pa.array(events, pa.int64())], schema=_POST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         ids, langs, events, found, size = [], [], [], [], 0
         for batch in batches:
             for part in byte_slices(batch, 1):
+                if size > BLOCK_BYTES:
+                    yield from emit(block, ids, langs, events, found)
+                    block += 1
+                    ids, langs, events, found, size = [], [], [], [], 0
                 raw, offsets = text_bytes(part.column(1))
-                for lo in range(0, part.num_rows, 30_000):  # documents are two bytes in a block
-                    hi = min(part.num_rows, lo + 30_000)
-                    if len(ids) + hi - lo > 60_000 or size > BLOCK_BYTES:
-                        yield from emit(block, 0, ids, langs, events, found)
-                        block += 1
-                        ids, langs, events, found, size = [], [], [], [], 0
-                    o = offsets[lo:hi + 1]
-                    (*g, event), n = ngrams(raw[o[0]:o[-1]], o - o[0], order)
-                    grams, local = np.unique(g[order - 1][event], return_inverse=True)
-                    key, counts = np.unique(np.repeat(np.arange(hi - lo), n) * len(grams) + local, return_counts=True)
-                    found.append((key // len(grams) + len(ids), grams[key % len(grams)], counts))
-                    ids += part.column(0).slice(lo, hi - lo).to_pylist()
-                    langs += part.column(2).slice(lo, hi - lo).to_pylist()
-                    events += n.tolist()
-                    size += int(o[-1] - o[0])
-        yield from emit(block, 0, ids, langs, events, found)
-
-    return docs.mapInArrow(run, "block long, g long, at binary, counts binary, doc_id long, lang string, events long")
-
-
-_SUMS = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("s", pa.float64()), ("doc_id", pa.int64()),
+                distinct, which, n = ngrams(raw, offsets, order)
+                key, counts = np.unique(np.repeat(np.arange(part.num_rows), n) * len(distinct) + which, return_counts=True)
+                names = np.array(_strings(distinct), dtype=f"U{order}")
+                found.append((key // len(distinct) + len(ids), names[key % len(distinct)], counts))
+                ids += part.column(0).to_pylist()
+                langs += part.column(2).to_pylist()
+                events += n.tolist()
+                size += len(raw)
+        yield from emit(block, ids, langs, events, found)
+
+    return docs.mapInArrow(run, "block long, g string, docs binary, doc_id long, lang string, events long")
+
+
+_SUMS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.int64()),
                    ("lang", pa.string()), ("events", pa.int64())])
+_HELD_SUMS = 1 << 20  # partial sums a task holds before it passes them on
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of count times log probability by document, for one batch of rows;
-    the rows of documents themselves pass."""
+    """Sums of count times log probability by document, packed by block, for
+    as many rows as a task holds; the rows of documents themselves pass."""
+    held: dict[int, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            at = {b: np.flatnonzero(v) for b, v in held.items()}
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(held), pa.int64()), pa.array([at[b].astype("<u4").tobytes() for b in held], pa.binary()),
+                pa.array([held[b][at[b]].astype("<f8").tobytes() for b in held], pa.binary()),
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_SUMS)
+            held.clear()
+
     for batch in batches:
-        head = batch.column("at").is_null()
+        head = batch.column("events").is_valid()
         rows, heads = batch.filter(pa.compute.invert(head)), batch.filter(head)
-        at, held = rows.column("at"), rows.column("counts")
-        sizes = pa.compute.binary_length(held).to_numpy(zero_copy_only=False)
-        doc = np.frombuffer(b"".join(at.to_pylist()), "<u2").astype(np.int64)
-        count = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
-        blocks, which = np.unique(rows.column("block").to_numpy(), return_inverse=True)
-        key, inverse = np.unique(np.repeat(which, sizes) * 65536 + doc, return_inverse=True)
-        logp = rows.column("logp").to_numpy(zero_copy_only=False)
-        total = np.bincount(inverse, np.repeat(logp, sizes) * count, minlength=len(key))
-        n = len(key)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(blocks[key // 65536]), pa.array((key % 65536).astype(np.int32)), pa.array(total),
-            pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_SUMS)
+        values, row = _from_varints(rows.column("docs"))
+        if len(values):
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            doc = np.cumsum(values >> 2)
+            doc -= np.repeat(doc[first] - (values[first] >> 2), np.diff(np.concatenate([first, [len(doc)]])))
+            counts, owner = (values & 3) + 1, row
+            logp = rows.column("logp").to_numpy(zero_copy_only=False)[owner] * counts
+            block = rows.column("block").to_numpy()[owner]
+            order_ = np.argsort(block, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order_])) + 1, [len(block)]])
+            for a, b in zip(cuts, cuts[1:]):
+                part = order_[a:b]
+                key, top = int(block[part[0]]), int(doc[part].max()) + 1
+                have = held.get(key, np.zeros(0))
+                if len(have) < top:
+                    have = np.concatenate([have, np.zeros(top - len(have))])
+                have[:top] += np.bincount(doc[part], logp[part], minlength=top)
+                held[key] = have
+            if sum(map(len, held.values())) > _HELD_SUMS:
+                yield from flush()
         if heads.num_rows:
-            own = np.frombuffer(b"".join(heads.column("counts").to_pylist()), "<u2").astype(np.int32)
+            place, _ = _from_varints(heads.column("docs"))
             yield pa.RecordBatch.from_arrays([
-                heads.column("block"), pa.array(own), pa.array(np.zeros(len(own))), heads.column("doc_id"),
-                heads.column("lang"), heads.column("events")], schema=_SUMS)
+                heads.column("block"), pa.array([int(k).to_bytes(4, "little") for k in place], pa.binary()),
+                pa.array([bytes(8)] * len(place), pa.binary()), heads.column("doc_id"), heads.column("lang"),
+                heads.column("events")], schema=_SUMS)
+    yield from flush()
 
 
 def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text",
@@ -238,12 +288,23 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     grams = count_ngrams(rows.select("text"), model.order).drop("c")
     logp = staged(model.log_probabilities(grams), "logp")
     sums = _postings(rows, model.order).join(logp, "g", "left").select(
-        "block", "logp", "at", "counts", "doc_id", "lang", "events").mapInArrow(
-        _partial, "block long, doc int, s double, doc_id long, lang string, events long")
-    return sums.groupBy("block", "doc").agg(
-        F.sum("s").alias("s"), F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"),
-        F.max("events").alias("events")).select(
-        "doc_id", "lang", "events", F.exp(-F.col("s") / F.col("events")).alias("perplexity"))
+        "block", "logp", "docs", "doc_id", "lang", "events").mapInArrow(
+        _partial, "block long, docs binary, sums binary, doc_id long, lang string, events long")
+    return sums.groupBy("block").applyInArrow(_finish, "doc_id long, lang string, events long, perplexity double")
+
+
+def _finish(table: pa.Table) -> pa.Table:
+    """The documents of one block from their partial sums (a block has a
+    bounded size, so has the group)."""
+    head = table["events"].is_valid()
+    heads, parts = table.filter(head), table.filter(pa.compute.invert(head))
+    total = np.zeros(heads.num_rows)
+    for docs, sums in zip(parts["docs"].to_pylist(), parts["sums"].to_pylist()):
+        total[np.frombuffer(docs, "<u4")] += np.frombuffer(sums, "<f8")
+    place = np.frombuffer(b"".join(heads["docs"].to_pylist()), "<u4")
+    events = heads["events"].to_numpy()
+    return pa.table({"doc_id": heads["doc_id"], "lang": heads["lang"], "events": heads["events"],
+                     "perplexity": pa.array(np.exp(-total[place] / events))})
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
