@@ -167,3 +167,18 @@ def test_a_line_in_every_document(spark):
     rows = [(k, f"the one line that all of them hold\nmine is number {k * 7919} {k * 104729}") for k in range(1500)]
     got = run_lines(spark, rows)
     assert sum(t.startswith("the one") for _, t in got) == 1 and got[(0, rows[0][1])] == 1
+
+
+def test_one_changed_letter_links(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(120):
+        line = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(12, 26)))
+        at = rng.choice([i for i, c in enumerate(line) if c != " "])
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + "#" + line[at + 1:])]
+    blankless = "".join(rng.choice(letters) for _ in range(200))
+    rows += [(900, blankless), (901, "x" + blankless), (902, "漢字" * 2 + blankless)]
+    got = run_lines(spark, rows)
+    assert sum(n for (_, text), n in got.items() if text) == 121
+    assert got == brute_lines(rows)
