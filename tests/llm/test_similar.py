@@ -182,3 +182,26 @@ def test_one_changed_letter_links(spark):
     got = run_lines(spark, rows)
     assert sum(n for (_, text), n in got.items() if text) == 121
     assert got == brute_lines(rows)
+
+
+def template_lines(seed, members, shared, own):
+    """Lines of one template, all below 0.8 of each other, and a near copy of every seventh."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    part = "".join(rng.choice(letters) for _ in range(shared))
+    lines_, copies = [], []
+    for k in range(members):
+        line = part + "".join(rng.choice(letters) for _ in range(own))
+        lines_.append(line)
+        if k % 7 == 0:
+            copies.append(line[:-2] + "##")
+    rows = [(k, x) for k, x in enumerate(lines_ + copies)]
+    return rows, len(copies)
+
+
+def test_near_copies_among_template_lines(spark):
+    for shared, own in ((130, 50), (50, 20)):
+        rows, planted = template_lines(shared, 300, shared, own)
+        got = run_lines(spark, rows)
+        assert sum(n for (_, text), n in got.items() if not text) == planted
+        assert got == brute_lines(rows)
