@@ -30,8 +30,11 @@ UNSEEN = frozenset(
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
-    "select summary table tbody td tfoot th thead tr ul caption".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset".split())
+    "select summary table tbody td tfoot th thead tr ul caption xmp plaintext".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset xmp plaintext".split())
+PRE = frozenset("pre xmp plaintext".split())
+# what may stand in a head; any other start tag there, or text, ends it
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 # an opening tag closes these open elements, looking up no further than the fence
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -174,7 +177,7 @@ class _Renderer:
             out.mark = mark
         elif tag in ("blockquote", "dd"):
             out.indent.append("    ")
-        elif tag == "pre":
+        elif tag in PRE:
             self.pre += 1
         elif tag == "hr":
             out.lines(["----"])
@@ -203,7 +206,7 @@ class _Renderer:
             out.indent.pop()
         elif tag in ("ul", "ol", "menu", "dir") and self.lists:
             self.lists.pop()
-        elif tag == "pre":
+        elif tag in PRE:
             self.pre -= 1
         if tag in BLOCK:
             out.need(2 if tag in SPACED and not self.lists else 1)
@@ -252,6 +255,8 @@ def render(page: str | None) -> str:
 
     def open_tag(tag: str, raw: str) -> None:
         nonlocal hidden_from
+        if open_tags and open_tags[-1] == "head" and tag not in HEAD:
+            close_to(len(open_tags) - 1)
         targets, fence = CLOSES.get(tag, ((), ()))
         if targets and any(how_many[x] for x in targets):
             low = len(open_tags)
@@ -294,6 +299,8 @@ def render(page: str | None) -> str:
     while at < n:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else n
+        if stop > at and open_tags and open_tags[-1] == "head" and html.unescape(page[at:stop]).strip(" \t\n\r\f"):
+            close_to(len(open_tags) - 1)
         if stop > at and shown():
             chunk = page[at:stop]
             out.text(html.unescape(chunk) if "&" in chunk else chunk)
@@ -309,6 +316,8 @@ def render(page: str | None) -> str:
                 stop = body.start() if body else n
                 if tag == "textarea" and shown():
                     out.text(html.unescape(page[at:stop]))
+                elif tag in PRE and shown():
+                    out.text(page[at:stop])
                 close_to(len(open_tags) - 1)
                 at = body.end() if body else n
         elif end:

@@ -75,3 +75,17 @@ def test_rows_of_odd_tables(spark):
     got = html.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["text"]) for r in got) == [(0, "a"), (1, ""), (2, "t"), (2, "t")]
     assert html.extract_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_head_ends_where_other_content_starts():
+    assert html.render("<html><head><title>t</title><p>all text<p>more") == "all text\n\nmore"
+    assert html.render("<head><meta charset=utf-8>\n<style>p{}</style> plain <b>text</b>") == "plain text"
+    assert html.render("<head><title>t</title>&amp; so") == "& so"
+    assert html.render("<head><title>t</title><noscript>no<p>no</noscript><template><p>no</template>\n<link rel=x><div>yes") == "yes"
+    assert html.render("<head>\n<title>t</title>\n</head>\n<body>b</body>") == "b"
+
+
+def test_xmp_and_plaintext_are_preformatted():
+    assert html.render("<p>a<xmp>x  <b>y</b>\n  &amp;</xmp>b") == "a\n\nx  <b>y</b>\n  &amp;\n\nb"
+    assert html.render("a<plaintext>x  y\n</plaintext><p>z") == "a\n\nx  y\n</plaintext><p>z"
+    assert html.render("<div hidden><xmp>no</xmp></div>yes") == "yes"
