@@ -146,7 +146,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _block_top(k: int):
-    """The ``k`` best rows of one block for every query sent to it."""
+    """The ``k`` best ids of one block, each by its best row, for every query sent to it."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
@@ -154,17 +154,26 @@ def _block_top(k: int):
         if not len(ids) or not len(qids):
             return schema.empty_table()
         x, q = _matrix(rows["v"]), _matrix(queries["v"])
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))  # row of each id
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), 256):
             s = q[at:at + 256] @ x.T
             s[qids[at:at + 256, None] == ids[None, :]] = -np.inf
-            if s.shape[1] > k:
-                edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            if len(first) > k:
+                of_id = s if len(first) == len(ids) else np.maximum.reduceat(s, first, axis=1)
+                edge = -np.partition(-of_id, k - 1, axis=1)[:, k - 1]
                 # whatever a rounding error could lift over the edge is measured again below
                 mine, near = np.nonzero((s >= (edge - 1e-9 * np.maximum(1.0, np.abs(edge)))[:, None]) & (s > -np.inf))
             else:
                 mine, near = np.nonzero(s > -np.inf)
             score = (q[at + mine] * x[near]).sum(axis=1)
+            order = np.lexsort((-score, ids[near], mine))
+            mine, near, score = mine[order], near[order], score[order]
+            best = np.ones(len(mine), bool)  # each id's best row
+            best[1:] = (mine[1:] != mine[:-1]) | (ids[near[1:]] != ids[near[:-1]])
+            mine, near, score = mine[best], near[best], score[best]
             order = np.lexsort((ids[near], -score, mine))
             mine, near, score = mine[order], near[order], score[order]
             place = np.arange(len(mine)) - np.searchsorted(mine, mine)
@@ -182,22 +191,22 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
     smaller id.
 
     Rows that ``valid_vectors`` leaves out take no part, nor do vectors of
-    another dimension than most; repeated ids count once per query; an empty
-    table gives no rows. Every row is indexed. There is a part for every
+    another dimension than most; repeated ids count once per query, by their
+    best row; an empty table gives no rows. Every row is indexed, equal rows once. There is a part for every
     ROWS_PER_PART sampled rows, and each part is cut into blocks of bounded size, as are the queries sent to it, so a part that
     draws a third of all rows is many tasks. Where the probed parts hold fewer
-    than ``LEAST * k`` rows, more parts are probed, all if need be."""
+    than ``LEAST * k`` ids, more parts are probed, all if need be."""
     spark = table.sparkSession
-    rows = staged(valid_vectors(table, id_col, vector_col), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    rows = staged(valid_vectors(table, id_col, vector_col).groupBy("vec_id", "v").agg(F.count("*").alias("n")), "vectors")
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dim, total = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dim)
+    dim = sizes[0]["d"]
+    rows = rows.where(F.size("v") == dim).drop("n")
     bound = max(64, min(fit_sample, FIT_BYTES // (8 * dim)))
     # the rows with the lowest hashed ids: bounded, and the same on every run
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(bound).select("v").toArrow()
     learn = _matrix(sample["v"])
     parts = parts or 1 << int(math.log2(max(1, len(learn) // ROWS_PER_PART)))
     probes = max(1, math.ceil(probe_share * parts))
@@ -227,12 +236,13 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
 
     index = staged(rows.mapInArrow(route(first), routed).select(
         F.col("parts")[0].alias("part"), "vec_id", "v"), "index")
-    held = np.zeros(parts, np.int64)  # rows of each part
-    for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():
-        held[r["part"]] = r["n"]
+    held, known = np.zeros(parts, np.int64), np.zeros(parts, np.int64)  # rows and ids of each part
+    for r in index.groupBy("part", "vec_id").agg(F.count("*").alias("n")).groupBy("part").agg(
+            F.sum("n").alias("n"), F.count("*").alias("ids")).collect():
+        held[r["part"]], known[r["part"]] = r["n"], r["ids"]
 
     def probed(order: np.ndarray) -> np.ndarray:
-        before = np.cumsum(held[order], axis=1) - held[order]
+        before = np.cumsum(known[order], axis=1) - known[order]
         return (np.arange(order.shape[1])[None, :] < probes) | (before < LEAST * k)
 
     asked = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).mapInArrow(route(probed), routed)
@@ -247,18 +257,18 @@ def search(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vecto
     queries_of = blocks([(r["part"], r["n"]) for r in sent], "qbs")
     grid = [index.join(rows_of, "part").join(queries_of, "part"), queries.join(rows_of, "part").join(queries_of, "part")]
 
-    def own(key: str, n: str) -> F.Column:
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    def own(keys: list[str], n: str) -> F.Column:
+        return F.pmod(F.xxhash64(*keys), F.col(n)).cast("int")
 
     def each(n: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = grid[0].withColumn("rb", own("vec_id", "rbs")).withColumn("qb", each("qbs")).select("part", "rb", "qb", "vec_id", "v")
-    right = grid[1].withColumn("qb", own("query_id", "qbs")).withColumn("rb", each("rbs")).select("part", "rb", "qb", "query_id", "v")
+    left = grid[0].withColumn("rb", own(["vec_id", "v"], "rbs")).withColumn("qb", each("qbs")).select("part", "rb", "qb", "vec_id", "v")
+    right = grid[1].withColumn("qb", own(["query_id"], "qbs")).withColumn("rb", each("rbs")).select("part", "rb", "qb", "query_id", "v")
     near = left.groupBy("part", "rb", "qb").cogroup(right.groupBy("part", "rb", "qb")).applyInArrow(
         _block_top(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a repeated id may come twice, so the k best distinct ids are within k of each block
+    # an id may come from several blocks; of those with its best row, it is among the k best ids
     once = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

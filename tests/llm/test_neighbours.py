@@ -68,3 +68,35 @@ def test_one_vector_in_most_rows(spark):
     rows = [(k, [1.0, 2.0] if k % 10 else [float(k), 1.0]) for k in range(5000)]
     out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda v: v == 1, k=3)
     assert [(r["rank"], r["vec_id"]) for r in out.orderBy("rank").collect()] == [(1, 4990), (2, 4980), (3, 4970)]
+
+
+def test_repeated_ids_do_not_push_out_others(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    near = [(61, (x[0] * (2 + m / 50)).tolist()) for m in range(30)]  # one id, many rows, all close to the query
+    for loaded, parts in ((rows + rows, 1), (rows + near, 1), (rows + rows + near, None)):
+        table = spark.createDataFrame(loaded, "vec_id long, embedding array<double>")
+        got = neighbours.search(table, lambda v: v == 0, k=20, parts=parts).orderBy("rank").collect()
+        assert [(r["vec_id"], r["rank"]) for r in got] == [(i, k + 1) for k, (i, _) in enumerate(brute(loaded, 0, 20))]
+
+
+def test_blocks_of_one_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS_PER_BLOCK", 50)
+    sizes = spark.sparkContext.accumulator(0)
+    top = neighbours._block_top
+
+    def watched(k):
+        run = top(k)
+
+        def seen(rows, queries):
+            if rows.num_rows > 150:
+                sizes.add(1)
+            return run(rows, queries)
+        return seen
+
+    monkeypatch.setattr(neighbours, "_block_top", watched)
+    rows = [(1, [1.0, k / 1000]) for k in range(1000)] + [(k, [0.5, float(k)]) for k in range(2, 40)]
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v == 2, k=3, parts=1)
+    assert [r["vec_id"] for r in out.orderBy("rank").collect()] == [39, 38, 37]
+    assert sizes.value == 0
