@@ -11,6 +11,7 @@ every one to every region; so the first level takes single shingles as pivots
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,17 @@ from .common import (
     HOT_KEYS, SpanHash, attach_groups, bit_map, byte_slices, connected, lowered, maybe_in, mix64, ranked, read_table,
     salted_join, staged, text_bytes, words)
 
-WORDS = 3
-NUM, DEN = 90, 100  # link when DEN * intersection >= NUM * union
+
+
+class Link(NamedTuple):
+    """Sets of shingles of ``words`` words link when den * intersection >= num * union."""
+
+    words: int
+    num: int
+    den: int
+
+
+OP7 = Link(3, 90, 100)
 FREQUENT = 1 << 20  # frequent shingles that are put last in the order, at most
 FREQUENT_FROM = 16  # sets a shingle must be seen in to be one of them
 SKETCH = 64  # counters of a set's sketch
@@ -30,7 +40,7 @@ SKETCH = 64  # counters of a set's sketch
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = OP7.words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each text, sorted: ``(hashes, counts)``.
     Texts of fewer words have their whole sequence as one shingle; texts
     without words have none."""
@@ -68,10 +78,10 @@ def set_ids(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ids
 
 
-def prefix_sizes(counts: np.ndarray) -> np.ndarray:
+def prefix_sizes(counts: np.ndarray, link: Link) -> np.ndarray:
     """How many first shingles, in any one order of all shingles, two linked
     sets cannot both miss: each set less its least overlap, and one."""
-    return np.where(counts > 0, counts - (counts * NUM + DEN - 1) // DEN + 1, 0)
+    return np.where(counts > 0, counts - (counts * link.num + link.den - 1) // link.den + 1, 0)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -79,7 +89,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int, link: Link) -> DataFrame:
     """``(doc_id, sid, n, prefix, sketch)`` with ``times`` the prefix needed, in
     the order: frequent shingles last, else by hash.
 
@@ -93,13 +103,13 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int) -> DataFrame:
         last = state.value
         for batch in batches:
             for part in byte_slices(batch, 1):
-                h, counts = shingle_sets(*text_bytes(part.column(1)))
+                h, counts = shingle_sets(*text_bytes(part.column(1)), link.words)
                 ids = set_ids(h, counts)
                 cell = np.repeat(np.arange(len(counts)), counts) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
                 sketch = pa.ListArray.from_arrays(
                     np.arange(len(counts) + 1, dtype=np.int32) * SKETCH,
                     pa.array(np.bincount(cell, minlength=len(counts) * SKETCH).astype(np.int32)))
-                take = np.minimum(prefix_sizes(counts) * times, counts)
+                take = np.minimum(prefix_sizes(counts, link) * times, counts)
                 if len(last):
                     at = np.searchsorted(last, h)
                     at[at == len(last)] = 0
@@ -125,13 +135,13 @@ def frequent_shingles(prefixes: DataFrame) -> np.ndarray:
     return np.sort(often["t"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
     """``(sid, set)`` of the wanted sets, once each. The bitmap spares most
     other sets the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 0):
-                h, counts = shingle_sets(*text_bytes(part.column(0)))
+                h, counts = shingle_sets(*text_bytes(part.column(0)), link.words)
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, counts).view(np.int64)), _lists(h, counts)],
                                                  names=["sid", "set"])
 
@@ -165,19 +175,19 @@ def _sketched(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
     return staged(out.select("a", "b", "both", (F.col("__s") - F.col("both")).alias("either")), "sketched")
 
 
-def _verified(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, sketched: DataFrame, link: Link) -> DataFrame:
     """The pairs that link by the exact similarity of their whole sets; only
     those whose sketches allow it are read."""
-    pairs = staged(_links(sketched), "pairs")
+    pairs = staged(_links(sketched, link), "pairs")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = staged(_sets(docs, staged(ends, "ends")), "sets")
+    sets = staged(_sets(docs, staged(ends, "ends"), link), "sets")
     both = F.size(F.array_intersect("x", "y"))
     return _links(_joined(pairs, sets, "set").select(
-        "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")))
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")), link)
 
 
-def _links(measured: DataFrame) -> DataFrame:
-    return measured.where(F.col("both") * DEN >= F.col("either") * NUM).select("a", "b")
+def _links(measured: DataFrame, link: Link) -> DataFrame:
+    return measured.where(F.col("both") * link.den >= F.col("either") * link.num).select("a", "b")
 
 
 def _pair(x: str, y: str) -> list:
@@ -196,7 +206,7 @@ def _grouped(regions: DataFrame, links: DataFrame) -> DataFrame:
     return staged(salted_join(now, mixed.select("region"), "region", hot, ["sid"]), "regions")
 
 
-def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
+def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame:
     """``(id, component)`` over set ids: the components of all links.
 
     1. Pivots of one shingle each: a set lies at distance 1 - 1/n from the
@@ -219,7 +229,7 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
     buckets = staged(cells.groupBy("t").agg(
         F.count("*").alias("k"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min("n").alias("small"),
         F.max("n").alias("large"), F.bit_xor(F.xxhash64("sid")).alias("sig")).where("k > 1"), "buckets")
-    fits = F.col("small") * DEN >= F.col("large") * NUM
+    fits = F.col("small") * link.den >= F.col("large") * link.num
     twos = buckets.where((F.col("k") == 2) & fits).select(*_pair("lo", "hi")).distinct()
     total = uniques.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
     more = buckets.where("k > 2")
@@ -235,9 +245,9 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
     around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
     pairs = staged(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), "pairs")
     sketched = _sketched(pairs, uniques)
-    links = staged(_verified(docs, sketched), "links")
+    links = staged(_verified(docs, sketched, link), "links")
     # rings as wide as the radius; whole numbers, so that no rounding moves a set
-    ring = F.floor((F.col("either") - F.col("both")) * DEN / (F.col("either") * (DEN - NUM)))
+    ring = F.floor((F.col("either") - F.col("both")) * link.den / (F.col("either") * (link.den - link.num)))
     rings = sketched.select("a", "b", ring.cast("int").alias("ring"))
     placed = around.withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(rings, ["a", "b"], "left").select(
         "region", "sid", "n", "rank", F.coalesce("ring", F.lit(0)).alias("ring"))
@@ -256,33 +266,33 @@ def set_components(docs: DataFrame, uniques: DataFrame) -> DataFrame:
         rest = regions.where(F.col("rank") >= start).select("sid", "n", "rank", "grp", cell.alias("cell"))
         met = salted_join(rest, asks, "cell", _often(rest, "cell", held), ["sid"])
         met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
-            F.least("n", "cn") * DEN >= F.greatest("n", "cn") * NUM))
+            F.least("n", "cn") * link.den >= F.greatest("n", "cn") * link.num))
         close = _sketched(met.select(*_pair("sid", "c")).distinct(), uniques)
-        new = staged(_verified(docs, close), "new") if not _links(close).isEmpty() else None
+        new = staged(_verified(docs, close, link), "new") if not _links(close, link).isEmpty() else None
         if new is not None and not new.isEmpty():
             links = staged(links.unionByName(new), "links")
             regions = _grouped(regions, links)
         start, width = start + width, width * 4
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: Link = OP7) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` and ``copies``
     (rows with the same set).
 
     Documents link when the Jaccard similarity of their shingle sets is at
-    least NUM / DEN; a component is named by its smallest id. Null and empty
+    least ``num / den`` of ``link``; a component is named by its smallest id. Null and empty
     texts have no shingles and link with nothing (null ids then have a null
     component), equal sets always link, repeated ids are rows like any other,
     other columns are ignored, an empty table gives no rows. Sets are known by
     64-bit hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(staged(_prefixes(rows, np.zeros(0, np.uint64), 2), "prefixes"))
-    found = staged(_prefixes(rows, frequent, 1), "prefixes")
+    frequent = frequent_shingles(staged(_prefixes(rows, np.zeros(0, np.uint64), 2, link), "prefixes"))
+    found = staged(_prefixes(rows, frequent, 1, link), "prefixes")
     uniques = staged(found.where("n > 0").groupBy("sid").agg(
         F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"),
         F.min("doc_id").alias("least"),
         F.count("*").alias("copies")), "uniques")
-    comp = set_components(rows, uniques).select(F.col("id").alias("sid"), "component")
+    comp = set_components(rows, uniques, link).select(F.col("id").alias("sid"), "component")
     named = staged(uniques.select("sid", "least", "copies").join(comp, "sid", "left").withColumn(
         "component", F.coalesce("component", "sid")), "named")
     names = staged(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
@@ -297,5 +307,5 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 3-word Jaccard of at least 0.9."""
-    out = ngram_join(read_table(spark, sf_dir, "documents"))
+    out = ngram_join(read_table(spark, sf_dir, "documents"), link=OP7)
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "copies")
