@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, html, lines, mixing, neighbours, ngram_join, packing, quality, toxicity
+from . import alignment, chat, exact, html, lines, mixing, neighbours, ngram_join, packing, quality, rules, toxicity, variants
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_vector_search": neighbours.op8_vector_search,
     "op9_chat_format": chat.op9_chat_format,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_quality_rules": rules.op12_quality_rules,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_spelling_variants": variants.OP11_SQL,
 }

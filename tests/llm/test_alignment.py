@@ -1,0 +1,117 @@
+"""Token alignment against a plain walk over both lists of tokens."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from conftest import SF_SMALL
+from emberline.llm import alignment
+
+ODD = [None, "", " ", "x", "  two  blanks ", "日本語のテキスト", "▁lower", "<|endoftext|> </s> <unk> <0x41>", "é" * 300,
+       "a" * 5000, "tab\tand\nline\r\n", "\x00nul", "emoji 👩‍👩‍👧 ß", "1234567890" * 30, "word " * 4000]
+
+
+@pytest.fixture(scope="module")
+def sides():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    piece = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def level(token):  # byte-level decoding by the tokenizer's own table of visible characters
+        table, free = {}, 0
+        for b in range(256):
+            if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+                table[chr(b)] = b
+            else:
+                table[chr(256 + free)] = b
+                free += 1
+        return bytes(table[c] for c in token)
+
+    def one(text):
+        ids = tok.encode(" " + text, add_special_tokens=False).ids
+        return ids, [level(tok.id_to_token(i)) for i in ids]
+
+    def two(text):
+        ids = piece.encode(text)
+        names = [piece.id_to_piece(i) for i in ids]
+        return ids, [bytes([int(p[3:5], 16)]) if piece.is_byte(i) else p.replace("▁", " ").encode()
+                     for i, p in zip(ids, names)]
+    return one, two
+
+
+def brute(rows, sides):
+    seen, kept = Counter(), []
+    for doc_id, text in rows:
+        whole = b" " + (text or "").encode()
+        (a, ab), (b, bb) = (s(text) if text else ([], []) for s in sides)
+        if not text or b"".join(ab) != whole or b"".join(bb) != whole:
+            kept.append((doc_id, 0, 0, 0, [], ""))
+            continue
+        ends_a, ends_b = np.cumsum([len(x) for x in ab]), np.cumsum([len(x) for x in bb])
+        pairs, i, j = [], 0, 0
+        groups, ga, gb = [], [], []
+        new_a = new_b = True
+        while i < len(a):
+            pairs.append((a[i], b[j]))
+            ga += [str(a[i])] if new_a else []
+            gb += [str(b[j])] if new_b else []
+            x, y = ends_a[i], ends_b[j]
+            new_a, new_b = x <= y, y <= x
+            if x == y:
+                groups.append(",".join(ga) + "|" + ",".join(gb))
+                ga, gb = [], []
+            i, j = i + new_a, j + new_b
+        seen.update(pairs)
+        kept.append((doc_id, len(a), len(b), len(groups), pairs, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    top = Counter()
+    for (a, b), n in seen.items():
+        top[b] = max(top[b], n)
+    return sorted([(d, na, nb, ng, len(p), sum(seen[x] == top[x[1]] for x in p), sum(seen[x] for x in p), h)
+                   for d, na, nb, ng, p, h in kept], key=str)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                                               "groups_sha256").collect()), key=str)
+
+
+def test_odd_texts(spark, sides, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 3000)
+    rows = [(k if k % 5 else None, t) for k, t in enumerate(ODD + ODD[3:9])] + [(3, "x"), (3, "x")]
+    schema = "doc_id long, text string, block long, pairs int, n string, code long, facts int"
+    docs = spark.createDataFrame([(*r, 1, 2, "3", 4, 5) for r in rows], schema).repartition(3)
+    assert rows_of(alignment.align(docs)) == brute(rows, sides)
+    assert rows_of(alignment.align(docs.limit(0))) == []
+    assert rows_of(alignment.align(docs.where("text is null"))) == brute([r for r in rows if r[1] is None], sides)
+
+
+def test_whole_table(spark, sides):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
+    assert rows_of(alignment.op13_token_alignment(spark, SF_SMALL)) == brute(rows, sides)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cuts(seed):
+    """Few, many and no shared ends, in several texts at once."""
+    rng = np.random.default_rng(seed)
+    ends, edges = ([], []), ([], [])
+    at = 0
+    for _ in range(int(rng.integers(1, 5))):
+        size = int(rng.integers(1, 400))
+        for side in (0, 1):
+            inner = np.flatnonzero(rng.random(size - 1) < rng.choice([0.02, 0.3, 0.9])) + 1
+            if seed % 4 == 0:
+                inner = inner[inner % 2 == side]
+            ends[side].extend([*(at + inner), at + size])
+            edges[side].append(len(ends[side]) - 1)
+        at += size
+    a, b = (np.array(e) for e in ends)
+    cut_a, cut_b = alignment.shared_cuts(a, b, *(np.array(e) for e in edges))
+    common = np.intersect1d(a, b)
+    assert a[cut_a].tolist() == b[cut_b].tolist() == common.tolist()
