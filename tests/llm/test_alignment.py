@@ -96,6 +96,22 @@ def test_whole_table(spark, sides):
     assert rows_of(alignment.op13_token_alignment(spark, SF_SMALL)) == brute(rows, sides)
 
 
+def test_ids_are_those_of_the_json_file(sides):
+    """The rank reader against ``tokenizers``: odd texts, random code points, whole documents."""
+    import random
+
+    import duckdb
+
+    one = alignment._side(alignment.default_vocabularies()[0])
+    rng = random.Random(2)
+    pools = ["ab 'll've \t\n12", "".join(map(chr, range(32, 0x250))), "".join(map(chr, range(0x2000, 0x3100))),
+             "".join(chr(c) for c in range(0x370, 0x20000, 37) if not 0xD800 <= c < 0xE000)]
+    texts = [t for t in ODD if t] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 80))) for pool in pools for _ in range(300)]
+    texts += [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF_SMALL}/documents.parquet' WHERE text <> ''").fetchall()]
+    for text, ids in zip(texts, one.encode(texts)):
+        assert ids.tolist() == sides[0](text)[0], text[:80]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_cuts(seed):
     """Few, many and no shared ends, in several texts at once."""
