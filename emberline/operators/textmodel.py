@@ -106,23 +106,26 @@ def _fraction(top_p: float) -> tuple[int, int]:
 
 def _nucleus_window(counts: DataFrame, top_p: float) -> DataFrame:
     """Contexts of bounded size: one window per context, running mass before
-    each candidate in (count desc, token asc) order."""
+    each candidate in (count desc, token asc) order; the mass that is kept
+    comes from the same partitioning."""
     num, den = _fraction(top_p)
-    w = Window.partitionBy("ctx").orderBy(F.col("cnt").desc(), F.col("next_token"))
+    ctx = Window.partitionBy("ctx")
+    w = ctx.orderBy(F.col("cnt").desc(), F.col("next_token"))
     ranked = counts.select("ctx", "next_token", "cnt", "w",
                            F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                           .alias("_before"),
-                           F.sum("w").over(Window.partitionBy("ctx")).alias("_total"))
-    return ranked.filter(F.lit(den) * F.col("_before") < F.lit(num) * F.col("_total")).select(
-        "ctx", "next_token", "cnt", "w")
+                           .alias("lo"),
+                           F.sum("w").over(ctx).alias("_total"))
+    kept = ranked.filter(F.lit(den) * F.col("lo") < F.lit(num) * F.col("_total"))
+    return kept.select("ctx", "next_token", "cnt", "w", "lo", F.sum("w").over(ctx).alias("mass"))
 
 
-def _nucleus_levels(counts: DataFrame, top_p: float) -> DataFrame:
+def _nucleus_levels(counts: DataFrame, top_p: float, placed: bool) -> DataFrame:
     """Hot contexts: work by count level. All tokens of one (ctx, cnt) level
     share a weight, so the running mass is a window over levels (at most
     ~sqrt(2 * total) per context); whole levels are kept or dropped without
     ranking and only the straddling level ranks its tokens, with the skew-safe
-    :func:`rank_within` (one level may be spread over many tasks)."""
+    :func:`rank_within` (one level may be spread over many tasks). ``placed``
+    ranks the tokens of every kept level, since each needs its place."""
     num, den = _fraction(top_p)
     levels = counts.groupBy("ctx", "cnt", "w").agg(F.count(F.lit(1)).alias("k"))
     w_before = Window.partitionBy("ctx").orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -133,19 +136,26 @@ def _nucleus_levels(counts: DataFrame, top_p: float) -> DataFrame:
     x = F.lit(num) * F.col("total") - F.lit(den) * F.col("before")
     y = F.lit(den) * F.col("w")
     m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.floor((x - 1) / y).cast("long") + 1))
-    lv = lv.select("ctx", "cnt", "k", m.alias("m")).filter(F.col("m") > 0)
+    lv = lv.select("ctx", "cnt", "k", "before", m.alias("m"), F.sum(m * F.col("w")).over(w_all).alias("mass")).filter(
+        F.col("m") > 0)
     j = counts.join(lv, ["ctx", "cnt"])
+    if placed:
+        place = rank_within(j, ["ctx", "cnt"], [F.col("next_token")], "_r").filter(F.col("_r") < F.col("m"))
+        return place.select("ctx", "next_token", "cnt", "w", (F.col("before") + F.col("_r") * F.col("w")).alias("lo"), "mass")
     whole = j.filter(F.col("m") == F.col("k")).select("ctx", "next_token", "cnt", "w")
     cut = rank_within(j.filter(F.col("m") < F.col("k")), ["ctx", "cnt"], [F.col("next_token")], "_r")
     return whole.unionByName(cut.filter(F.col("_r") < F.col("m")).select("ctx", "next_token", "cnt", "w"))
 
 
 def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
-            hot_successors: int = 100_000, max_hot_broadcast: int = 200_000) -> DataFrame:
+            hot_successors: int = 100_000, max_hot_broadcast: int = 200_000, placed: bool = False) -> DataFrame:
     """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
     *before* them (count desc, token asc) is below ``top_p``; weight =
     cnt^(1/T), on a grid of whole numbers. The test is exact integer
     arithmetic at every temperature, so both routes below give the same rows.
+    ``placed`` adds ``lo``, the weight before the candidate, and ``mass``, the
+    weight of all candidates of its context: a draw ``u`` in [0, 1) takes the
+    candidate with ``lo <= u * mass < lo + weight``.
 
     Hot groups are split off explicitly: a partial aggregate counts distinct
     successors per context; contexts above ``hot_successors`` (few, and their
@@ -156,13 +166,15 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
     counts = _weighted(counts.select("ctx", "next_token", "cnt"), temperature).persist(StorageLevel.MEMORY_AND_DISK)
     hot = (counts.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > hot_successors).select("ctx"))
+    extra = ["lo", "mass"] if placed else []
+    columns = ["ctx", "next_token", "cnt", "w", *extra]
     if hot.isEmpty():
         kept = _nucleus_window(counts, top_p)
     else:
         hot_b = F.broadcast(hot) if has_at_most(hot, max_hot_broadcast) else hot
-        kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), top_p)
-                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), top_p)))
-    return kept.select("ctx", "next_token", "cnt", F.col("w").cast("double").alias("weight"))
+        kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), top_p).select(*columns)
+                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), top_p, placed).select(*columns)))
+    return kept.select("ctx", "next_token", "cnt", F.col("w").cast("double").alias("weight"), *extra)
 
 
 def detokenise_text(df: DataFrame, tokens_col: str = "tokens", out: str = "detok") -> DataFrame:
