@@ -14,13 +14,22 @@ from .indexing import dense_index
 
 
 def assign_batches(df: DataFrame, key: str, size: int, index_col: str = "row_idx",
-                   batch_col: str = "batch_id") -> DataFrame:
+                   batch_col: str = "batch_id", keys: DataFrame | None = None) -> DataFrame:
     """B1: row i (0-based in ``key`` order) goes to batch ``i // size``; only
     the last batch is short. The index comes from :func:`dense_index`, so no
-    step moves the table into one partition."""
+    step moves the table into one partition.
+
+    ``keys``, the key column alone from a plain scan of the same table, keeps
+    wide rows out of the index: only keys are sorted and checkpointed (not
+    shuffled if the files are in key order), and ``df`` is joined to them, so
+    keys must be unique and not null. Without it, ``df`` is indexed whole."""
     if size < 1:
         raise ValueError("batch size must be >= 1")
-    idx = dense_index(df, [key], index_col)
+    if keys is None:
+        idx = dense_index(df, [key], index_col)
+    else:
+        idx = dense_index(keys.select(key), [key], index_col, maybe_sorted=True)
+        idx = idx if df.columns == [key] else df.join(idx, key)
     return idx.withColumn(batch_col, F.floor(F.col(index_col) / F.lit(size)).cast("long"))
 
 

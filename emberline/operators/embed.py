@@ -14,6 +14,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,38 +44,49 @@ def vector_slots(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def token_slots(df: DataFrame, n_vectors: int, id_col: str, text_col: str = "text",
-                max_len: int = MAX_TOKENS) -> DataFrame:
-    """``(id, slots array<long>)``: each kept token's vector slot, in the JVM."""
+                max_len: int = MAX_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, slots array<long>)``: each kept token's vector slot, in the JVM."""
     t = F.slice(tokens(text_col), 1, max_len)
-    return df.select(id_col, F.transform(t, lambda x: md5_bucket(n_vectors, x)).alias("slots"))
+    return df.select(id_col, *keep, F.transform(t, lambda x: md5_bucket(n_vectors, x)).alias("slots"))
 
 
-def long_vectors(vectors: DataFrame) -> DataFrame:
-    """Vector table in long form ``(slot, dim, x double)``."""
-    return (vectors.select("slot", F.posexplode("embedding").alias("dim", "x"))
-            .select("slot", F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x")))
+def vector_column(vec_col: str):
+    """An ``array`` column as a JVM vector, for vector aggregates."""
+    return array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double")))
+
+
+def pooled_vectors(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_id", text_col: str = "text",
+                   max_len: int = MAX_TOKENS, keep: tuple[str, ...] = (), max_broadcast_rows: int = 200_000) -> DataFrame:
+    """``(id, *keep, mean vector, n)`` per text with tokens, ``n`` its kept tokens.
+
+    Tokens (at most ``max_len``) are hashed to slots and counted before any
+    shuffle, so a text becomes one row for each distinct slot. These meet
+    the vectors, whole, in a join that is broadcast only when their table is
+    proven small, and one weighted vector aggregate per text sums them up: no
+    row is multiplied by the dimension."""
+    keys = [id_col, *keep]
+    # outer: a plain explode would have the tokens made twice, once to see that there are any
+    toks = df.select(*keys, F.explode_outer(F.slice(tokens(text_col), 1, max_len)).alias("_t")).where("_t is not null")
+    per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("_t")).alias("slot")).agg(F.count(F.lit(1)).alias("_c"))
+    table = vectors.select("slot", vector_column("embedding").alias("_v"))
+    hit = join_small(per_slot, table, "slot", max_rows=max_broadcast_rows)
+    pooled = hit.groupBy(*keys).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("mean"), F.sum("_c").alias("n"))
+    return pooled
 
 
 def embed(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_id", text_col: str = "text",
-          max_len: int = MAX_TOKENS, pad_to: str | None = None, max_broadcast_rows: int = 4_000_000) -> DataFrame:
+          max_len: int = MAX_TOKENS, pad_to: str | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
     """Mean-pooled vector per text, long form ``(id, dim, value)``.
 
-    All steps are code-generated relational operators: tokens are exploded
-    (at most ``max_len`` per text) and counted per (text, slot) with a
-    map-side partial count; the counts meet the long vector table in a join
-    that is broadcast only when that table is proven small; a second
-    aggregate sums ``x * count`` per (text, dim). No group is larger than
-    ``max_len`` slots times the dimension."""
-    keys = [id_col] + ([pad_to] if pad_to else [])
-    toks = df.select(*keys, text_col).select(
-        *keys, F.explode(F.slice(tokens(text_col), 1, max_len)).alias("tok"))
-    per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("tok")).alias("slot")).agg(
-        F.count(F.lit(1)).alias("c"))
-    hit = join_small(per_slot, long_vectors(vectors), "slot", max_rows=max_broadcast_rows)
-    pooled = hit.groupBy(*keys, "dim").agg(F.sum(F.col("x") * F.col("c")).alias("s"),
-                                           F.sum("c").alias("n"))
-    divisor = F.col(pad_to) if pad_to else F.col("n")
-    return pooled.select(id_col, "dim", (F.col("s") / divisor).alias("value"))
+    Masked mean by default; with ``pad_to`` (a column with a padded length) the
+    sum is divided by that length instead, as if padding had zero vectors. Texts
+    without tokens have no rows."""
+    pooled = pooled_vectors(df, vectors, n_vectors, id_col, text_col, max_len, (pad_to,) if pad_to else (), max_broadcast_rows)
+    value = vector_to_array("mean")
+    if pad_to:
+        value = F.transform(value, lambda x: x * F.col("n") / F.col(pad_to))
+    return pooled.select(id_col, F.posexplode(value).alias("dim", "value")).select(
+        id_col, F.col("dim").cast("long").alias("dim"), "value")
 
 
 def as_vectors(long: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -89,7 +102,8 @@ class MeanPoolEncoder:
 
     def __init__(self, spark, vectors: DataFrame, max_rows: int = 2_000_000):
         self.n_vectors = vectors.count()
-        self.path = write_model_table(vectors.select("slot", "embedding"), "vector-table", max_rows)
+        self.path = write_model_table(vectors.select("slot", "embedding"), "vector-table", max_rows,
+                                      hint="embed joins a table of any size")
         self.key = f"enc-{uuid.uuid4().hex}"
 
     def load(self):
@@ -135,15 +149,15 @@ def encode(df: DataFrame, encoder: MeanPoolEncoder, id_col: str = "doc_id", text
     harness (exact batches, model once per worker).
 
     With ``batch_col`` (one of ``keep``) every encoder call gets the rows of
-    exactly one batch id. With ``time_col`` the measured time of the call is
+    exactly one batch id; the rows that move to it hold slots, not texts. A
+    table that has ``slots`` (:func:`token_slots`) needs no text. With ``time_col`` the measured time of the call is
     added, in equal parts on its rows, so a sum by batch is the batch's time."""
     prepare(df.sparkSession)
+    staged = df if "slots" in df.columns else token_slots(df, encoder.n_vectors, id_col, text_col, max_len, keep)
     if batch_col:
         spark = df.sparkSession
-        df = df.repartitionByRange(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)), batch_col)
-    t = F.slice(tokens(text_col), 1, max_len)
-    staged = df.select(id_col, *keep, text_col).select(
-        id_col, *keep, F.transform(t, lambda x: md5_bucket(encoder.n_vectors, x)).alias("slots"))
+        staged = staged.repartitionByRange(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)), batch_col)
+    staged = staged.select(id_col, *keep, "slots")
     fields = [f for f in staged.schema.fields if f.name != "slots"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", embedding array<double>"
 

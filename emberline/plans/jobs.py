@@ -70,8 +70,9 @@ def embedding_job(spark: SparkSession, docs: DataFrame, vectors: DataFrame, out_
     prepare(spark)
     vecs = em.vector_slots(vectors)
     encoder = em.MeanPoolEncoder(spark, vecs)
-    batched = bt.assign_workers(bt.assign_batches(docs.select(id_col, text_col), id_col, batch_size), num_workers)
-    encoded = em.encode(batched, encoder, id_col=id_col, text_col=text_col, keep=("batch_id", "worker_id"),
+    slots = em.token_slots(docs, encoder.n_vectors, id_col, text_col)
+    batched = bt.assign_workers(bt.assign_batches(slots, id_col, batch_size, keys=docs.select(id_col)), num_workers)
+    encoded = em.encode(batched, encoder, id_col=id_col, keep=("batch_id", "worker_id"),
                         batch_size=batch_size, batch_col="batch_id", time_col="inference_time")
     encoded, obs = src.observe_count(encoded, "texts")
     t0 = time.perf_counter()

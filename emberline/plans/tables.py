@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def keys_of(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The key column of a table in its files' order, not spread: a narrow scan
+    that an index can use as it is when the files are in key order."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(key)
+
+
 def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a prompt: ``(prompt_id = doc_id, prompt = text)``."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))

@@ -1,6 +1,8 @@
 """Batches, dense index and skew-safe ranks (B1-B4, P6) with 1, 3 and 8
 partitions, including a group that holds most of the rows."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -88,3 +90,36 @@ def test_hot_group_is_cut_across_tasks(spark):
     hot_parts = pos.filter(F.col("g") == "hot").select("_pid").distinct().count()
     assert hot_parts >= 4
     assert max(per.values()) < 2 * (6000 / len(per))
+
+
+@pytest.mark.parametrize("sort", [True, False])
+def test_key_index_of_files_in_and_out_of_order(spark, tmp_dir, sort):
+    """Same index; files in key order are not shuffled, and no other column is checkpointed."""
+    from emberline.operators import indexing as ix
+
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.concat(F.lit("text "), "id").alias("text"))
+    path = os.path.join(tmp_dir, "t")
+    (df.repartitionByRange(6, "k").sortWithinPartitions("k") if sort else df.repartition(6)).write.parquet(path)
+    scan = spark.read.parquet(path)
+    found = ix._in_place(scan.select("k"), ["k"])
+    assert (found is not None) == sort
+    out = bt.assign_batches(scan, "k", 32, keys=scan.select("k"))
+    got = {r.k: (r.row_idx, r.batch_id, r.text) for r in out.collect()}
+    assert len(got) == 5000 and all(v[:2] == (k, k // 32) for k, v in got.items())
+    assert bt.assign_batches(scan.limit(0), "k", 32, keys=scan.select("k").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["token_lengths", "batch_stats"])
+def test_no_text_below_a_checkpoint(spark, monkeypatch, name):
+    """What the batch index stores is keys."""
+    from conftest import SF_SMALL
+    from emberline.operators import indexing as ix
+    from emberline.plans.catalog import QUERIES
+
+    stored = []
+    keep = ix.checkpoint
+    monkeypatch.setattr(ix, "checkpoint", lambda df: stored.append(df) or keep(df))
+    QUERIES[name](spark, SF_SMALL).count()
+    documents = [df for df in stored if "doc_id" in df.columns]
+    assert documents and all(set(df.columns) == {"doc_id", "_pid", "_lpos"} for df in documents)
+    assert all("text" not in df._jdf.queryExecution().executedPlan().toString().replace("textModel", "") for df in documents)
