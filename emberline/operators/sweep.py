@@ -26,28 +26,47 @@ def grid_frame(spark: SparkSession, trials: list[dict]) -> DataFrame:
 
 
 def sweep(df: DataFrame, trials: list[dict], epochs: int, vec_col: str = "features", label_col: str = "label",
-          metric_split: str = "val") -> DataFrame:
+          metric_split: str = "val", halve: bool = False) -> DataFrame:
     """H2: momentum SGD for every trial at once. Weights are stacked to
     (trial, class, dim) and broadcast; each step is one pass over the data
     that returns all trials' gradients, so rows are never copied per trial.
-    Returns ``(trial_id, lr, momentum, epochs, loss, accuracy)`` with the
-    metrics of ``metric_split`` after the last step."""
+    With ``halve``, after every step but the last the better half of the trials
+    (rounded up; by loss of ``metric_split`` to 9 places, NaN last, ties to the lower id)
+    goes on and the rest leave the stack, so later passes carry fewer models.
+    Returns ``(trial_id, lr, momentum, epochs, loss, accuracy)``: the steps a
+    trial took and the metrics of ``metric_split`` after the last of them."""
     spark = df.sparkSession
     k = num_classes(df, label_col)
     d = feature_dim(df, vec_col)
-    n = len(trials)
-    w = np.zeros((n, k, d))
+    live = sorted(trials, key=lambda t: t["trial_id"])
+    w = np.zeros((len(live), k, d))
     v = np.zeros_like(w)
     stats = pass_stats(df, w, vec_col=vec_col, label_col=label_col)
+    rows = []
+
+    def leave(t: int, steps: int) -> None:
+        trial = live[t]
+        rows.append((int(trial["trial_id"]), float(trial["lr"]), float(trial["momentum"]), int(steps),
+                     float(stats["loss"].get((t, metric_split), float("nan"))),
+                     float(stats["accuracy"].get((t, metric_split), float("nan")))))
+
     for epoch in range(epochs):
-        for t, trial in enumerate(trials):
-            rate = lr_at(epoch, trial["lr"])
-            v[t] = trial["momentum"] * v[t] + stats["grad"][t]
-            w[t] = w[t] - rate * v[t]
+        rates = np.array([lr_at(epoch, t["lr"]) for t in live])[:, None, None]
+        v = np.array([t["momentum"] for t in live])[:, None, None] * v + stats["grad"]
+        w = w - rates * v
         stats = pass_stats(df, w, vec_col=vec_col, label_col=label_col)
-    rows = [(int(tr["trial_id"]), float(tr["lr"]), float(tr["momentum"]), int(epochs),
-             float(stats["loss"].get((t, metric_split), float("nan"))),
-             float(stats["accuracy"].get((t, metric_split), float("nan")))) for t, tr in enumerate(trials)]
+        if halve and epoch + 1 < epochs:
+            loss = [round(stats["loss"].get((t, metric_split), float("nan")), 9) for t in range(len(live))]
+            order = sorted(range(len(live)), key=lambda t: (np.isnan(loss[t]), loss[t], t))
+            stay = sorted(order[:(len(live) + 1) // 2])
+            for t in sorted(order[(len(live) + 1) // 2:]):
+                leave(t, epoch + 1)
+            place = {old: new for new, old in enumerate(stay)}
+            stats = {"grad": stats["grad"][stay], "n": {},
+                     **{m: {(place[t], name): x for (t, name), x in stats[m].items() if t in place} for m in ("loss", "accuracy")}}
+            live, w, v = [live[t] for t in stay], w[stay], v[stay]
+    for t in range(len(live)):
+        leave(t, epochs)
     return spark.createDataFrame(rows, "trial_id long, lr double, momentum double, epochs long, loss double, "
                                        "accuracy double")
 

@@ -7,8 +7,9 @@ emits them in long form; a normal aggregate adds the partials. Only the
 K x D weights live on the driver (momentum SGD) and travel out as a broadcast.
 
 Difference from the reference, stated: the default step is one full pass
-(full-batch gradient) per epoch; ``step_size`` + :func:`train_batches` give
-mini-batches (one job per step).
+(full-batch gradient) per epoch; :func:`train_batches` gives global mini-batches
+(one job per step), :func:`fit_local` mini-batches in every task, averaged once
+per epoch (one job per epoch).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +44,32 @@ def channel_stats(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
               .groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")))
 
 
-def standardise(df: DataFrame, mean: list[float], std: list[float], vec_col: str = "embedding",
+def constants_row(train: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Constants for :func:`standardise` from training rows, as one row of two
+    arrays ``(mean, std)`` in the order of the dimensions; they stay on Spark."""
+    stats = F.sort_array(F.collect_list(F.struct("dim", "mean", "std")))
+    return channel_stats(train, vec_col).agg(stats.alias("c")).select("c.mean", "c.std")
+
+
+def standardise(df: DataFrame, mean: list[float] | DataFrame, std: list[float] | None = None, vec_col: str = "embedding",
                 out: str = "features") -> DataFrame:
     """``(x - mean) / std`` per dimension with given constants (a
-    dimension with std 0 keeps ``x - mean``)."""
-    m = F.array(*[F.lit(float(v)) for v in mean])
-    s = F.array(*[F.lit(float(v) if v else 1.0) for v in std])
-    centred = F.zip_with(F.col(vec_col), m, lambda x, a: x.cast("double") - a)
-    return df.withColumn(out, F.zip_with(centred, s, lambda x, b: x / b))
+    dimension with std 0 keeps ``x - mean``): two lists, or the one row of
+    :func:`constants_row`. They reach the rows as one row of two arrays, so a
+    plan does not grow with the number of dimensions."""
+    if not isinstance(mean, DataFrame):
+        mean = df.sparkSession.createDataFrame([([float(v) for v in mean], [float(v) for v in std])],
+                                               "mean array<double>, std array<double>")
+    # scalar subqueries: run once, and every task has their two arrays
+    given = df.withColumns({"__mean": mean.select("mean").scalar(), "__std": mean.select(
+        F.transform("std", lambda v: F.when(v == 0, F.lit(1.0)).otherwise(v))).scalar()})
+    centred = F.zip_with(F.col(vec_col), F.col("__mean"), lambda x, a: x.cast("double") - a)
+    return given.withColumn(out, F.zip_with(centred, F.col("__std"), lambda x, b: x / b)).drop("__mean", "__std")
 
 
 def fit_standardiser(train: DataFrame, vec_col: str = "embedding", max_dims: int = 100_000) -> tuple[list, list]:
-    """Constants for :func:`standardise` from training rows; one row per
-    dimension comes back to the driver (bounded by ``max_dims``)."""
+    """The constants as lists on the driver (bounded by ``max_dims``), to be
+    kept beside a model; :func:`constants_row` keeps them on Spark."""
     stats = channel_stats(train, vec_col).orderBy("dim").limit(max_dims + 1).collect()
     if len(stats) > max_dims:
         raise ValueError("too many dimensions")
@@ -279,6 +294,112 @@ def fit_softmax(df: DataFrame, epochs: int, lr: float = LR, momentum: float = MO
     return w, history
 
 
+def _local_walks(weights_bc, rate: float, momentum: float, batch_rows: int, k: int, d: int):
+    """Per-task walks: every worker's rows come together and in key order; its
+    model starts from the round's weights and takes a step each ``batch_rows``
+    rows. Emits the sum over the task's workers of rows x weights, and totals."""
+
+    def run(it):
+        start = weights_bc.value
+        total, stats = np.zeros((k, d)), np.zeros(3)  # rows, loss, hits
+        worker, rows = None, 0
+        held_x, held_y, held = [], [], 0
+        w, v = start, np.zeros((k, d))
+
+        def step():
+            nonlocal w, v, held_x, held_y, held
+            x, y = np.concatenate(held_x), np.concatenate(held_y)
+            held_x, held_y, held = [], [], 0
+            s = x @ w.T
+            top = s.max(axis=1, keepdims=True)
+            e = np.exp(s - top)
+            z = e.sum(axis=1, keepdims=True)
+            at = np.arange(len(y))
+            stats[:] += len(y), -(s - top - np.log(z))[at, y].sum(), (s.argmax(axis=1) == y).sum()
+            p = e / z
+            p[at, y] -= 1.0
+            v = momentum * v + p.T @ x / len(y)
+            w = w - rate * v
+
+        def close():
+            nonlocal total
+            if held:
+                step()
+            if rows:
+                total = total + rows * w
+
+        for batch in it:
+            ids = batch.column("worker").to_numpy(zero_copy_only=False)
+            x, y = _features_matrix(batch.column("x"), d), batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < len(ids):
+                if ids[at] != worker:
+                    close()
+                    worker, rows, w, v = ids[at], 0, start, np.zeros((k, d))
+                same = int(np.searchsorted(ids, worker, side="right"))
+                stop = min(same, at + batch_rows - held)
+                held_x.append(x[at:stop])
+                held_y.append(y[at:stop])
+                held, rows, at = held + stop - at, rows + stop - at, stop
+                if held == batch_rows:
+                    step()
+        close()
+        kk, jj = np.meshgrid(np.arange(k), np.arange(d), indexing="ij")
+        yield pa.RecordBatch.from_pydict({
+            "k": np.r_[kk.ravel(), [-1] * 3].astype(np.int32), "j": np.r_[jj.ravel(), np.arange(3)].astype(np.int32),
+            "value": np.r_[total.ravel(), stats]}, schema=pa.schema([("k", pa.int32()), ("j", pa.int32()), ("value", pa.float64())]))
+
+    return run
+
+
+def fit_local(df: DataFrame, key: str, rounds: int, workers: int, batch_rows: int, lr: float = LR,
+              momentum: float = MOMENTUM, milestones=MILESTONES, gamma: float = GAMMA, vec_col: str = "features",
+              label_col: str = "label", n_classes: int | None = None):
+    """T2 + T5 with one job per epoch: local SGD. A train row belongs to worker
+    ``md5(key) mod workers`` for good. In a round every worker starts from the
+    common weights (momentum zero), walks its rows in key order, a step for each
+    ``batch_rows`` of them, and the workers' weights are averaged by their rows.
+    So a round costs one pass and one model, however many steps it has; result
+    and number of steps depend on ``workers``, never on the cluster.
+
+    Rows are partitioned and sorted once and kept for all rounds; a task streams
+    its workers' rows and holds one step of them. ``workers`` should be a few
+    times the cluster's cores. Returns ``(weights, history)``: per round ``lr``,
+    loss and accuracy of the train rows as the steps met them, and of the
+    validation rows with the averaged weights."""
+    spark: SparkSession = df.sparkSession
+    prepare(spark)
+    k, d = n_classes or num_classes(df, label_col), feature_dim(df, vec_col)
+    train, val = (df.filter(F.col("split") == name) for name in ("train", "val"))
+    held = train.select(md5_bucket(workers, F.col(key)).alias("worker"), F.col(key).alias("key"), F.col(vec_col).alias("x"),
+                        F.col(label_col).alias("y")).repartition("worker").sortWithinPartitions("worker", "key").persist(
+        StorageLevel.DISK_ONLY)
+    w, history = np.zeros((k, d)), []
+    try:
+        for r in range(rounds):
+            rate = lr_at(r, lr, milestones, gamma)
+            bc = spark.sparkContext.broadcast(w)
+            sums = held.select("worker", "x", "y").mapInArrow(
+                _local_walks(bc, rate, momentum, batch_rows, k, d), "k int, j int, value double")
+            total, stats = np.zeros((k, d)), np.zeros(3)
+            for row in sums.groupBy("k", "j").agg(F.sum("value").alias("value")).collect():  # K x D + 3 rows
+                if row["k"] < 0:
+                    stats[row["j"]] = row["value"]
+                else:
+                    total[row["k"], row["j"]] = row["value"]
+            bc.unpersist()
+            if not stats[0]:
+                break
+            w = total / stats[0]
+            after = pass_stats(val, w[None], vec_col=vec_col, label_col=label_col, split_col=None)
+            history.append({"epoch": r, "lr": rate, "loss": stats[1] / stats[0], "accuracy": stats[2] / stats[0],
+                            "val_loss": after["loss"].get((0, "train"), float("nan")),
+                            "val_accuracy": after["accuracy"].get((0, "train"), float("nan"))})
+    finally:
+        held.unpersist()
+    return w, history
+
+
 def history_frame(spark: SparkSession, history: list[dict]) -> DataFrame:
     """The epoch report as a DataFrame (append it to Parquet per run)."""
     schema = "epoch long, lr double, loss double, accuracy double, val_loss double, val_accuracy double"

@@ -114,3 +114,69 @@ SELECT prompt_id, sample, txt AS generated_text,
        CAST(step AS BIGINT) AS num_tokens
 FROM agg
 """
+
+
+# ---- training: momentum SGD of the softmax classifier ----------------------
+# Rows ``x (vec_id, label, split, xv, dim)`` and ``classes (cls)`` come before these CTEs.
+
+def _softmax(scores: str) -> str:
+    """Scores of a row and class to probability, log of it, and whether the class is the prediction."""
+    return f"""SELECT *, exp(s - top) / z AS p, s - top - ln(z) AS lp,
+    row_number() OVER (PARTITION BY trial_id, vec_id ORDER BY s DESC, cls) = 1 AS best FROM (
+    SELECT *, sum(exp(s - top)) OVER (PARTITION BY trial_id, vec_id) AS z FROM (
+      SELECT *, max(s) OVER (PARTITION BY trial_id, vec_id) AS top FROM ({scores})))"""
+
+
+def steps_ctes(steps: int, trials: str = "(VALUES (0, 0.1, 0.9)) AS tv(trial_id, lr, momentum)", halve: bool = False) -> str:
+    """Full-batch steps, one after the other: weights ``w0..``, class
+    probabilities ``p0..`` and metrics ``m0..`` (by trial and split) before each
+    step and after the last."""
+    out = [f"""trials0 AS (SELECT trial_id, CAST(lr AS DOUBLE) AS lr, CAST(momentum AS DOUBLE) AS momentum FROM {trials}),
+w0 AS MATERIALIZED (SELECT trial_id, lr, momentum, cls, dim, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS v
+  FROM trials0, classes, (SELECT DISTINCT dim FROM x))"""]
+    for e in range(steps + 1):
+        scores = f"""SELECT w.trial_id, x.vec_id, x.label, x.split, w.cls, sum(x.xv * w.w) AS s
+      FROM x JOIN w{e} w USING (dim) GROUP BY ALL"""
+        out.append(f"p{e} AS MATERIALIZED ({_softmax(scores)})")
+        out.append(f"""m{e} AS MATERIALIZED (SELECT trial_id, split, avg(-lp) AS loss, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS accuracy
+  FROM (SELECT trial_id, split, vec_id, max(lp) FILTER (WHERE cls = label) AS lp, bool_or(best AND cls = label) AS hit
+        FROM p{e} GROUP BY ALL) GROUP BY ALL)""")
+        if e == steps:
+            break
+        stay = "" if not halve or e == 0 else f"""WHERE w.trial_id IN (SELECT trial_id FROM (
+    SELECT trial_id, row_number() OVER (ORDER BY round(loss, 9), trial_id) AS r, count(*) OVER () AS n FROM m{e} WHERE split = 'val')
+    WHERE r <= (n + 1) // 2)"""
+        out.append(f"""g{e} AS MATERIALIZED (SELECT trial_id, cls, dim, avg(xv * (p - CASE WHEN p.label = cls THEN 1.0 ELSE 0.0 END)) AS g
+  FROM x JOIN p{e} p USING (vec_id) WHERE x.split = 'train' GROUP BY ALL),
+w{e + 1} AS MATERIALIZED (SELECT w.trial_id, lr, momentum, w.cls, w.dim, w - lr * (momentum * v + g) AS w, momentum * v + g AS v
+  FROM w{e} w JOIN g{e} g ON w.trial_id = g.trial_id AND w.cls = g.cls AND w.dim = g.dim {stay})""")
+    return ",\n".join(out)
+
+
+def walk_cte(name: str, start: str, rows: str, lr: float = 0.1, momentum: float = 0.9) -> str:
+    """Mini-batch steps as a recursion: models ``(trial_id, t, cls, dim, w, v)``
+    walk the steps ``t`` of their rows ``(trial_id, t, vec_id, label, xv, dim)``;
+    a model without a next step is not carried on."""
+    scores = """SELECT w.trial_id, r.vec_id, r.label, w.cls, sum(r.xv * w.w) AS s
+        FROM r JOIN now w ON w.trial_id = r.trial_id AND w.dim = r.dim GROUP BY ALL"""
+    return f"""{name} AS (
+  SELECT trial_id, 0 AS t, cls, dim, w, CAST(0 AS DOUBLE) AS v FROM ({start})
+  UNION ALL
+  (WITH now AS (SELECT * FROM {name}),
+   r AS (SELECT k.* FROM ({rows}) k JOIN (SELECT DISTINCT trial_id, t FROM now) n ON k.trial_id = n.trial_id AND k.t = n.t),
+   p AS ({_softmax(scores)}),
+   g AS (SELECT r.trial_id, p.cls, r.dim, avg(r.xv * (p.p - CASE WHEN r.label = p.cls THEN 1.0 ELSE 0.0 END)) AS g
+         FROM r JOIN p ON r.trial_id = p.trial_id AND r.vec_id = p.vec_id GROUP BY ALL)
+   SELECT w.trial_id, w.t + 1, w.cls, w.dim, w.w - {lr} * ({momentum} * w.v + g.g), {momentum} * w.v + g.g
+   FROM now w JOIN g ON w.trial_id = g.trial_id AND w.cls = g.cls AND w.dim = g.dim))"""
+
+
+def loss_ctes(name: str, rows: str, models: str) -> str:
+    """``{name} (trial_id, t, n, loss, accuracy)`` of models on rows of their own
+    ``(trial_id, t)``."""
+    scores = f"""SELECT w.trial_id, w.t, r.vec_id, r.label, w.cls, sum(r.xv * w.w) AS s
+    FROM ({rows}) r JOIN ({models}) w ON w.trial_id = r.trial_id AND w.t = r.t AND w.dim = r.dim GROUP BY ALL"""
+    by = _softmax(scores).replace("trial_id, vec_id", "trial_id, t, vec_id")
+    return f"""{name} AS MATERIALIZED (SELECT trial_id, t, count(*) AS n, avg(-lp) AS loss, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS accuracy
+  FROM (SELECT trial_id, t, vec_id, max(lp) FILTER (WHERE cls = label) AS lp, bool_or(best AND cls = label) AS hit
+        FROM ({by}) GROUP BY ALL) GROUP BY ALL)"""

@@ -181,3 +181,101 @@ def test_pooling_is_partition_invariant(spark, vectors, parts):
     other = {(r.doc_id, r.dim): r.value for r in em.embed(docs.repartition(parts), vecs, n).collect()}
     assert base.keys() == other.keys()
     assert max(abs(base[k] - other[k]) for k in base) < 1e-12
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pooling_multiplies_no_row_by_the_dimension(spark, vectors):
+    """One weighted vector aggregate per text; the dimensions come apart after it."""
+    vecs, n = vectors
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    plan = plan_of(em.embed(docs, vecs, n)).splitlines()
+    kinds = [line.strip(" +-:!") for line in plan]
+    vector_sum = next(i for i, k in enumerate(kinds) if k.startswith("Aggregate") and "aggregate_metrics(Mean" in k)
+    below = [k for k in kinds[vector_sum:] if k.startswith("Generate")]
+    assert len(below) == 1 and "posexplode" not in below[0]
+    # rows into that aggregate: distinct slots of a text, at most MAX_TOKENS
+    counted = em.pooled_vectors(docs, vecs, n)
+    assert counted.agg(F.max("n")).first()[0] <= em.MAX_TOKENS
+
+
+def test_pooling_edge_texts(spark, vectors):
+    vecs, n = vectors
+    docs = spark.createDataFrame([(0, None, "x"), (1, "", "x"), (2, " \n", "x"), (3, "a a a", "x"), (4, "a", "x"), (4, "b", "x")],
+                                 "doc_id long, text string, slot string")
+    got = em.as_vectors(em.embed(docs, vecs, n)).collect()
+    by_id = {r.doc_id: r.embedding for r in got}
+    assert sorted(by_id) == [3, 4]  # texts without tokens have no vector; rows of one id are one text
+    alone = {r.doc_id: r.embedding for r in em.as_vectors(em.embed(docs.where("text = 'a'"), vecs, n)).collect()}
+    assert np.allclose(by_id[3], alone[4])
+    assert em.embed(docs.limit(0), vecs, n).count() == 0
+
+
+def test_standardise_wide_vectors(spark):
+    """100,000 dimensions: constants are data of one row, not literals of the plan."""
+    dims = 100_000
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3, dims))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(3)], "id long, embedding array<double>")
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    for out in (tr.standardise(df, mean.tolist(), std.tolist()), tr.standardise(df, tr.constants_row(df))):
+        assert len(plan_of(out)) < 20_000
+        got = {r.id: np.array(r.features) for r in out.collect()}
+        for i in range(3):
+            assert np.allclose(got[i], (x[i] - mean) / std, atol=1e-9)
+
+
+def numpy_local(x, y, worker, k, rounds, batch, lr=0.1, momentum=0.9):
+    w = np.zeros((k, x.shape[1]))
+    for r in range(rounds):
+        total = np.zeros_like(w)
+        for one in np.unique(worker):
+            xs, ys = x[worker == one], y[worker == one]
+            own, v = w.copy(), np.zeros_like(w)
+            for a in range(0, len(ys), batch):
+                xb, yb = xs[a:a + batch], ys[a:a + batch]
+                s = xb @ own.T
+                p = np.exp(s - s.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                v = momentum * v + (p - np.eye(k)[yb]).T @ xb / len(yb)
+                own = own - tr.lr_at(r, lr) * v
+            total += len(ys) * own
+        w = total / len(y)
+    return w
+
+
+@pytest.mark.parametrize("parts, batch", [(1, 16), (5, 16), (5, 1000)])
+def test_local_rounds_match_numpy(spark, parts, batch):
+    import hashlib
+
+    df = _train_frame(spark).repartition(parts)
+    pdf = df.filter(F.col("split") == "train").toPandas().sort_values("vec_id")
+    x, y = np.stack(pdf["features"].to_numpy()), pdf["label"].to_numpy()
+    worker = np.array([int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 3 for i in pdf["vec_id"]])
+    k = int(df.agg(F.max("label")).first()[0]) + 1
+    w, hist = tr.fit_local(df, "vec_id", 2, workers=3, batch_rows=batch)
+    assert np.allclose(w, numpy_local(x, y, worker, k, 2, batch), atol=1e-10)
+    assert len(hist) == 2 and hist[0]["loss"] <= math.log(k) + 0.1 and 0 <= hist[1]["val_accuracy"] <= 1
+
+
+def test_local_rounds_of_nothing(spark):
+    df = _train_frame(spark)
+    w, hist = tr.fit_local(df.where("split = 'val'"), "vec_id", 2, workers=3, batch_rows=8)
+    assert hist == [] and not w.any()
+
+
+def test_halving_drops_the_worse_half(spark):
+    df = _train_frame(spark)
+    trials = sw.grid(lr=[0.01, 0.1, 1.0], momentum=[0.0, 0.9])
+    full = {e: {r.trial_id: r for r in sw.sweep(df, trials, epochs=e).collect()} for e in (1, 2, 3)}
+    got = {r.trial_id: r for r in sw.sweep(df, trials, epochs=3, halve=True).collect()}
+    live = set(range(6))
+    for steps in (1, 2):
+        stay = sorted(live, key=lambda t: (round(full[steps][t].loss, 9), t))[:(len(live) + 1) // 2]
+        for t in live - set(stay):
+            assert got[t].epochs == steps and got[t].loss == pytest.approx(full[steps][t].loss)
+        live = set(stay)
+    for t in live:
+        assert got[t].epochs == 3 and got[t].loss == pytest.approx(full[3][t].loss)
