@@ -10,9 +10,6 @@ cluster.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,35 +61,58 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _strict_parse(pdf_iter):
-    """Python ``json.loads`` per line: trailing text, arrays, ``null`` and
-    non-string values are errors, duplicate keys keep the last value."""
-    for pdf in pdf_iter:
-        texts, prompts = [], []
-        for line_no, value in zip(pdf["line_no"], pdf["value"]):
-            obj = json.loads(value)
-            if not isinstance(obj, dict):
-                raise ValueError(f"line {line_no}: not a JSON object")
-            vals = []
-            for key in ("text", "prompt"):
-                v = obj.get(key)
-                if v is not None and not isinstance(v, str):
-                    raise ValueError(f"line {line_no}: '{key}' is not a string")
-                vals.append(v)
-            texts.append(vals[0])
-            prompts.append(vals[1])
-        yield pd.DataFrame({"line_no": pdf["line_no"], "text": texts, "prompt": prompts})
+# A line that is one JSON value stays whole between brackets and between braces; a line that
+# closes either of them early, or goes on after its value, breaks at least one of the two.
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+VARIANTS = "struct<text: variant, prompt: variant>"
+
+
+def _strict_fields(lines: DataFrame) -> DataFrame:
+    """``(line_no, value, text, prompt, problem)`` of lines, by the rules of a
+    strict parser and as JVM expressions; ``problem`` is null for a good line.
+
+    A line is read as the only element of a list and as the only field of an
+    object, so text after the value, a list, ``null`` or a bare value do not
+    pass. Fields are variants: they keep their JSON type, and a repeated key's
+    last value counts. A field must be a string, null or missing."""
+    value = F.col("value")
+    read = lines.select(
+        "line_no", "value",
+        F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<{VARIANTS}>", STRICT).alias("_list"),
+        F.from_json(F.concat(F.lit('{"line":'), value, F.lit("}")), "line struct<_none: string>", STRICT).alias("_inside"))
+    kinds = read.select("line_no", "value", F.get("_list", F.lit(0)).alias("_r"), (
+        (F.size("_list") == 1) & F.get("_list", F.lit(0)).isNotNull() & F.col("_inside.line").isNotNull()).alias("_whole")).withColumns(
+        {f"_kind_{name}": F.schema_of_variant(f"_r.{name}") for name in ("text", "prompt")})
+    problem = F.when(F.coalesce("_whole", F.lit(False)), F.lit(None)).otherwise(F.lit("not a JSON object"))
+    for name in ("text", "prompt"):
+        kind = F.col(f"_kind_{name}")
+        problem = F.coalesce(problem, F.when(~kind.isin("STRING", "VOID"), F.lit(f"'{name}' is not a string")))
+    return kinds.select("line_no", "value", *[
+        F.when(F.col(f"_kind_{name}") == "STRING", F.variant_get(f"_r.{name}", "$", "string")).alias(name)
+        for name in ("text", "prompt")], problem.alias("problem"))
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """``(line_no, value, problem)`` of the non-blank lines a strict read rejects."""
+    found = _strict_fields(lines.filter(is_non_blank("value")))
+    return found.where("problem is not null").select("line_no", "value", "problem")
 
 
 def read_prompt_records(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """``(prompt_id, text, prompt)`` for every non-blank line, before the
-    prompt choice. ``strict`` parses in Python (slow path, exact ``json.loads``
-    rules); the default stays in the JVM with ``from_json`` FAILFAST."""
+    prompt choice. The default reads a field of any type as text; ``strict``
+    fails the job at a line with text after its object, a list, ``null``, or a
+    ``text`` or ``prompt`` that is not a string (see ``bad_lines`` for a report).
+    Both parse in the JVM."""
     lines = read_lines(spark, path).filter(is_non_blank("value"))
     prepare(spark)
     if strict:
-        parsed = lines.mapInPandas(_strict_parse, "line_no long, text string, prompt string")
-        return parsed.withColumnRenamed("line_no", "prompt_id")
+        # every column stands behind the check, so no filter or projection above leaves it out
+        failed = F.raise_error(F.concat(F.lit("Malformed prompt line "), F.col("line_no").cast("string"), F.lit(": "), F.col("problem")))
+        bad = F.col("problem").isNotNull()
+        return _strict_fields(lines).select(
+            F.when(bad, failed.cast("long")).otherwise(F.col("line_no")).alias("prompt_id"),
+            *[F.when(bad, failed.cast("string")).otherwise(F.col(name)).alias(name) for name in ("text", "prompt")])
     rec = F.from_json("value", PROMPT_FIELDS, {"mode": "FAILFAST"})
     return lines.select(
         F.col("line_no").alias("prompt_id"),

@@ -22,16 +22,21 @@ STREAM_PROMPT_SCHEMA = T.StructType([
 ])
 
 
+def read_prompt_stream(spark: SparkSession, in_dir: str, max_files: int | None = None,
+                       schema: T.StructType = STREAM_PROMPT_SCHEMA) -> DataFrame:
+    """Prompt files as a stream, at most ``max_files`` of them a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(in_dir).select("prompt_id", "prompt")
+
+
 def score_stream(spark: SparkSession, in_dir: str, out_dir: str, predictor, batch_size: int = 8,
                  max_files: int | None = None, checkpoint_dir: str | None = None,
                  schema: T.StructType = STREAM_PROMPT_SCHEMA, available_now: bool = True):
     """Start the scoring stream; with ``available_now`` it processes what is
     there (in ``max_files`` slices) and stops. Returns the finished query."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    prompts = reader.json(in_dir).select("prompt_id", "prompt")
-    scored = generate(prompts, predictor, batch_size)
+    scored = generate(read_prompt_stream(spark, in_dir, max_files, schema), predictor, batch_size)
     ckpt = checkpoint_dir or scratch_path(spark, "stream-ckpt")
     writer = scored.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -108,3 +108,39 @@ def test_stream_restart_scores_only_new_files(spark, tmp_dir):
     st.score_stream(spark, in_dir, out_dir, pred, checkpoint_dir=ckpt)
     ids = sorted(r.prompt_id for r in st.read_scored(spark, out_dir).collect())
     assert ids == [0, 1, 2, 3]
+
+
+def test_metrics_of_a_stream_that_stops_and_goes_on(spark, tmp_dir):
+    """State survives the restart; a micro-batch hands on what it changed."""
+    from emberline.operators.metrics import outcome_rollup
+    from emberline.streaming import metrics as sm
+
+    pred = _predictor(spark)
+    in_dir, out_dir, ckpt = (os.path.join(tmp_dir, d) for d in ("in", "metrics", "ckpt"))
+    schema = "prompt_id long, prompt string"
+    files = [[(0, "a"), (1, "b c")], [(2, "zz"), (3, "d"), (4, None)], [(5, "a b")]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(in_dir)
+        sm.metrics_stream(spark, in_dir, out_dir, pred, checkpoint_dir=ckpt)  # started anew for every file
+        seen = spark.createDataFrame([r for f in files[:k + 1] for r in f], schema)
+        want = sorted(tuple(r) for r in outcome_rollup(gen.long_form(gen.generate(seen, pred))).collect())
+        assert sorted(tuple(r) for r in sm.read_rollup(spark, out_dir).collect()) == want
+    progress = sm.read_progress(spark, out_dir)
+    per = {r.epoch: r.n for r in progress.groupBy("epoch").agg(F.sum("completions").alias("n")).collect()}
+    assert [per[e] for e in sorted(per)] == [len(f) for f in files]
+    # a stream with nothing new changes nothing
+    before = sm.read_updates(spark, out_dir).count()
+    sm.metrics_stream(spark, in_dir, out_dir, pred, checkpoint_dir=ckpt)
+    assert sm.read_updates(spark, out_dir).count() == before
+
+
+def test_metrics_stream_takes_files_in_turn(spark, tmp_dir):
+    from emberline.streaming import metrics as sm
+
+    prompts = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "c a", "d", "zz", "a b"])], "prompt_id long, prompt string")
+    in_dir, out_dir = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "metrics")
+    wr.write_ordered(prompts, "prompt_id", in_dir, 3)
+    sm.metrics_stream(spark, in_dir, out_dir, _predictor(spark), max_files=1, checkpoint_dir=os.path.join(tmp_dir, "ckpt"))
+    n_files = len(glob.glob(os.path.join(in_dir, "part-*")))
+    assert sm.read_updates(spark, out_dir).select("epoch").distinct().count() == n_files
+    assert sm.read_progress(spark, out_dir).agg(F.sum("completions")).first()[0] == 6

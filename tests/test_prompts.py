@@ -158,3 +158,45 @@ def test_default_reader_decisions_q7_q8(spark, tmp_dir):
     path = write_lines(os.path.join(tmp_dir, "q.jsonl"), ['{"text":0,"prompt":"p"}', '{"text":"x"} y'])
     got = sorted(tuple(r) for r in src.read_prompts(spark, path).collect())
     assert got == [(0, "0"), (1, "x")]
+
+
+# One line each, in the order: good, then bad for a strict parser.
+STRICT_GOOD = ['{"text":"x"}', ' {"text":"x","prompt":"p"} ', '{"text":null,"prompt":"p"}', '{"prompt":"a","prompt":"b"}',
+               '{"text":"","prompt":"p","extra":{"a":[1,2,{"b":1}]}}', '{"text":3,"text":"last counts"}', '{"prompt":"\\u00e9\\n"}',
+               '{"text":"2020-01-01"}', '{"a":1,"a":2,"text":"x"}', '{}', '{"a":NaN,"text":"x"}']
+STRICT_BAD = ['{bad', '// c', 'null', '[1,2]', '[{"text":"x"}]', '{"text":"x"} y', '{"text":0,"prompt":"p"}', '{"text":"x"}] [',
+              '{"text":"x"}, "c": 1', '{"text":"x"},{"text":"y"}', '{"text":"x"}}', '{"text":"x"},', '"str"', '12', 'true',
+              "{'text':'x'}", '{text:"x"}', '{"text":true}', '{"text":{"a":1}}', '{"text":["x"]}', '{"text":"x","prompt":3}',
+              '{"text":"x" "prompt":"p"}', '{"text":"x",}', '{"n":01,"text":"x"}', '{"text":"x"}{"text":"y"}',
+              '{"text":"last counts","text":3}', '{"text":NaN}']
+
+
+def test_strict_lines_as_python_reads_them(spark, tmp_dir):
+    """Every line against ``json.loads`` and the string rule; JVM only."""
+    import json
+
+    def python(line):
+        try:
+            found = json.loads(line)
+        except ValueError:
+            return None
+        if not isinstance(found, dict) or any(not isinstance(found.get(k, ""), (str, type(None))) for k in ("text", "prompt")):
+            return None
+        return found.get("text"), found.get("prompt")
+
+    assert all(python(x) for x in STRICT_GOOD) and not any(python(x) for x in STRICT_BAD)
+    good = src.read_prompt_records(spark, write_lines(os.path.join(tmp_dir, "good.jsonl"), STRICT_GOOD), strict=True)
+    assert [tuple(r)[1:] for r in good.orderBy("prompt_id").collect()] == [python(x) for x in STRICT_GOOD]
+    assert "Python" not in good._jdf.queryExecution().executedPlan().toString()
+    path = write_lines(os.path.join(tmp_dir, "mixed.jsonl"), [*STRICT_GOOD, "  ", *STRICT_BAD])
+    bad = src.bad_lines(src.read_lines(spark, path)).orderBy("line_no").collect()
+    assert [r["value"] for r in bad] == STRICT_BAD
+    assert [r["line_no"] for r in bad] == list(range(len(STRICT_GOOD) + 1, len(STRICT_GOOD) + 1 + len(STRICT_BAD)))
+    assert {r["problem"] for r in bad} == {"not a JSON object", "'text' is not a string", "'prompt' is not a string"}
+
+
+@pytest.mark.parametrize("bad", STRICT_BAD)
+def test_strict_read_fails_at_each_bad_line(spark, tmp_dir, bad):
+    path = write_lines(os.path.join(tmp_dir, "bad.jsonl"), ['{"prompt": "ok"}', bad])
+    with pytest.raises(Exception, match="Malformed prompt line 1"):
+        src.read_prompts(spark, path, strict=True).count()
