@@ -13,7 +13,7 @@ import os
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -22,6 +22,7 @@ from ..operators import embed as em
 from ..operators import generate as gen
 from ..operators import metrics as mt
 from ..operators import prompts as pr
+from ..operators import sampling as smp
 from ..operators import sweep as sw
 from ..operators import textmodel as tm
 from ..operators import training as tr
@@ -29,9 +30,10 @@ from ..session import scratch_path
 from ..sinks import writers as wr
 from ..sources import files as fs
 from ..sources import prompts as src
+from ..streaming import metrics as sm
 from ..streaming import score as st
 from . import oracle as sql
-from .tables import conversation_records, doc_prompts, table
+from .tables import conversation_records, doc_prompts, keys_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,6 +164,12 @@ def prompt_filter(spark, sf_dir):
     return src.read_prompts(spark, conversation_file(spark, sf_dir))
 
 
+@query("prompt_strict", f"SELECT * FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL")
+def prompt_strict(spark, sf_dir):
+    """S1 by the rules of a strict parser, in the JVM."""
+    return src.read_prompts(spark, conversation_file(spark, sf_dir), strict=True)
+
+
 @query("first_k_valid", f"SELECT * FROM ({CONV_CHOSEN_SQL}) WHERE prompt IS NOT NULL ORDER BY prompt_id LIMIT {FIRST_K}")
 def first_k_valid(spark, sf_dir):
     """L1: first K usable prompts in file order."""
@@ -189,9 +197,10 @@ DOC_BATCH_SQL = f"""SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1
        CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS BIGINT) AS batch_id FROM documents"""
 
 
-def doc_batches(spark, sf_dir, extra=()):
-    docs = table(spark, sf_dir, "documents").select("doc_id", *extra)
-    return bt.assign_batches(docs, "doc_id", BATCH_SIZE)
+def doc_batches(spark, sf_dir, rows=None):
+    """Documents' keys, or ``rows`` of one per document, with their batches."""
+    keys = keys_of(spark, sf_dir, "documents", "doc_id")
+    return bt.assign_batches(keys if rows is None else rows, "doc_id", BATCH_SIZE, keys=keys)
 
 
 @query("batch_assign", DOC_BATCH_SQL)
@@ -247,8 +256,7 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((xv - mean) / std, 6) AS value
 def standardise_embeddings(spark, sf_dir):
     """Per-dimension (x - mean) / std, constants from the train split."""
     emb = tr.split(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", VAL_PCT)
-    mean, std = tr.fit_standardiser(emb.filter(F.col("split") == "train"))
-    out = tr.standardise(emb, mean, std)
+    out = tr.standardise(emb, tr.constants_row(emb.filter(F.col("split") == "train")))
     return em.explode_vectors(out, "vec_id", "features").select("vec_id", "dim", r6(F.col("value")).alias("value"))
 
 
@@ -273,8 +281,8 @@ SELECT doc_id, n_tokens, batch_id, max(n_tokens) OVER (PARTITION BY batch_id) AS
 @query("token_lengths", TOKEN_LEN_SQL)
 def token_lengths(spark, sf_dir):
     """Token count per text and padded length per batch."""
-    b = tm.tokenise(doc_batches(spark, sf_dir, extra=("text",)))
-    return tm.token_lengths(b).select("doc_id", "n_tokens", "batch_id", "padded_len")
+    lengths = tm.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+    return tm.token_lengths(doc_batches(spark, sf_dir, lengths)).select("doc_id", "n_tokens", "batch_id", "padded_len")
 
 
 @query("context_window", f"""WITH t AS (SELECT doc_id, {sql.tokens_sql('text')} AS tk FROM documents)
@@ -329,6 +337,14 @@ def generate_reference(spark, sf_dir):
                       F.col("num_tokens")[0].cast("long").alias("num_tokens"))
 
 
+@query("generate_n_joined", sql.sampled_sql(DOC_PROMPTS_SQL, SAMPLED.max_tokens, SAMPLED.n))
+def generate_n_joined(spark, sf_dir):
+    """I6 + I7 by interval joins: the same samples with no model in the workers.
+    Contexts above 1,000 successors take the level route of the nucleus."""
+    placed = tm.nucleus(doc_model(spark, sf_dir), SAMPLED.temperature, SAMPLED.top_p, hot_successors=1_000, placed=True)
+    return smp.generate_sampled(doc_prompts(spark, sf_dir), gen._stored(placed, "nucleus"), SAMPLED)
+
+
 @query("finish_reasons", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
 def finish_reasons(spark, sf_dir):
     """I8: stop string '.', 40-token cap: both finish reasons occur."""
@@ -347,7 +363,7 @@ def detokenise_roundtrip(spark, sf_dir):
 
 @query("generate_joined", sql.greedy_sql(DOC_PROMPTS_SQL, JOINED.max_tokens))
 def generate_joined(spark, sf_dir):
-    """Greedy decoding by per-step joins (model stays a partitioned table)."""
+    """Greedy decoding by text doubling (model stays a partitioned table)."""
     model = tm.argmax_model(doc_model(spark, sf_dir))
     return gen.generate_joined(doc_prompts(spark, sf_dir), model, JOINED)
 
@@ -398,7 +414,7 @@ def embed_pad_to_batch(spark, sf_dir):
     """Unmasked mean over the batch's padded length (zero rows count)."""
     vecs, n = _vectors(spark, sf_dir)
     kept = table(spark, sf_dir, "documents").select("doc_id", F.size(F.slice(tokens("text"), 1, em.MAX_TOKENS)).alias("k"))
-    batched = bt.assign_batches(kept, "doc_id", BATCH_SIZE)
+    batched = doc_batches(spark, sf_dir, kept)
     padded = batched.groupBy("batch_id").agg(F.max("k").alias("padded"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(
         batched.select("doc_id", "batch_id").join(padded, "batch_id").select("doc_id", "padded"), "doc_id")
@@ -409,9 +425,11 @@ def embed_pad_to_batch(spark, sf_dir):
 def _encoded(spark, sf_dir, keep=()):
     vecs, _ = _vectors(spark, sf_dir)
     encoder = em.MeanPoolEncoder(spark, vecs)
-    docs = doc_batches(spark, sf_dir, extra=("text", "n_chars")) if keep else \
-        table(spark, sf_dir, "documents").select("doc_id", "text")
-    return em.encode(docs, encoder, keep=keep, batch_size=BATCH_SIZE, batch_col="batch_id" if keep else None)
+    docs = table(spark, sf_dir, "documents")
+    if not keep:
+        return em.encode(docs.select("doc_id", "text"), encoder, batch_size=BATCH_SIZE)
+    slots = em.token_slots(docs, encoder.n_vectors, "doc_id", keep=("n_chars",))
+    return em.encode(doc_batches(spark, sf_dir, slots), encoder, keep=keep, batch_col="batch_id")
 
 
 @query("encode_predictor", EMBED_SQL)
@@ -532,30 +550,83 @@ def eval_accuracy(spark, sf_dir):
     return tr.evaluate(tr.predict(df, w))
 
 
-@query("fit_softmax")
+@query("fit_softmax", f"""WITH {LONG_X_SQL}, {sql.steps_ctes(FIT_EPOCHS)}
+SELECT CAST(cls AS BIGINT) AS class, CAST(dim AS BIGINT) AS dim, round(w, 6) AS weight FROM w{FIT_EPOCHS}""")
 def fit_softmax(spark, sf_dir):
     """T5: 10 epochs of momentum SGD; final weights in long form."""
     df = _split_embeddings(spark, sf_dir)
     w, _ = tr.fit_softmax(df, epochs=FIT_EPOCHS)
-    return tr.weights_frame(spark, w)
+    return tr.weights_frame(spark, w).withColumn("weight", r6(F.col("weight")))
 
 
-@query("fit_history")
+def _history(spark, history):
+    out = tr.history_frame(spark, history)
+    return out.withColumns({c: r6(F.col(c)) for c in ("loss", "accuracy", "val_loss", "val_accuracy")})
+
+
+@query("fit_history", f"WITH {LONG_X_SQL}, {sql.steps_ctes(FIT_EPOCHS)}\n" + "\nUNION ALL ".join(
+    f"""SELECT CAST({e} AS BIGINT) AS epoch, CAST(0.1 AS DOUBLE) AS lr, round(a.loss, 6) AS loss, round(a.accuracy, 6) AS accuracy,
+  round(b.loss, 6) AS val_loss, round(b.accuracy, 6) AS val_accuracy FROM m{e} a, m{e + 1} b
+WHERE a.split = 'train' AND b.split = 'val'""" for e in range(FIT_EPOCHS)))
 def fit_history(spark, sf_dir):
     """T6 + T8: per-epoch lr, loss and accuracy."""
     df = _split_embeddings(spark, sf_dir)
     _, hist = tr.fit_softmax(df, epochs=FIT_EPOCHS)
-    return tr.history_frame(spark, hist)
-
-
-@query("fit_minibatch")
+    return _history(spark, hist)
+
+
+MINI_EPOCHS = 2
+# the steps of every epoch, numbered through; validation rows at the end of each epoch
+MINI_SQL = f"""{LONG_X_SQL},
+order_ AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // {TRAIN_ROWS * WORKERS} AS step_id
+           FROM ({SPLIT_SQL}) WHERE split = 'train'),
+ns AS (SELECT max(step_id) + 1 AS n FROM order_),
+batches AS MATERIALIZED (SELECT 0 AS trial_id, CAST(e.e * n + step_id AS INTEGER) AS t, x.vec_id, x.label, x.xv, x.dim
+  FROM x JOIN order_ USING (vec_id), ns, range({MINI_EPOCHS}) AS e(e)),
+{sql.walk_cte("walk", "SELECT 0 AS trial_id, cls, dim, CAST(0 AS DOUBLE) AS w FROM classes, (SELECT DISTINCT dim FROM x)",
+              "SELECT * FROM batches")},
+{sql.loss_ctes("met", "SELECT * FROM batches", "SELECT * FROM walk")},
+{sql.loss_ctes("val", f"SELECT 0 AS trial_id, CAST(e.e * n AS INTEGER) AS t, vec_id, label, xv, dim FROM x, ns, "
+                      f"range(1, {MINI_EPOCHS} + 1) AS e(e) WHERE split = 'val'", "SELECT * FROM walk")}"""
+
+
+@query("fit_minibatch", f"""WITH RECURSIVE {MINI_SQL},
+per AS (SELECT t // (SELECT n FROM ns) AS epoch, sum(met.n * loss) / sum(met.n) AS loss, sum(met.n * accuracy) / sum(met.n) AS accuracy
+        FROM met GROUP BY 1)
+SELECT CAST(epoch AS BIGINT) AS epoch, CAST(0.1 AS DOUBLE) AS lr, round(per.loss, 6) AS loss, round(per.accuracy, 6) AS accuracy,
+  round(val.loss, 6) AS val_loss, round(val.accuracy, 6) AS val_accuracy
+FROM per, val, ns WHERE val.t = (epoch + 1) * ns.n""")
 def fit_minibatch(spark, sf_dir):
     """T2 + T5: momentum SGD over global mini-batches of 128 x 2 rows, the
     step table written partitioned by step (each step reads one folder)."""
     df = _split_embeddings(spark, sf_dir)
     steps = tr.step_table(df, "vec_id", TRAIN_ROWS, WORKERS)
-    _, hist = tr.fit_softmax(df, epochs=2, steps=steps)
-    return tr.history_frame(spark, hist)
+    _, hist = tr.fit_softmax(df, epochs=MINI_EPOCHS, steps=steps)
+    return _history(spark, hist)
+
+
+LOCAL_WORKERS, LOCAL_ROWS = 4, 32
+LOCAL_SQL = f"""{LONG_X_SQL},
+own AS MATERIALIZED (SELECT vec_id, worker AS trial_id, CAST((row_number() OVER (PARTITION BY worker ORDER BY vec_id) - 1)
+    // {LOCAL_ROWS} AS INTEGER) AS t
+  FROM (SELECT vec_id, {MD5_BUCKET.format(col="vec_id", n=LOCAL_WORKERS)} AS worker FROM ({SPLIT_SQL}) WHERE split = 'train')),
+mine AS MATERIALIZED (SELECT trial_id, t, x.vec_id, x.label, x.xv, x.dim FROM x JOIN own USING (vec_id)),
+sizes AS (SELECT trial_id, count(*) AS n, max(t) + 1 AS steps FROM own GROUP BY trial_id),
+zero AS (SELECT cls, dim, CAST(0 AS DOUBLE) AS w FROM classes, (SELECT DISTINCT dim FROM x)),
+{sql.walk_cte("one", "SELECT trial_id, cls, dim, w FROM zero, sizes", "SELECT * FROM mine")},
+mean1 AS MATERIALIZED (SELECT cls, dim, sum(n * w) / sum(n) AS w FROM one JOIN sizes ON one.trial_id = sizes.trial_id
+  AND one.t = sizes.steps GROUP BY ALL),
+{sql.walk_cte("two", "SELECT trial_id, cls, dim, w FROM mean1, sizes", "SELECT * FROM mine")},
+mean2 AS MATERIALIZED (SELECT cls, dim, sum(n * w) / sum(n) AS w FROM two JOIN sizes ON two.trial_id = sizes.trial_id
+  AND two.t = sizes.steps GROUP BY ALL)"""
+
+
+@query("fit_local", f"""WITH RECURSIVE {LOCAL_SQL}
+SELECT CAST(cls AS BIGINT) AS class, CAST(dim AS BIGINT) AS dim, round(w, 6) AS weight FROM mean2""")
+def fit_local(spark, sf_dir):
+    """T2 + T5, one job per epoch: two rounds of local SGD, 4 workers by key hash, steps of 32 rows."""
+    w, _ = tr.fit_local(_split_embeddings(spark, sf_dir), "vec_id", 2, LOCAL_WORKERS, LOCAL_ROWS)
+    return tr.weights_frame(spark, w).withColumn("weight", r6(F.col("weight")))
 
 
 # ---------------------------------------------------------------- sweep
@@ -594,6 +665,34 @@ def best_trial(spark, sf_dir):
     return sw.best_trial(_sweep(spark, sf_dir), "loss", "min")
 
 
+SWEEP_STEPS = 3
+
+
+def _sweep_rows(rows: str, steps: int) -> str:
+    return f"""SELECT CAST(m.trial_id AS BIGINT) AS trial_id, t.lr, t.momentum, CAST({steps} AS BIGINT) AS epochs,
+  round(m.loss, 6) AS loss, round(m.accuracy, 6) AS accuracy FROM m{steps} m JOIN trials0 t USING (trial_id)
+WHERE m.split = 'val' {rows}"""
+
+
+@query("sweep_momentum", f"WITH {LONG_X_SQL}, {sql.steps_ctes(SWEEP_STEPS, TRIALS_SQL)}, res AS ({_sweep_rows('', SWEEP_STEPS)})"
+       " SELECT *, CAST(row_number() OVER (ORDER BY loss, trial_id) AS BIGINT) AS place FROM res")
+def sweep_momentum(spark, sf_dir):
+    """H2 + H3 over three steps: momentum takes part, and the trials' places show it."""
+    res = sw.sweep(_split_embeddings(spark, sf_dir), TRIALS, epochs=SWEEP_STEPS)
+    res = res.withColumns({c: r6(F.col(c)) for c in ("loss", "accuracy")})
+    # one row a trial: the grid is small whatever the data
+    return res.withColumn("place", F.row_number().over(Window.orderBy("loss", "trial_id")).cast("long"))
+
+
+@query("sweep_halving", f"WITH {LONG_X_SQL}, {sql.steps_ctes(SWEEP_STEPS, TRIALS_SQL, halve=True)}\n" + "\nUNION ALL ".join(
+    [*(_sweep_rows(f"AND m.trial_id NOT IN (SELECT trial_id FROM m{e + 1})", e) for e in range(1, SWEEP_STEPS)),
+     _sweep_rows("", SWEEP_STEPS)]))
+def sweep_halving(spark, sf_dir):
+    """H2: the same trials, the worse half leaving after each step."""
+    res = sw.sweep(_split_embeddings(spark, sf_dir), TRIALS, epochs=SWEEP_STEPS, halve=True)
+    return res.withColumns({c: r6(F.col(c)) for c in ("loss", "accuracy")})
+
+
 # ---------------------------------------------------------------- sinks
 @query("jsonl_sink", sql.greedy_sql(DOC_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop))
 def jsonl_sink(spark, sf_dir):
@@ -686,3 +785,14 @@ def stream_bounded(spark, sf_dir):
     """V2: the same stream with at most one file per micro-batch."""
     return _stream(spark, sf_dir, 1)
 
+
+@query("stream_metrics", sql.greedy_sql(CONV_KEY_PROMPTS_SQL, WITH_STOP.max_tokens, WITH_STOP.stop, final="""
+SELECT finish_reason, count(*) AS completions, CAST(sum(num_tokens) AS BIGINT) AS total_tokens,
+  CAST(max(num_tokens) AS BIGINT) AS max_tokens FROM gen GROUP BY finish_reason"""))
+def stream_metrics(spark, sf_dir):
+    """V1 + A3: outcome rollup kept as the state of the running stream, a file a micro-batch."""
+    in_dir, out_dir = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-metrics")
+    wr.write_ordered(conversation_prompts(spark, sf_dir), "prompt_id", in_dir)
+    predictor = gen.NextTokenPredictor(spark, tm.argmax_model(doc_model(spark, sf_dir)), WITH_STOP)
+    sm.metrics_stream(spark, in_dir, out_dir, predictor, BATCH_SIZE, max_files=1)
+    return sm.read_rollup(spark, out_dir)
