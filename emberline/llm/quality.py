@@ -11,28 +11,48 @@ documents are rejected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import attach_groups, bit_map, byte_slices, maybe_in, mix64, read_table, staged, text_bytes
+from ..session import has_at_most
+from .common import HOT_KEYS, attach_groups, bit_map, byte_slices, maybe_in, read_table, salted_join, staged, text_bytes
 
 ORDER = 4
 QUANTILE = 0.99
-SLACK = 1.25  # on the quantile: languages with few trusted documents have a rough one
+FREQUENT = 1 << 18  # n-grams whose probabilities every task has (6 MB)
+BLOCK_BYTES = 16 << 20  # texts whose other n-grams are listed together
+RARE_CELLS = 1 << 20  # or fewer of them, with so many n-grams by text
+SLICE_BYTES = 1 << 20  # of them, those whose arrays are made at once
+MOST_WRONG = 100_000  # ids of a list that is broadcast
 HELD = 5  # one in HELD trusted documents sets thresholds and is not trained on
-BLOCK_BYTES = 8 << 20  # texts whose n-grams are listed together
 _BEGIN, _END = 0x10FFFE, 0x10FFFF  # noncharacters that stand around every text
 
 
-def ngrams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of a slice of texts, one for each event (a character of a
-    text, or its end): ``(distinct, which, events)``. ``distinct`` has a row of
-    ``order`` code points for each different n-gram, ``which`` the row of each
-    event, ``events`` how many events each text has."""
+class Cells(NamedTuple):
+    """N-grams of a slice of texts. ``distinct`` has a row of code points for each
+    different n-gram; its cells are ``first[i]:first[i + 1]``, one for each text
+    that holds it, in order: ``text`` and ``count``. ``events`` counts each
+    text's n-grams."""
+
+    distinct: np.ndarray
+    first: np.ndarray
+    text: np.ndarray
+    count: np.ndarray
+    events: np.ndarray
+
+
+def cells(raw: np.ndarray, offsets: np.ndarray, order: int) -> Cells:
+    """One n-gram for each event (a character of a text, or its end), with
+    ``order - 1`` begins before the text. Characters are numbered in the slice,
+    so an n-gram and its text are one whole number, and one sort of plain
+    numbers groups them. The two noncharacters that stand for begin and end
+    count as the one before them where a text has them itself."""
     codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
     n = len(offsets) - 1
@@ -40,28 +60,39 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray
     ends = np.cumsum(sizes)
     line = np.full(int(ends[-1]) if n else 0, _BEGIN, np.uint32)
     line[ends - 1] = _END
-    line[np.arange(len(codes)) + np.repeat(np.arange(n) * order + order - 1, np.diff(chars))] = codes
+    line[np.arange(len(codes)) + np.repeat(np.arange(n) * order + order - 1, np.diff(chars))] = np.minimum(codes, _BEGIN - 1)
     event = np.ones(len(line), bool)
     for k in range(order - 1):
         event[ends - sizes + k] = False
     at = np.flatnonzero(event)
+    events = sizes - order + 1
+    owner = np.repeat(np.arange(n), events)
     met = np.zeros(_END + 1, bool)
     met[line] = True
     letters = np.flatnonzero(met).astype(np.uint32)
-    if len(letters) <= 1 << 16 and order <= 4:  # 16 bits for each character of an n-gram
-        place = np.zeros(_END + 1, np.uint64)
-        place[letters] = np.arange(len(letters), dtype=np.uint64)
-        small = place[line]
-        packed = np.zeros(len(at), np.uint64)
-        for k in range(order):
-            packed |= small[at - k] << np.uint64(16 * k)
-        grams, which = np.unique(packed, return_inverse=True)
-        shifts = np.arange(order - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
-        distinct = letters[((grams[:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.int64)]
+    place = np.zeros(_END + 1, np.uint32)
+    place[letters] = np.arange(len(letters), dtype=np.uint32)
+    small = place[line]
+    bits, low = max(1, (len(letters) - 1).bit_length()), max(1, (n - 1).bit_length())
+    if order * bits + low <= 64:
+        key = np.zeros(len(at), np.uint64)
+        for k in range(order - 1, -1, -1):
+            key = key << np.uint64(bits) | small[at - k]
+        key = np.sort(key << np.uint64(low) | owner.astype(np.uint64))
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        text = (key[start] & np.uint64((1 << low) - 1)).astype(np.int64)
+        gram = key[start] >> np.uint64(low)
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+        shifts = np.arange(order - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+        distinct = letters[((gram[first][:, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(np.int64)]
     else:
         rows = np.stack([line[at - k] for k in range(order - 1, -1, -1)], axis=1)
         distinct, which = np.unique(rows, axis=0, return_inverse=True)
-    return distinct, which.ravel(), sizes - order + 1
+        key = np.sort(which.ravel() * n + owner)
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        text, gram = key[start] % n, key[start] // n
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), gram[1:] != gram[:-1]]))
+    return Cells(distinct, np.append(first, len(start)), text, np.diff(np.append(start, len(key))), events)
 
 
 def _strings(distinct: np.ndarray) -> list[str]:
@@ -74,11 +105,11 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``(g, c)``: the distinct n-grams of all texts and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, 0):
-                distinct, which, _ = ngrams(*text_bytes(part.column(0)), order)
+            for part in byte_slices(batch, 0, SLICE_BYTES):
+                found = cells(*text_bytes(part.column(0)), order)
+                sums = np.diff(np.concatenate([[0], np.cumsum(found.count)])[found.first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_strings(distinct), pa.string()), pa.array(np.bincount(which, minlength=len(distinct)))],
-                    names=["g", "c"])
+                    [pa.array(_strings(found.distinct), pa.string()), pa.array(sums, pa.int64())], names=["g", "c"])
 
     return texts.mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -103,7 +134,7 @@ class KneserNey:
     def __init__(self, counts: DataFrame, order: int = ORDER) -> None:
         self.order = order
         self.seen, self.rest = {}, {}
-        table = staged(counts, "ngrams")
+        self.counts = table = staged(counts, "ngrams")
         for k in range(order, 0, -1):
             d = _discounts(table)
             if k > 1:
@@ -121,6 +152,16 @@ class KneserNey:
                 self.floor = (row["held"] or 1.0) / total / ((row["v"] or 0) + 1)  # one share for all that is unseen
                 self.seen[1] = staged(table.select(F.col("g").alias("g1"), ((F.col("c") - _by_count(d)) / total).alias("a1")), "seen")
 
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """The FREQUENT most frequent n-grams of the training text, sorted, and
+        their log probabilities: a table of bounded size."""
+        top = self.counts.orderBy(F.desc("c"), "g").limit(FREQUENT)
+        table = self.log_probabilities(top).orderBy("g").toArrow()
+        names = np.array(table["g"].to_pylist(), dtype=f"U{self.order}")
+        logp = table["logp"].to_numpy().astype(np.float64)
+        order_ = np.argsort(names)
+        return names[order_], logp[order_]
+
     def log_probabilities(self, grams: DataFrame) -> DataFrame:
         """``(g, logp)`` of n-grams ``(g)``."""
         out, n = grams.select("g"), self.order
@@ -134,12 +175,8 @@ class KneserNey:
         return out.select("g", F.log(p).alias("logp"))
 
 
-_POST = pa.schema([("block", pa.int64()), ("g", pa.string()), ("docs", pa.binary()), ("doc_id", pa.int64()),
-                   ("lang", pa.string()), ("events", pa.int64())])
-
-
-def _varints(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
-    """Runs ``edges`` of small numbers, seven bits to a byte, low bits first."""
+def _varints(values: np.ndarray) -> bytes:
+    """Small numbers, seven bits to a byte, low bits first."""
     sizes = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21) + (values >= 1 << 28)
     ends = np.cumsum(sizes)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
@@ -147,164 +184,141 @@ def _varints(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
         has = sizes > k
         more = (sizes[has] > k + 1).astype(np.uint8) << 7
         out[(ends - sizes)[has] + k] = ((values[has] >> (7 * k)) & 0x7F).astype(np.uint8) | more
-    at = np.concatenate([[0], ends])[edges].astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(at), pa.py_buffer(out.tobytes())])
+    return out.tobytes()
 
 
-def _from_varints(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers, and for each the row it stands in."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
-    last = raw < 0x80
-    stops = np.flatnonzero(last)
+def _from_varints(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    stops = np.flatnonzero(raw < 0x80)
     starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
     values = np.zeros(len(stops), np.int64)
     for k in range(5):
         has = starts + k <= stops
         values[has] |= (raw[(starts + k)[has]].astype(np.int64) & 0x7F) << (7 * k)
-    return values, np.repeat(np.arange(len(column)), lengths)[stops]
-
-
-def _postings(docs: DataFrame, order: int) -> DataFrame:
-    """For each block of documents: one row for each distinct n-gram (``docs``:
-    which of the block's documents hold it and how often), and one row for each
-    document (``events`` not null, ``docs`` its place in the block)."""
-
-    def emit(block: int, ids: list, langs: list, events: list, found: list) -> Iterator[pa.RecordBatch]:
-        if not ids:
-            return
-        doc, gram, count = (np.concatenate(x) for x in zip(*found))
-        names, gram = np.unique(gram, return_inverse=True)
-        order_ = np.lexsort((doc, gram))
-        doc, gram, count = doc[order_], gram[order_], count[order_]
-        new = np.concatenate([[True], gram[1:] != gram[:-1]])
-        gap = np.where(new, doc, np.diff(doc, prepend=0))
-        # gap and count in one number, counts up to 4; larger ones go on in entries without a gap
-        entries = (count + 3) // 4
-        first = np.cumsum(entries) - entries
-        values = np.full(int(entries.sum()), 3, np.int64)
-        values[first + entries - 1] = count - 4 * (entries - 1) - 1
-        values[first] += gap << 2
-        starts = first[new]
-        held = _varints(values, np.concatenate([starts, [len(values)]]))
-        grams = pa.array(names[gram[new]].tolist(), pa.string())
-        for lo in range(0, len(starts), 20_000):
-            n = min(20_000, len(starts) - lo)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), grams.slice(lo, n), held.slice(lo, n),
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_POST)
-        n = len(ids)
-        # rows of documents match no n-gram (their keys are longer) and spread over the shards
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array([f"document {block} {k}" for k in range(n)], pa.string()),
-            _varints(np.arange(n), np.arange(n + 1)), pa.array(ids, pa.int64()), pa.array(langs, pa.string()),
-            pa.array(events, pa.int64())], schema=_POST)
+    return values
+
+
+BLOCKS = ("block long, doc_id array<long>, lang array<string>, events array<long>, base array<double>, "
+          "grams array<string>, entries array<int>, held binary")
+SCORED = "doc_id long, lang string, events long, perplexity double"
+
+
+def _packed(gram: np.ndarray, text: np.ndarray, count: np.ndarray, grams: int) -> tuple[np.ndarray, bytes]:
+    """Cells, sorted by n-gram and text, as one small number each: the gap to
+    the n-gram's text before and a count up to 4; larger counts go on in entries
+    without a gap. Returns the entries of each n-gram and all of them packed."""
+    head = np.diff(gram, prepend=-1) > 0
+    gap = np.where(head, text, np.diff(text, prepend=0))
+    entries = (count + 3) // 4
+    ends = np.cumsum(entries)
+    values = np.full(int(entries.sum()), 3, np.int64)
+    values[ends - 1] = count - 4 * (entries - 1) - 1
+    values[ends - entries] += gap << 2
+    return np.bincount(gram, entries, minlength=grams).astype(np.int32), _varints(values)
+
+
+class _Block:
+    """Texts taken together: their sums so far, and the cells of n-grams that
+    are not in the list of frequent ones."""
+
+    def __init__(self) -> None:
+        self.size, self.rare, self.ids, self.langs = 0, 0, [], []
+        self.events, self.base, self.names, self.cells, self.grams = [], [], [], [], 0
+
+    def add(self, part: pa.RecordBatch, frequent: np.ndarray, logp: np.ndarray, order: int) -> None:
+        raw, offsets = text_bytes(part.column(2))
+        found = cells(raw, offsets, order)
+        names = np.array(_strings(found.distinct), dtype=f"U{order}")
+        at = np.minimum(np.searchsorted(frequent, names), max(0, len(frequent) - 1))
+        known = frequent[at] == names if len(frequent) else np.zeros(len(names), bool)
+        gram = np.repeat(np.arange(len(names)), np.diff(found.first))
+        value = np.where(known, logp[at] if len(logp) else 0.0, 0.0)
+        self.base.append(np.bincount(found.text, value[gram] * found.count, minlength=part.num_rows))
+        rare = ~known[gram]
+        place = np.cumsum(~known) - 1 + self.grams
+        self.cells.append(tuple(x.astype(np.int32) for x in (
+            place[gram[rare]], found.text[rare] + len(self.ids), found.count[rare])))
+        self.rare += int(rare.sum())
+        self.names.append(names[~known])
+        self.grams += int((~known).sum())
+        self.ids += part.column(1).to_pylist()
+        self.langs += part.column(3).to_pylist()
+        self.events.append(found.events)
+        self.size += len(raw)
+
+    def row(self, block: int) -> list:
+        names, same = np.unique(np.concatenate(self.names), return_inverse=True)
+        gram, text, count = (np.concatenate(x) for x in zip(*self.cells))
+        self.cells.clear()
+        gram = same.astype(np.int32)[gram]
+        order_ = np.argsort(gram * np.int64(len(self.ids)) + text)
+        entries, held = _packed(gram[order_], text[order_], count[order_], len(names))
+        return [block, self.ids, self.langs, np.concatenate(self.events), np.concatenate(self.base), names.tolist(), entries, held]
+
+
+def _blocks(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """One row for each block of about BLOCK_BYTES of text: its rows, what their
+    frequent n-grams sum to, its other distinct n-grams once each, and which
+    rows hold those how often."""
+    schema, order = to_arrow_schema(StructType.fromDDL(BLOCKS)), model.order
+    state = rows.sparkSession.sparkContext.broadcast(model.frequent())  # FREQUENT n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        ids, langs, events, found, size = [], [], [], [], 0
+        block, held = None, _Block()
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(held.row(block), schema)], schema=schema)
+
         for batch in batches:
-            for part in byte_slices(batch, 1):
-                if size > BLOCK_BYTES:
-                    yield from emit(block, ids, langs, events, found)
-                    block += 1
-                    ids, langs, events, found, size = [], [], [], [], 0
-                raw, offsets = text_bytes(part.column(1))
-                distinct, which, n = ngrams(raw, offsets, order)
-                key, counts = np.unique(np.repeat(np.arange(part.num_rows), n) * len(distinct) + which, return_counts=True)
-                names = np.array(_strings(distinct), dtype=f"U{order}")
-                found.append((key // len(distinct) + len(ids), names[key % len(distinct)], counts))
-                ids += part.column(0).to_pylist()
-                langs += part.column(2).to_pylist()
-                events += n.tolist()
-                size += len(raw)
-        yield from emit(block, ids, langs, events, found)
-
-    return docs.mapInArrow(run, "block long, g string, docs binary, doc_id long, lang string, events long")
-
-
-_SUMS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_id", pa.int64()),
-                   ("lang", pa.string()), ("events", pa.int64())])
-_HELD_SUMS = 1 << 20  # partial sums a task holds before it passes them on
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of count times log probability by document, packed by block, for
-    as many rows as a task holds; the rows of documents themselves pass."""
-    held: dict[int, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            at = {b: np.flatnonzero(v) for b, v in held.items()}
-            n = len(held)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(held), pa.int64()), pa.array([at[b].astype("<u4").tobytes() for b in held], pa.binary()),
-                pa.array([held[b][at[b]].astype("<f8").tobytes() for b in held], pa.binary()),
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_SUMS)
-            held.clear()
+            for part in byte_slices(batch, 2, SLICE_BYTES):
+                block = part.column(0)[0].as_py() if block is None else block
+                held.add(part, *state.value, order)
+                if held.size >= BLOCK_BYTES or held.rare >= RARE_CELLS:
+                    yield emit()
+                    block, held = None, _Block()
+        if held.ids:
+            yield emit()
 
+    return rows.select(F.monotonically_increasing_id(), "doc_id", "text", "lang").mapInArrow(run, BLOCKS)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The perplexities of each block, with the log probabilities of its other n-grams."""
     for batch in batches:
-        head = batch.column("events").is_valid()
-        rows, heads = batch.filter(pa.compute.invert(head)), batch.filter(head)
-        values, row = _from_varints(rows.column("docs"))
-        if len(values):
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            doc = np.cumsum(values >> 2)
-            doc -= np.repeat(doc[first] - (values[first] >> 2), np.diff(np.concatenate([first, [len(doc)]])))
-            counts, owner = (values & 3) + 1, row
-            logp = rows.column("logp").to_numpy(zero_copy_only=False)[owner] * counts
-            block = rows.column("block").to_numpy()[owner]
-            order_ = np.argsort(block, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block[order_])) + 1, [len(block)]])
-            for a, b in zip(cuts, cuts[1:]):
-                part = order_[a:b]
-                key, top = int(block[part[0]]), int(doc[part].max()) + 1
-                have = held.get(key, np.zeros(0))
-                if len(have) < top:
-                    have = np.concatenate([have, np.zeros(top - len(have))])
-                have[:top] += np.bincount(doc[part], logp[part], minlength=top)
-                held[key] = have
-            if sum(map(len, held.values())) > _HELD_SUMS:
-                yield from flush()
-        if heads.num_rows:
-            place, _ = _from_varints(heads.column("docs"))
+        for row in range(batch.num_rows):
+            block = {name: batch.column(name)[row] for name in batch.schema.names}
+            events, base, entries = (block[n].values.to_numpy(zero_copy_only=False) for n in ("events", "base", "entries"))
+            total = base
+            if block["facts"].is_valid:
+                facts, logp = block["facts"].values, np.zeros(len(entries))
+                logp[facts.field("pos").to_numpy(zero_copy_only=False)] = facts.field("logp").to_numpy(zero_copy_only=False)
+                values = _from_varints(block["held"].as_py())
+                upto, ends = np.cumsum(values >> 2), np.cumsum(entries)
+                text = upto - np.repeat(np.concatenate([[0], upto[ends[:-1] - 1]]), entries)
+                total = base + np.bincount(text, np.repeat(logp, entries) * ((values & 3) + 1), minlength=len(events))
             yield pa.RecordBatch.from_arrays([
-                heads.column("block"), pa.array([int(k).to_bytes(4, "little") for k in place], pa.binary()),
-                pa.array([bytes(8)] * len(place), pa.binary()), heads.column("doc_id"), heads.column("lang"),
-                heads.column("events")], schema=_SUMS)
-    yield from flush()
+                block["doc_id"].values, block["lang"].values, pa.array(events), pa.array(np.exp(-total / events))],
+                names=[part.split()[0] for part in SCORED.split(", ")])
 
 
 def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang") -> DataFrame:
     """``(doc_id, lang, events, perplexity)`` for every document.
 
-    Only n-grams shuffle: (block, n-gram) rows meet their log probability in
-    the n-gram's shard, and partial sums by document come back. Null texts are
-    empty (one event, the end), a null language is the empty one, null and
-    repeated ids are rows like any other."""
+    Texts are read once, in blocks that are stored: which rows are in a block,
+    and where, does not change if a task is run again. The model's FREQUENT most
+    frequent n-grams are with every task. A block's other distinct n-grams meet
+    the model in their shard and bring their log probabilities back; each has
+    one row a block, however frequent it is. Null texts are empty (one
+    event, the end), a null language is the empty one, null and repeated ids
+    are rows like any other."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    grams = count_ngrams(rows.select("text"), model.order).drop("c")
-    logp = staged(model.log_probabilities(grams), "logp")
-    sums = _postings(rows, model.order).join(logp, "g", "left").select(
-        "block", "logp", "docs", "doc_id", "lang", "events").mapInArrow(
-        _partial, "block long, docs binary, sums binary, doc_id long, lang string, events long")
-    return sums.groupBy("block").applyInArrow(_finish, "doc_id long, lang string, events long, perplexity double")
-
-
-def _finish(table: pa.Table) -> pa.Table:
-    """The documents of one block from their partial sums (a block has a
-    bounded size, so has the group)."""
-    head = table["events"].is_valid()
-    heads, parts = table.filter(head), table.filter(pa.compute.invert(head))
-    total = np.zeros(heads.num_rows)
-    for docs, sums in zip(parts["docs"].to_pylist(), parts["sums"].to_pylist()):
-        total[np.frombuffer(docs, "<u4")] += np.frombuffer(sums, "<f8")
-    place = np.frombuffer(b"".join(heads["docs"].to_pylist()), "<u4")
-    events = heads["events"].to_numpy()
-    return pa.table({"doc_id": heads["doc_id"], "lang": heads["lang"], "events": heads["events"],
-                     "perplexity": pa.array(np.exp(-total[place] / events))})
+    blocks = staged(_blocks(rows, model), "blocks")
+    grams = blocks.select("block", F.posexplode("grams").alias("pos", "g"))
+    logp = model.log_probabilities(grams.select("g").distinct())
+    facts = grams.join(logp, "g").groupBy("block").agg(F.collect_list(F.struct("pos", "logp")).alias("facts"))
+    return blocks.drop("grams").join(facts, "block", "left").mapInArrow(_finish, SCORED)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -317,20 +331,28 @@ def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile:
 
     ``trusted (doc_id)`` names the documents the model and the thresholds are
     made from, all of them: four in five (by hashed id) train the model, and
-    the rest, which it has not seen, give each language its threshold, SLACK
-    times the ``quantile`` of their perplexities (of all languages together
-    where one has none). Without trusted text every document is kept. An empty
+    the rest, which it has not seen, give each language its threshold, the
+    ``quantile`` of their perplexities (of all languages together where one has
+    none). Without trusted text every document is kept. An empty
     table gives no rows; other columns are ignored."""
     ids = staged(trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("k")),
                  "trusted")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "k", F.xxhash64("doc_id"))
-    own = maybe_in(rows, staged(bit_map(ids.where(F.pmod(F.col("k"), F.lit(HELD)) > 0), "k"), "map"), "k").where("__maybe").select("doc_id", "text")
     train = ids.where(F.pmod(F.col("k"), F.lit(HELD)) > 0)
-    model = KneserNey(count_ngrams(own.join(train, "doc_id", "left_semi").select("text"), order), order)
+    own = maybe_in(rows, staged(bit_map(train, "k"), "map"), "k").where("__maybe").select("doc_id", "text")
+    own = own.where("doc_id is not null")
+    # what the bitmap lets through wrongly is a short list, and no text shuffles; else an id may be that of many rows
+    wrong = staged(own.select("doc_id").distinct().join(train.select("doc_id"), "doc_id", "left_anti"), "wrong")
+    if has_at_most(wrong, MOST_WRONG):
+        texts = own.join(F.broadcast(wrong), "doc_id", "left_anti").select("text")
+    else:
+        often = own.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, own.count() // HOT_KEYS))
+        texts = salted_join(own, train.select("doc_id"), "doc_id", staged(often, "often"), ["text"]).select("text")
+    model = KneserNey(count_ngrams(texts, order), order)
     scores = staged(perplexities(docs, model, id_col, text_col, lang_col), "perplexity")
     measured = scores.join(ids.where(F.pmod(F.col("k"), F.lit(HELD)) == 0), "doc_id", "left_semi")
-    limit = F.percentile_approx("perplexity", quantile, 10_000) * SLACK
+    limit = F.percentile_approx("perplexity", quantile, 10_000)
     limits = measured.groupBy("lang").agg(limit.alias("threshold"))
     whole = measured.agg(limit.alias("t")).first()["t"]
     limits = scores.groupBy("lang").agg(F.count("*").alias("n")).join(limits, "lang", "left")

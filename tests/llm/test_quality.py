@@ -11,14 +11,15 @@ from emberline.llm import quality
 
 TEXTS = [t for (t,) in duckdb.sql(f"select text from '{SF_SMALL}/documents.parquet' order by doc_id limit 60").fetchall()]
 DOCS = [(k, t, "en") for k, t in enumerate(TEXTS)] + [
-    (900, None, None), (901, "", None), (902, "a" * 3000, "x"), (903, "long " * 20_000, "en"), (None, "é😀", "en")]
+    (900, None, None), (904, "a\U0010FFFEb\U0010FFFFc", "en"), (901, "", None), (902, "a" * 3000, "x"), (903, "long " * 20_000, "en"), (None, "é😀", "en")]
 TRAIN = TEXTS[:30]
 
 
 def plain_model(order):
     """Interpolated modified Kneser-Ney, one dictionary at a time."""
     def grams(text):
-        s = "\U0010FFFE" * (order - 1) + (text or "") + "\U0010FFFF"
+        text = (text or "").replace("\U0010FFFE", "\U0010FFFD").replace("\U0010FFFF", "\U0010FFFD")
+        s = "\U0010FFFE" * (order - 1) + text + "\U0010FFFF"
         return [s[i - order + 1:i + 1] for i in range(order - 1, len(s))]
 
     tables = {order: Counter(g for t in TRAIN for g in grams(t))}
@@ -46,8 +47,10 @@ def plain_model(order):
     return lambda text: math.exp(-sum(math.log(p(g)) for g in grams(text)) / len(grams(text)))
 
 
-@pytest.mark.parametrize("order", [2, 4])
-def test_perplexities_are_those_of_the_plain_model(spark, order):
+@pytest.mark.parametrize("order, frequent, block", [(2, 1 << 18, 1 << 24), (4, 1 << 18, 1 << 24), (4, 300, 20_000), (4, 0, 1)])
+def test_perplexities_are_those_of_the_plain_model(spark, monkeypatch, order, frequent, block):
+    monkeypatch.setattr(quality, "FREQUENT", frequent)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block)
     train = spark.createDataFrame([(t,) for t in TRAIN], "text string")
     model = quality.KneserNey(quality.count_ngrams(train, order), order)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, lang string").repartition(3)
@@ -75,8 +78,76 @@ def test_clean_documents_stay(spark):
     assert rate[1] >= 0.97 and rate[0] <= 0.3
 
 
+def test_training_texts_either_way(spark, monkeypatch):
+    """Ids that only the bitmap takes for trusted do not train, listed or joined."""
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(TEXTS)] + [(None, TEXTS[0], "en")] * 3, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "doc_id long")
+    want = Counter((r["doc_id"], round(r["perplexity"], 9)) for r in quality.classify(docs, trusted).collect())
+    everything = quality.F.lit(True)
+    with monkeypatch.context() as m:
+        m.setattr(quality, "maybe_in", lambda rows, bitmap, col, flag="__maybe": rows.withColumn(flag, everything))
+        assert Counter((r["doc_id"], round(r["perplexity"], 9)) for r in quality.classify(docs, trusted).collect()) == want
+        m.setattr(quality, "MOST_WRONG", 0)
+        assert Counter((r["doc_id"], round(r["perplexity"], 9)) for r in quality.classify(docs, trusted).collect()) == want
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None), (1, "x", "en"), (None, "", "en")], "doc_id long, text string, lang string")
     nobody = spark.createDataFrame([], "doc_id long")
     assert {r["kept"] for r in quality.classify(docs, nobody).collect()} == {True}
     assert quality.classify(docs.limit(0), nobody).count() == 0
+
+
+@pytest.mark.parametrize("order, letters", [(4, 5), (4, 70_000), (2, 300)])
+def test_cells_of_many_texts(order, letters):
+    """Packed numbers and rows of code points give the same cells, and they come back packed."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from emberline.llm.common import text_bytes
+
+    rng = random.Random(order)
+    alphabet = [chr(0x4E00 + k) if k < 0x8000 else chr(0x10000 + k) for k in range(letters)]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(50)] + ["", "a" * 50]
+    if letters > 1000:
+        texts.append("".join(alphabet))
+    found = quality.cells(*text_bytes(pa.array(texts)), order)
+    want = Counter()
+    for k, t in enumerate(texts):
+        s = "\U0010FFFE" * (order - 1) + t + "\U0010FFFF"
+        want.update((s[i:i + order], k) for i in range(len(t) + 1))
+    grams = quality._strings(found.distinct)
+    owner = np.repeat(np.arange(len(grams)), np.diff(found.first))
+    assert Counter({(grams[g], t): c for g, t, c in zip(owner, found.text.tolist(), found.count.tolist())}) == want
+    assert found.events.tolist() == [len(t) + 1 for t in texts]
+    entries, held = quality._packed(owner, found.text, found.count, len(grams))
+    values = quality._from_varints(held)
+    assert len(values) == entries.sum() and sum((values & 3) + 1) == found.events.sum()
+
+
+def test_memory_of_one_block(spark):
+    """2 MB of text: what its arrays hold at once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from emberline.llm.common import byte_slices, text_bytes
+
+    rng = np.random.default_rng(0)
+    words = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(580)]
+    raw, offsets = text_bytes(pa.array(texts))
+    assert len(raw) > 1_900_000
+    tracemalloc.start()
+    block = quality._Block()
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts), pa.array(["en"] * len(texts))],
+                           names=["row", "doc_id", "text", "lang"])
+    for part in byte_slices(rows, 2, quality.SLICE_BYTES):
+        block.add(part, np.zeros(0, "U4"), np.zeros(0), quality.ORDER)
+    block.row(0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
