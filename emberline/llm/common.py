@@ -4,6 +4,7 @@ Arrow access to whole text columns."""
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -37,6 +38,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables whose successors are staged too: a job of many
+    rounds then holds the tables of one round, not of all. Nothing that is still
+    to be computed may read them. Temporary results only, never a given table.
+
+    Shuffle files of finished jobs go when the driver collects the objects that
+    stand for them, so it is asked to."""
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+    for table in tables:
+        spark = table.sparkSession
+        for path in table.inputFiles()[:1]:
+            folder = path.rsplit("/", 1)[0]
+            if "/scratch/" in folder:
+                where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int,
                   how: str = "left") -> DataFrame:
     """Join per-key facts back to rows, whatever share of the rows one key has.
@@ -88,20 +107,23 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if e.isEmpty():
             return forest
         up = e.groupBy("a").agg(F.min("b").alias("up"))
-        forest = staged(forest.join(up, forest["component"] == up["a"], "left").select(
+        before, forest = forest, staged(forest.join(up, forest["component"] == up["a"], "left").select(
             "id", F.coalesce("up", "component").alias("component")), "forest")
+        dropped(before)
         while True:  # pointer jumping: every id points to its parent's parent
             parent = forest.select(F.col("id").alias("p"), F.col("component").alias("pp"))
             jumped = forest.join(parent, forest["component"] == parent["p"]).select(
                 "id", F.col("pp").alias("component"), (F.col("pp") != F.col("component")).alias("moved"))
             jumped = staged(jumped, "forest")
+            dropped(forest)
             forest = jumped.select("id", "component")
             if jumped.where("moved").isEmpty():
                 break
         left = forest.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         right = forest.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        e = staged(e.join(left, "a").join(right, "b").where("ca <> cb").select(
+        before, e = e, staged(e.join(left, "a").join(right, "b").where("ca <> cb").select(
             F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "edges")
+        dropped(before)
     raise RuntimeError("components did not converge")
 
 
@@ -244,3 +266,21 @@ def maybe_in(rows: DataFrame, bitmap: DataFrame, col: str, flag: str = "__maybe"
     hit = F.expr("(cast(conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int) >> (__bit % 8)) & 1")
     return cut.join(F.broadcast(bitmap), "__page", "left").withColumn(
         flag, F.coalesce(hit == 1, F.lit(False))).drop("__page", "__bit", "__map")
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """Adds ``later`` to rows ``(row, dh, ...)``, ``row`` a struct of all columns
+    and ``dh`` a hash of id and text: true for all but one of the rows that repeat
+    both (equal rows are alike; of rows that differ in other columns, the one
+    with the smallest hash of them all stays)."""
+    twice = staged(rows.groupBy("dh").agg(F.count("*").alias("n")).where("n > 1").select("dh"), "twice")
+    if twice.isEmpty():
+        return rows.withColumn("later", F.lit(False))
+    marked = maybe_in(rows, staged(bit_map(twice, "dh"), "map"), "dh")
+    # stored, so that a row's number is the same whenever it is read
+    some = staged(marked.where("__maybe").drop("__maybe").withColumns(
+        {"tie": F.xxhash64(F.to_json("row")), "number": F.monotonically_increasing_id()}), "copies")
+    stay = some.groupBy("dh").agg(F.min(F.struct("tie", "number")).alias("s")).select("s.number", F.lit(True).alias("stays"))
+    later = some.join(stay, "number", "left").withColumn("later", F.col("stays").isNull())
+    return marked.where("not __maybe").drop("__maybe").withColumn("later", F.lit(False)).unionByName(
+        later.select(*rows.columns, "later"))

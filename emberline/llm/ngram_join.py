@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
-    HOT_KEYS, SpanHash, attach_groups, bit_map, byte_slices, connected, lowered, maybe_in, mix64, ranked, read_table,
+    HOT_KEYS, SpanHash, attach_groups, bit_map, byte_slices, connected, dropped, lowered, maybe_in, mix64, ranked, read_table,
     salted_join, staged, text_bytes, words)
 
 
@@ -171,19 +171,24 @@ def _sketched(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
     """``(a, b, both, either)`` of the sketches: no more than the sets differ."""
     both = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
     size = F.aggregate(F.zip_with("x", "y", lambda p, q: p + q), F.lit(0), lambda t, v: t + v)
-    out = _joined(staged(pairs, "pairs"), uniques, "sketch").select("a", "b", both.alias("both"), size.alias("__s"))
-    return staged(out.select("a", "b", "both", (F.col("__s") - F.col("both")).alias("either")), "sketched")
+    pairs = staged(pairs, "pairs")
+    out = _joined(pairs, uniques, "sketch").select("a", "b", both.alias("both"), size.alias("__s"))
+    out = staged(out.select("a", "b", "both", (F.col("__s") - F.col("both")).alias("either")), "sketched")
+    dropped(pairs)
+    return out
 
 
 def _verified(docs: DataFrame, sketched: DataFrame, link: Link) -> DataFrame:
     """The pairs that link by the exact similarity of their whole sets; only
     those whose sketches allow it are read."""
     pairs = staged(_links(sketched, link), "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = staged(_sets(docs, staged(ends, "ends"), link), "sets")
+    ends = staged(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "ends")
+    sets = staged(_sets(docs, ends, link), "sets")
     both = F.size(F.array_intersect("x", "y"))
-    return _links(_joined(pairs, sets, "set").select(
-        "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")), link)
+    out = staged(_links(_joined(pairs, sets, "set").select(
+        "a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either")), link), "links")
+    dropped(pairs, ends, sets)
+    return out
 
 
 def _links(measured: DataFrame, link: Link) -> DataFrame:
@@ -194,16 +199,20 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _grouped(regions: DataFrame, links: DataFrame) -> DataFrame:
-    """Regions with each set's component so far as ``grp``; regions that are
-    all one component are done and go."""
-    comp = connected(links).select(F.col("id").alias("sid"), F.col("component").alias("__c"))
-    now = staged(regions.drop("grp").join(comp, "sid", "left").withColumn("grp", F.coalesce("__c", "sid")).drop("__c"), "grouped")
+def _grouped(regions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions with each set's component so far as ``grp``, without those that
+    are all one component and done; and the components as links, one for each
+    set, for the next time."""
+    comp = connected(links)
+    named = comp.select(F.col("id").alias("sid"), F.col("component").alias("__c"))
+    now = staged(regions.drop("grp").join(named, "sid", "left").withColumn("grp", F.coalesce("__c", "sid")).drop("__c"), "grouped")
     mixed = now.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = staged(mixed.select("region", "n"), "mixed")
     total = now.count()
     hot = mixed.where(F.col("n") > max(1000, total // HOT_KEYS)) if total > 1000 else None
-    return staged(salted_join(now, mixed.select("region"), "region", hot, ["sid"]), "regions")
+    out = staged(salted_join(now, mixed.select("region"), "region", hot, ["sid"]), "regions")
+    dropped(now, mixed)
+    return out, comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame:
@@ -219,7 +228,7 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
        larger, so what is too far apart there cannot link; members that may be
        within the radius are verified on the whole sets.
     3. Members that are still of different components meet in rounds: the next
-       32, 128, 512 ... members of the region are compared with those after them,
+       4, 16, 64 ... members of the region are compared with those after them,
        but only where the triangle inequality over the pivot leaves a chance
        (rings of the radius, and one ring to each side), sizes allow a link,
        and the components differ. Regions of one component leave.
@@ -238,26 +247,28 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
     members = staged(members, "members")
     held = members.count()
     regions = staged(ranked(members, ["region"], ["sid"], held), "regions")
+    dropped(members)
     hot = _often(regions, "region", held)
     hot = hot if hot is None else staged(hot, "hot")
 
     first = regions.where("rank = 0").select("region", F.col("sid").alias("p"))
     around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
-    pairs = staged(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), "pairs")
-    sketched = _sketched(pairs, uniques)
-    links = staged(_verified(docs, sketched, link), "links")
+    sketched = _sketched(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), uniques)
+    links = _verified(docs, sketched, link)
     # rings as wide as the radius; whole numbers, so that no rounding moves a set
     ring = F.floor((F.col("either") - F.col("both")) * link.den / (F.col("either") * (link.den - link.num)))
     rings = sketched.select("a", "b", ring.cast("int").alias("ring"))
     placed = around.withColumns({"a": F.least("sid", "p"), "b": F.greatest("sid", "p")}).join(rings, ["a", "b"], "left").select(
         "region", "sid", "n", "rank", F.coalesce("ring", F.lit(0)).alias("ring"))
-    regions = _grouped(placed, links)
+    members, (regions, forest) = regions, _grouped(placed, links)
+    dropped(buckets, members, around, sketched, links)
 
-    start, width = 1, 32
+    # few members ask first: one of them that most of a family links to ends it for all
+    start, width = 1, 4
     while True:
         top = regions.agg(F.max("rank").alias("r")).first()["r"]
         if top is None or top < start:
-            return connected(links)
+            return connected(forest)
         cell = F.xxhash64("region", "ring")
         asks = regions.where(F.col("rank").between(start, start + width - 1)).select(
             "region", F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("rank").alias("cr"), F.col("grp").alias("cg"),
@@ -268,10 +279,12 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
         met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
             F.least("n", "cn") * link.den >= F.greatest("n", "cn") * link.num))
         close = _sketched(met.select(*_pair("sid", "c")).distinct(), uniques)
-        new = staged(_verified(docs, close, link), "new") if not _links(close, link).isEmpty() else None
+        new = _verified(docs, close, link) if not _links(close, link).isEmpty() else None
         if new is not None and not new.isEmpty():
-            links = staged(links.unionByName(new), "links")
-            regions = _grouped(regions, links)
+            before, (regions, linked) = regions, _grouped(regions, forest.unionByName(new))
+            dropped(before, forest, new)
+            forest = linked
+        dropped(close)
         start, width = start + width, width * 4
 
 
@@ -286,7 +299,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other columns are ignored, an empty table gives no rows. Sets are known by
     64-bit hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(staged(_prefixes(rows, np.zeros(0, np.uint64), 2, link), "prefixes"))
+    first = staged(_prefixes(rows, np.zeros(0, np.uint64), 2, link).select("sid", "n", "prefix"), "prefixes")
+    frequent = frequent_shingles(first)
+    dropped(first)
     found = staged(_prefixes(rows, frequent, 1, link), "prefixes")
     uniques = staged(found.where("n > 0").groupBy("sid").agg(
         F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"),
@@ -299,6 +314,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = names.where(F.col("n") > max(1000, named.count() // HOT_KEYS))
     facts = staged(salted_join(named, names.select("component", "component_id"), "component", hot, ["sid"]).select(
         "sid", "component_id", "copies"), "facts")
+    dropped(named, names)
     whole = attach_groups(found.where("n > 0").select("doc_id", "sid", "n"), facts, ["sid"], "copies", found.count())
     none = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
                                        F.lit(1).cast("long").alias("copies"))

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from emberline.llm import lines, ngram_join
 
@@ -82,7 +84,7 @@ def python_shingles(line):
     import re
 
     out, at = set(), 0
-    step = re.compile(rf"\S{{1,{lines.STEP}}}[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+")
+    step = re.compile(r"\S[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+")
     while at < len(line):
         out.add(line[at:at + lines.SHINGLE])
         at = step.match(line, at).end()
@@ -159,8 +161,48 @@ def test_line_edge_cases(spark):
             (7, "x" * 50_000), (8, "\n\n"), (9, "über alles line one two three"), (10, "tail\nüber alles line one two three")]
     assert run_lines(spark, rows) == brute_lines(rows)
     assert run_lines(spark, []) == Counter()
-    twice = spark.createDataFrame([(5, "same\nrow"), (5, "same\nrow")], "doc_id long, text string")
-    assert [r["text"] for r in lines.dedup_lines(twice).collect()] == ["same\nrow"] * 2
+
+
+def test_lines_of_repeated_rows(spark):
+    """A table loaded twice keeps what it keeps loaded once; names may clash with any of ours."""
+    rows = [(5, "same\n\nrow", 1), (5, "same\n\nrow", 2), (5, "same\n\nrow", 2), (None, "no id", 3), (None, "no id", 3), (6, "row\nown", 4),
+            (7, None, 5), (7, None, 5), (8, "", 6), (8, "", 6)]
+    columns = "doc_id long, text string, dh int"
+    docs = spark.createDataFrame(rows, columns)
+    for name in ("h", "gone", "later", "row", "parts", "solid", "__maybe", "__page", "component", "key", "a", "first", "n"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = lines.dedup_lines(docs.repartition(3))
+    assert got.columns == [*docs.columns, "lines_kept", "lines_dropped"]
+    found = Counter((r["doc_id"], r["text"], r["lines_kept"], r["lines_dropped"]) for r in got.collect())
+    assert found == Counter([(5, "same\n\nrow", 2, 0), (5, "", 0, 2), (5, "", 0, 2), (None, "no id", 1, 0), (None, "", 0, 1),
+                             (6, "own", 1, 1), (7, None, 0, 0), (7, None, 0, 0), (8, "", 0, 0), (8, "", 0, 0)])
+    assert {r["gone"] for r in got.collect()} == {"gone"}
+    # the copies' empty texts aside, the same as of the table loaded once
+    base = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    once = Counter(tuple(r) for r in lines.dedup_lines(base).select("doc_id", "text").collect())
+    both = lines.dedup_lines(base.unionByName(base)).where("not (lines_kept = 0 and lines_dropped > 0)")
+    assert Counter(tuple(r) for r in both.select("doc_id", "text").collect()) == Counter(
+        {k: n for k, n in once.items() if k[1].strip()})
+
+
+def test_shards_and_buckets_of_any_size(spark, monkeypatch):
+    """Shards that go on as rows and buckets cut into blocks give the same."""
+    rows = template_lines(5, 200, 130, 50)[0] + [(1000 + k, x) for k, (_, x) in enumerate(template_lines(6, 120, 50, 20)[0])]
+    want = brute_lines(rows)
+    for name, value in (("SHARD_CELLS", 1), ("BUCKET", 16), ("CELLS", 500), ("CHUNK_LINES", 7), ("WIDE", 5)):
+        with monkeypatch.context() as m:
+            m.setattr(lines, name, value)
+            assert run_lines(spark, rows) == want, name
+
+
+def test_a_bucket_of_many_lines(spark):
+    """50,000 lines of one template, all apart: no pair of the bucket is made, none of the planted copies lost."""
+    rows, planted = template_lines(9, 50_000, 130, 50)
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(k, "\n".join(x for _, x in rows[k * 500:k * 500 + 500])) for k in range(len(rows) // 500 + 1)], "doc_id long, text string")
+    got = lines.dedup_lines(docs).agg(F.sum("lines_kept"), F.sum("lines_dropped")).first()
+    assert tuple(got) == (50_000, planted)
 
 
 def test_a_line_in_every_document(spark):
