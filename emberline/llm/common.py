@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+COLLECT_SECONDS = 10
+_collected = 0.0
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes staged tables whose successors are staged too: a job of many
     rounds then holds the tables of one round, not of all. Nothing that is still
     to be computed may read them. Temporary results only, never a given table.
 
     Shuffle files of finished jobs go when the driver collects the objects that
-    stand for them, so it is asked to."""
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    stand for them, so it is asked to, every COLLECT_SECONDS at most."""
+    global _collected
+    if time.monotonic() - _collected > COLLECT_SECONDS:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
     for table in tables:
         spark = table.sparkSession
         for path in table.inputFiles()[:1]:
