@@ -157,10 +157,11 @@ PARTIAL_SCHEMA = pa.schema([("trial", pa.int32()), ("kind", pa.string()), ("spli
 
 
 def pass_stats(df: DataFrame, weights: np.ndarray, vec_col: str = "features", label_col: str = "label",
-               split_col: str | None = "split") -> dict:
+               split_col: str | None = "split", one_step: bool = False) -> dict:
     """One data pass for a stack of weight matrices ``(T, K, D)``: per trial
     the mean gradient over train rows, and loss / accuracy per split. Returns
-    plain NumPy on the driver (size T x K x D)."""
+    plain NumPy on the driver (size T x K x D). ``one_step`` is for the rows of
+    one mini-batch, a file or two: their partials come as they are, in one stage."""
     spark: SparkSession = df.sparkSession
     prepare(spark)
     t_, k, d = weights.shape
@@ -169,14 +170,15 @@ def pass_stats(df: DataFrame, weights: np.ndarray, vec_col: str = "features", la
     partial = df.select(*cols).mapInArrow(
         _partials_fn(bc, k, d, vec_col, label_col, split_col),
         "trial int, kind string, split string, k int, j int, value double")
-    total = partial.groupBy("trial", "kind", "split", "k", "j").agg(F.sum("value").alias("value"))
+    total = partial if one_step else partial.groupBy("trial", "kind", "split", "k", "j").agg(F.sum("value").alias("value"))
     grad = np.zeros((t_, k, d))
     stats: dict = {}
-    for r in total.collect():  # bounded: T*K*D + a few rows per trial
+    for r in total.collect():  # bounded: T*K*D + a few rows per trial (per file of one step)
         if r["kind"] == "grad":
-            grad[r["trial"], r["k"], r["j"]] = r["value"]
+            grad[r["trial"], r["k"], r["j"]] += r["value"]
         else:
-            stats[(r["trial"], r["kind"], r["split"])] = r["value"]
+            key = (r["trial"], r["kind"], r["split"])
+            stats[key] = stats.get(key, 0.0) + r["value"]
     bc.unpersist()
     out = {"grad": grad, "loss": {}, "accuracy": {}, "n": {}}
     for t in range(t_):
@@ -274,7 +276,7 @@ def fit_softmax(df: DataFrame, epochs: int, lr: float = LR, momentum: float = MO
             if max_steps is not None and done >= max_steps:
                 break
             part = steps.filter(F.col("step_id") == sid)
-            st = pass_stats(part, w[None], vec_col=vec_col, label_col=label_col, split_col=None)
+            st = pass_stats(part, w[None], vec_col=vec_col, label_col=label_col, split_col=None, one_step=True)
             v = momentum * v + st["grad"][0]
             w = w - rate * v
             losses.append(st["loss"][(0, "train")])
