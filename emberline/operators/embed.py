@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import join_small, prepare, read_model_table, shuffle_partitions, write_model_table
+from ..session import has_at_most, prepare, read_model_batches, shuffle_partitions, write_model_table
 from .batching import _rebatch_by_count, _rebatch_by_key
 from .generate import cached_state
 from .indexing import dense_index
 
 # Fixed value: tokens kept per text by the encoder.
 MAX_TOKENS = 128
+# Broadcasts that a table of vectors may be cut into.
+BLOCKS = 4
 
 
 def truncate_tokens(df: DataFrame, text_col: str = "text", max_len: int = MAX_TOKENS) -> DataFrame:
@@ -61,15 +63,27 @@ def pooled_vectors(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: st
 
     Tokens (at most ``max_len``) are hashed to slots and counted before any
     shuffle, so a text becomes one row for each distinct slot. These meet
-    the vectors, whole, in a join that is broadcast only when their table is
-    proven small, and one weighted vector aggregate per text sums them up: no
-    row is multiplied by the dimension."""
+    the vectors, whole, and one weighted vector aggregate per text sums them up: no
+    row is multiplied by the dimension. The vectors are broadcast while their table
+    is proven small, or in up to BLOCKS ranges of slots of that size: a text's sum
+    over a range is one row before any shuffle. Beyond, a shuffle join moves a vector
+    for each row."""
     keys = [id_col, *keep]
     # outer: a plain explode would have the tokens made twice, once to see that there are any
     toks = df.select(*keys, F.explode_outer(F.slice(tokens(text_col), 1, max_len)).alias("_t")).where("_t is not null")
     per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("_t")).alias("slot")).agg(F.count(F.lit(1)).alias("_c"))
     table = vectors.select("slot", vector_column("embedding").alias("_v"))
-    hit = join_small(per_slot, table, "slot", max_rows=max_broadcast_rows)
+    if has_at_most(table, max_broadcast_rows):
+        hit = per_slot.join(F.broadcast(table), "slot")
+    elif has_at_most(table, BLOCKS * max_broadcast_rows):
+        hit = None
+        for first in range(0, n_vectors, max_broadcast_rows):
+            here = F.col("slot").between(first, first + max_broadcast_rows - 1)
+            block = per_slot.where(here).join(F.broadcast(table.where(here)), "slot").groupBy(*keys).agg(
+                Summarizer.mean(F.col("_v"), F.col("_c")).alias("_v"), F.sum("_c").alias("_c"))
+            hit = block if hit is None else hit.unionByName(block)
+    else:
+        hit = per_slot.join(table, "slot")
     pooled = hit.groupBy(*keys).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("mean"), F.sum("_c").alias("n"))
     return pooled
 
@@ -111,16 +125,23 @@ class MeanPoolEncoder:
         n = self.n_vectors
 
         def build():
-            t = read_model_table(path, ["slot", "embedding"])
-            slots = t.column("slot").to_numpy()
-            if len(slots) != n or (n and not np.array_equal(np.sort(slots), np.arange(n))):
+            # batch by batch into one matrix of the table's own precision: no second copy of it
+            matrix, seen, rows = None, np.zeros(n, dtype=bool), 0
+            for batch in read_model_batches(path, ["slot", "embedding"]):
+                if not batch.num_rows:
+                    continue
+                slots = batch.column("slot").to_numpy(zero_copy_only=False)
+                values = np.asarray(batch.column("embedding").flatten().to_numpy(zero_copy_only=False))
+                rows += len(slots)
+                if rows > n or slots.min() < 0 or slots.max() >= n:
+                    raise ValueError("vector slots must be 0..n-1")
+                if matrix is None:
+                    matrix = np.empty((n, len(values) // len(slots)), dtype=values.dtype)
+                matrix[slots] = values.reshape(len(slots), matrix.shape[1])
+                seen[slots] = True
+            if not seen.all():
                 raise ValueError("vector slots must be 0..n-1")
-            values = np.asarray(t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False),
-                                dtype=np.float64)
-            dim = len(values) // n if n else 0
-            matrix = np.empty((n, dim))
-            matrix[slots] = values.reshape(n, dim)
-            return matrix
+            return np.empty((0, 0)) if matrix is None else matrix
 
         return cached_state(self.key, build)
 
@@ -136,7 +157,7 @@ class MeanPoolEncoder:
         if filled.any():
             flat = np.concatenate([np.asarray(s, dtype=np.int64) for s, f in zip(slot_lists, filled) if f])
             starts = (np.cumsum(lens) - lens)[filled]
-            pooled[filled] = np.add.reduceat(matrix[flat], starts, axis=0) / lens[filled][:, None]
+            pooled[filled] = np.add.reduceat(matrix[flat].astype(np.float64), starts, axis=0) / lens[filled][:, None]
         out = batch.drop(columns=["slots"]).copy()
         out["embedding"] = list(pooled)
         return out

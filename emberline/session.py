@@ -199,3 +199,12 @@ def read_model_table(path: str, columns: list[str]):
     fs, root = _arrow_fs(path)
     dataset = ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True)
     return dataset.to_table(columns=columns)
+
+
+def read_model_batches(path: str, columns: list[str], rows: int = 8192):
+    """As :func:`read_model_table`, but record batches one after the other."""
+    import pyarrow.dataset as ds
+
+    fs, root = _arrow_fs(path)
+    dataset = ds.dataset(root, filesystem=fs, format="parquet", exclude_invalid_files=True)
+    return dataset.to_batches(columns=columns, batch_size=rows, batch_readahead=1, fragment_readahead=1)

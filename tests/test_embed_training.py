@@ -279,3 +279,65 @@ def test_halving_drops_the_worse_half(spark):
         live = set(stay)
     for t in live:
         assert got[t].epochs == 3 and got[t].loss == pytest.approx(full[3][t].loss)
+
+
+def test_vectors_in_ranges_of_slots_give_the_same_texts(spark):
+    from emberline.operators import embed as em
+
+    vecs = spark.createDataFrame([(i, [float(i), i * 0.5 + 1, -float(i)]) for i in range(7)], "slot long, embedding array<float>")
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, 3 * i))) for i in range(9)] + [(9, None)],
+                                 "doc_id long, text string")
+    want = em.embed(docs, vecs, 7)
+    parts = em.embed(docs, vecs, 7, max_broadcast_rows=2)
+    key = lambda r: (r.doc_id, r.dim)
+    assert [(r.doc_id, r.dim, round(r.value, 9)) for r in sorted(parts.collect(), key=key)] == [
+        (r.doc_id, r.dim, round(r.value, 9)) for r in sorted(want.collect(), key=key)]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan  # no vector is moved for a token
+
+
+def test_a_worker_holds_the_vectors_once_in_their_own_precision(spark):
+    import numpy as np
+    import pandas as pd
+
+    from emberline.operators import embed as em
+
+    rows = [(i, [i / 7, -i / 3]) for i in range(50)]
+    vecs = spark.createDataFrame(rows, "slot long, embedding array<float>").repartition(3)
+    enc = em.MeanPoolEncoder(spark, vecs)
+    matrix = enc.load()
+    assert matrix.dtype == np.float32 and matrix.shape == (50, 2)
+    got = enc.predict(pd.DataFrame({"slots": [[3, 4, 4], []]}))["embedding"]
+    exact = np.asarray([rows[i][1] for i in (3, 4, 4)], dtype=np.float32).astype(np.float64).sum(axis=0) / 3
+    assert got[0].tolist() == exact.tolist() and np.isnan(got[1]).all()
+    bad = em.MeanPoolEncoder(spark, vecs.withColumn("slot", vecs.slot + 1))
+    import pytest
+
+    with pytest.raises(ValueError, match="slots"):
+        bad.load()
+
+
+def test_a_mini_batch_is_one_stage(spark, monkeypatch):
+    """The partials of one step's rows are not shuffled, and add up as before."""
+    import numpy as np
+
+    from emberline.operators import training as tr
+
+    rows = [(i, i % 3, [i / 10, 1.0 - i / 7]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, features array<double>").repartition(4)
+    w = np.arange(6, dtype=float).reshape(1, 3, 2) / 5
+    want = tr.pass_stats(df, w, split_col=None)
+    sc = spark.sparkContext
+    sc.setJobGroup("one-step", "one step")
+    try:
+        got = tr.pass_stats(df, w, split_col=None, one_step=True)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("one-step")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got["grad"], want["grad"]) and got["n"] == want["n"]
+    assert np.isclose(got["loss"][(0, "train")], want["loss"][(0, "train")])
+    seen = []
+    monkeypatch.setattr(tr, "pass_stats", lambda *a, **k: (seen.append(k.get("one_step", False)), want)[1])
+    steps = df.withColumn("step_id", df.vec_id % 2)
+    tr.fit_softmax(df, 1, steps=steps, n_classes=3)
+    assert seen == [True, True] and jobs
