@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenise, tokens
-from ..session import has_at_most
+from ..session import has_at_most, join_small, stored
 from .indexing import rank_within
 
 
@@ -119,12 +118,37 @@ def _nucleus_window(counts: DataFrame, top_p: float) -> DataFrame:
     return kept.select("ctx", "next_token", "cnt", "w", "lo", F.sum("w").over(ctx).alias("mass"))
 
 
-def _nucleus_levels(counts: DataFrame, top_p: float, placed: bool) -> DataFrame:
+# Characters of a token by which the tokens of one level are cut into parts; any prefix keeps their order.
+PREFIX = 3
+
+
+def _ranked_parts(rows: DataFrame, largest: int) -> DataFrame:
+    """Adds ``_r``, the place of a token among those of its (ctx, cnt), to rows that
+    have ``m``, how many of them are kept; those of parts beyond ``m`` go.
+
+    Tokens are counted by (ctx, cnt, prefix); a running count over the prefixes
+    says where each part starts, so only the tokens inside one part are sorted
+    together. Parts above ``largest`` rows take the skew-safe :func:`rank_within`."""
+    cut = rows.withColumn("_p", F.substring("next_token", 1, PREFIX))
+    before = Window.partitionBy("ctx", "cnt").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("ctx", "cnt", "m", "_p").agg(F.count(F.lit(1)).alias("_k"))
+    parts = stored(parts.withColumn("_at", F.coalesce(F.sum("_k").over(before), F.lit(0))).filter(
+        F.col("_at") < F.col("m")).drop("m"), "parts")
+    group = ["ctx", "cnt", "_p"]
+    inside = Window.partitionBy(*group).orderBy("next_token")
+    small = cut.join(parts.filter(F.col("_k") <= largest), group).withColumn("_place", F.row_number().over(inside) - 1)
+    large = parts.filter(F.col("_k") > largest)
+    if not large.isEmpty():
+        small = small.unionByName(rank_within(cut.join(large, group), group, [F.col("next_token")], "_place"))
+    return small.withColumn("_r", F.col("_at") + F.col("_place")).drop("_p", "_k", "_at", "_place")
+
+
+def _nucleus_levels(counts: DataFrame, top_p: float, placed: bool, largest: int) -> DataFrame:
     """Hot contexts: work by count level. All tokens of one (ctx, cnt) level
     share a weight, so the running mass is a window over levels (at most
     ~sqrt(2 * total) per context); whole levels are kept or dropped without
-    ranking and only the straddling level ranks its tokens, with the skew-safe
-    :func:`rank_within` (one level may be spread over many tasks). ``placed``
+    ranking and only the straddling level ranks its tokens, by
+    :func:`_ranked_parts` (one level may be spread over many tasks). ``placed``
     ranks the tokens of every kept level, since each needs its place."""
     num, den = _fraction(top_p)
     levels = counts.groupBy("ctx", "cnt", "w").agg(F.count(F.lit(1)).alias("k"))
@@ -136,17 +160,33 @@ def _nucleus_levels(counts: DataFrame, top_p: float, placed: bool) -> DataFrame:
     x = F.lit(num) * F.col("total") - F.lit(den) * F.col("before")
     y = F.lit(den) * F.col("w")
     m = F.when(x <= 0, F.lit(0)).otherwise(F.least(F.col("k"), F.floor((x - 1) / y).cast("long") + 1))
-    lv = lv.select("ctx", "cnt", "k", "before", m.alias("m"), F.sum(m * F.col("w")).over(w_all).alias("mass")).filter(
-        F.col("m") > 0)
+    lv = stored(lv.select("ctx", "cnt", "k", "before", m.alias("m"), F.sum(m * F.col("w")).over(w_all).alias("mass")).filter(
+        F.col("m") > 0), "levels")
     j = counts.join(lv, ["ctx", "cnt"])
     if placed:
-        place = rank_within(j, ["ctx", "cnt"], [F.col("next_token")], "_r").filter(F.col("_r") < F.col("m"))
+        place = _ranked_parts(j, largest).filter(F.col("_r") < F.col("m"))
         return place.select("ctx", "next_token", "cnt", "w", (F.col("before") + F.col("_r") * F.col("w")).alias("lo"), "mass")
     whole = j.filter(F.col("m") == F.col("k")).select("ctx", "next_token", "cnt", "w")
-    cut = rank_within(j.filter(F.col("m") < F.col("k")), ["ctx", "cnt"], [F.col("next_token")], "_r")
+    cut = _ranked_parts(j.filter(F.col("m") < F.col("k")), largest)
     return whole.unionByName(cut.filter(F.col("_r") < F.col("m")).select("ctx", "next_token", "cnt", "w"))
 
 
+# Hash classes of contexts whose rows are counted before any context's are.
+CLASSES = 1 << 17
+
+
+def _hot_contexts(counts: DataFrame, hot_successors: int, max_hot_broadcast: int) -> DataFrame:
+    """``ctx`` of the contexts above ``hot_successors`` rows. Rows are counted by
+    hash class first; contexts are counted only in classes with that many."""
+    cls = F.pmod(F.xxhash64("ctx"), F.lit(CLASSES)).cast("int")
+    keyed = counts.select("ctx", cls.alias("_class"))
+    full = stored(keyed.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_n") > hot_successors).select("_class"), "classes")
+    some = join_small(keyed, full, "_class", max_rows=max_hot_broadcast)
+    return stored(some.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
+                  .filter(F.col("_n") > hot_successors).select("ctx"), "hot")
+
+
 def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
             hot_successors: int = 100_000, max_hot_broadcast: int = 200_000, placed: bool = False) -> DataFrame:
     """Candidates ``(ctx, next_token, cnt, weight)`` whose probability mass
@@ -157,23 +197,24 @@ def nucleus(counts: DataFrame, temperature: float = 1.0, top_p: float = 0.9,
     weight of all candidates of its context: a draw ``u`` in [0, 1) takes the
     candidate with ``lo <= u * mass < lo + weight``.
 
-    Hot groups are split off explicitly: a partial aggregate counts distinct
-    successors per context; contexts above ``hot_successors`` (few, and their
-    number is checked before the list is broadcast) take the level route,
-    all others one bounded window per context."""
+    Hot groups are split off explicitly: contexts above ``hot_successors``
+    distinct successors (few, and their number is checked before the list is
+    broadcast) take the level route, all others one bounded window per context.
+    The weighted counts, the list, and the rows of hot contexts are written
+    tables, each computed once."""
     if temperature <= 0:
         raise ValueError("temperature must be > 0 for sampling; use argmax_model for greedy decoding")
-    counts = _weighted(counts.select("ctx", "next_token", "cnt"), temperature).persist(StorageLevel.MEMORY_AND_DISK)
-    hot = (counts.groupBy("ctx").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_successors).select("ctx"))
+    counts = stored(_weighted(counts.select("ctx", "next_token", "cnt"), temperature), "weighted")
+    hot = _hot_contexts(counts, hot_successors, max_hot_broadcast)
     extra = ["lo", "mass"] if placed else []
     columns = ["ctx", "next_token", "cnt", "w", *extra]
     if hot.isEmpty():
         kept = _nucleus_window(counts, top_p)
     else:
         hot_b = F.broadcast(hot) if has_at_most(hot, max_hot_broadcast) else hot
+        many = stored(counts.join(hot_b, "ctx", "left_semi"), "hot-rows")
         kept = (_nucleus_window(counts.join(hot_b, "ctx", "left_anti"), top_p).select(*columns)
-                .unionByName(_nucleus_levels(counts.join(hot_b, "ctx", "left_semi"), top_p, placed).select(*columns)))
+                .unionByName(_nucleus_levels(many, top_p, placed, hot_successors).select(*columns)))
     return kept.select("ctx", "next_token", "cnt", F.col("w").cast("double").alias("weight"), *extra)
 
 

@@ -76,6 +76,16 @@ def test_level_route_gives_the_same_places(hub, temperature, top_p):
     assert rows(tm.nucleus(hub, temperature, top_p, hot_successors=10)) == sorted(r[:4] for r in plain)
 
 
+def test_levels_are_ranked_in_parts_without_held_memory(spark, hub):
+    """Levels of 600 tokens: parts of about 22 by prefix, below and above the bound."""
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    plain = rows(tm.nucleus(hub, 1.0, 0.77))
+    for largest in (200, 21, 10):
+        assert rows(tm.nucleus(hub, 1.0, 0.77, hot_successors=largest)) == plain
+        if largest == 200:  # no large part: nothing is held
+            assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_hot_context_by_shuffle_joins(spark, hub):
     """A third of all walks in one context: its candidates lie in thousands of
     buckets, and no broadcast of the model is planned."""
