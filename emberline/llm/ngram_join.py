@@ -36,6 +36,7 @@ OP7 = Link(3, 90, 100)
 FREQUENT = 1 << 20  # frequent shingles that are put last in the order, at most
 FREQUENT_FROM = 16  # sets a shingle must be seen in to be one of them
 SKETCH = 64  # counters of a set's sketch
+SLICE_BYTES = 1 << 19  # of text, whose shingles a task makes at once
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -102,7 +103,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int, link: Link) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = state.value
         for batch in batches:
-            for part in byte_slices(batch, 1):
+            for part in byte_slices(batch, 1, SLICE_BYTES):
                 h, counts = shingle_sets(*text_bytes(part.column(1)), link.words)
                 ids = set_ids(h, counts)
                 cell = np.repeat(np.arange(len(counts)), counts) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
@@ -140,7 +141,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
     other sets the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, 0):
+            for part in byte_slices(batch, 0, SLICE_BYTES):
                 h, counts = shingle_sets(*text_bytes(part.column(0)), link.words)
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, counts).view(np.int64)), _lists(h, counts)],
                                                  names=["sid", "set"])

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -247,3 +249,32 @@ def test_near_copies_among_template_lines(spark):
         got = run_lines(spark, rows)
         assert sum(n for (_, text), n in got.items() if not text) == planted
         assert got == brute_lines(rows)
+
+
+def test_shingles_are_made_from_bounded_slices(spark, monkeypatch):
+    """3 MB of short texts in one batch: no step holds more than 512 KB of them."""
+    seen, make = [], ngram_join.shingle_sets
+
+    def measured(raw, offsets, size):
+        seen.append(len(raw))
+        return make(raw, offsets, size)
+
+    class Docs:  # hands back the Arrow function itself
+        sparkSession = spark
+
+        def select(self, *names):
+            self.names = names or self.names
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(ngram_join, "shingle_sets", measured)
+    texts = [f"text {k} " + "of many words " * 70 for k in range(3000)]
+    table = pa.table({"doc_id": range(3000), "th": range(3000), "text": texts})
+    docs = Docs()
+    docs.names = ("doc_id", "text")
+    run = ngram_join._prefixes(docs, np.zeros(0, np.uint64), 2, ngram_join.OP7)
+    out = list(run(table.select(list(docs.names)).to_batches()))
+    assert sum(b.num_rows for b in out) == 3000 and sum(seen) == sum(len(t) for t in texts)
+    assert max(seen) <= 1 << 19
