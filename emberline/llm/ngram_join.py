@@ -91,7 +91,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int, link: Link) -> DataFrame:
-    """``(doc_id, sid, n, prefix, sketch)`` with ``times`` the prefix needed, in
+    """``(doc_id, th, sid, n, prefix, sketch)`` with ``times`` the prefix needed, in
     the order: frequent shingles last, else by hash.
 
     The sketch counts a set's shingles in SKETCH classes of their hash. Shared
@@ -103,8 +103,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int, link: Link) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = state.value
         for batch in batches:
-            for part in byte_slices(batch, 1, SLICE_BYTES):
-                h, counts = shingle_sets(*text_bytes(part.column(1)), link.words)
+            for part in byte_slices(batch, 2, SLICE_BYTES):
+                h, counts = shingle_sets(*text_bytes(part.column(2)), link.words)
                 ids = set_ids(h, counts)
                 cell = np.repeat(np.arange(len(counts)), counts) * SKETCH + (h % np.uint64(SKETCH)).astype(np.int64)
                 sketch = pa.ListArray.from_arrays(
@@ -120,10 +120,11 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, times: int, link: Link) ->
                 place = np.arange(len(h)) - np.repeat(first, counts)
                 h = h[place < np.repeat(take, counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int32)), _lists(h, take),
-                     sketch], names=["doc_id", "sid", "n", "prefix", "sketch"])
+                    [part.column(0), part.column(1), pa.array(ids.view(np.int64)), pa.array(counts.astype(np.int32)),
+                     _lists(h, take), sketch], names=["doc_id", "th", "sid", "n", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n int, prefix array<long>, sketch array<int>")
+    return docs.select("doc_id", "th", "text").mapInArrow(
+        run, "doc_id long, th long, sid long, n int, prefix array<long>, sketch array<int>")
 
 
 def frequent_shingles(prefixes: DataFrame) -> np.ndarray:
@@ -137,8 +138,9 @@ def frequent_shingles(prefixes: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
-    """``(sid, set)`` of the wanted sets, once each. The bitmap spares most
-    other sets the shuffle."""
+    """``(sid, set)`` of the wanted sets ``(sid, th)``, once each. ``th`` is the hash
+    of a text that has the set; only texts that the bitmap of these hashes lets
+    through have their shingles made."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 0, SLICE_BYTES):
@@ -146,9 +148,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, link: Link) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, counts).view(np.int64)), _lists(h, counts)],
                                                  names=["sid", "set"])
 
-    every = docs.select("text").mapInArrow(run, "sid long, set array<long>")
-    few = maybe_in(every, staged(bit_map(wanted, "sid"), "map"), "sid").where("__maybe").groupBy("sid").agg(
-        F.any_value("set").alias("set"))
+    some = maybe_in(docs.select("text", "th"), staged(bit_map(wanted, "th"), "map"), "th").where("__maybe")
+    few = some.select("text").mapInArrow(run, "sid long, set array<long>").groupBy("sid").agg(F.any_value("set").alias("set"))
     return few.join(wanted, "sid", "left_semi")
 
 
@@ -170,20 +171,22 @@ def _joined(pairs: DataFrame, facts: DataFrame, value: str) -> DataFrame:
 
 def _sketched(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
     """``(a, b, both, either)`` of the sketches: no more than the sets differ."""
-    both = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    size = F.aggregate(F.zip_with("x", "y", lambda p, q: p + q), F.lit(0), lambda t, v: t + v)
+    both = F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    size = F.col("x.n") + F.col("y.n")  # a sketch's counters sum to the size of its set
     pairs = staged(pairs, "pairs")
-    out = _joined(pairs, uniques, "sketch").select("a", "b", both.alias("both"), size.alias("__s"))
+    facts = uniques.select("sid", F.struct("n", "sketch").alias("fact"))
+    out = _joined(pairs, facts, "fact").select("a", "b", both.alias("both"), size.alias("__s"))
     out = staged(out.select("a", "b", "both", (F.col("__s") - F.col("both")).alias("either")), "sketched")
     dropped(pairs)
     return out
 
 
-def _verified(docs: DataFrame, sketched: DataFrame, link: Link) -> DataFrame:
+def _verified(docs: DataFrame, uniques: DataFrame, sketched: DataFrame, link: Link) -> DataFrame:
     """The pairs that link by the exact similarity of their whole sets; only
     those whose sketches allow it are read."""
     pairs = staged(_links(sketched, link), "pairs")
-    ends = staged(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "ends")
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    ends = staged(ends.join(uniques.select("sid", "th"), "sid"), "ends")
     sets = staged(_sets(docs, ends, link), "sets")
     both = F.size(F.array_intersect("x", "y"))
     out = staged(_links(_joined(pairs, sets, "set").select(
@@ -255,7 +258,7 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
     first = regions.where("rank = 0").select("region", F.col("sid").alias("p"))
     around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
     sketched = _sketched(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), uniques)
-    links = _verified(docs, sketched, link)
+    links = _verified(docs, uniques, sketched, link)
     # rings as wide as the radius; whole numbers, so that no rounding moves a set
     ring = F.floor((F.col("either") - F.col("both")) * link.den / (F.col("either") * (link.den - link.num)))
     rings = sketched.select("a", "b", ring.cast("int").alias("ring"))
@@ -279,7 +282,7 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
         met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
             F.least("n", "cn") * link.den >= F.greatest("n", "cn") * link.num))
         close = _sketched(met.select(*_pair("sid", "c")).distinct(), uniques)
-        new = _verified(docs, close, link) if not _links(close, link).isEmpty() else None
+        new = _verified(docs, uniques, close, link) if not _links(close, link).isEmpty() else None
         if new is not None and not new.isEmpty():
             before, (regions, linked) = regions, _grouped(regions, forest.unionByName(new))
             dropped(before, forest, new)
@@ -298,13 +301,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component), equal sets always link, repeated ids are rows like any other,
     other columns are ignored, an empty table gives no rows. Sets are known by
     64-bit hashes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("th"))
     first = staged(_prefixes(rows, np.zeros(0, np.uint64), 2, link).select("sid", "n", "prefix"), "prefixes")
     frequent = frequent_shingles(first)
     dropped(first)
     found = staged(_prefixes(rows, frequent, 1, link), "prefixes")
     uniques = staged(found.where("n > 0").groupBy("sid").agg(
-        F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"),
+        F.any_value("n").alias("n"), F.any_value("th").alias("th"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"),
         F.min("doc_id").alias("least"),
         F.count("*").alias("copies")), "uniques")
     comp = set_components(rows, uniques, link).select(F.col("id").alias("sid"), "component")

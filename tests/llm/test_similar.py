@@ -278,3 +278,16 @@ def test_shingles_are_made_from_bounded_slices(spark, monkeypatch):
     out = list(run(table.select(list(docs.names)).to_batches()))
     assert sum(b.num_rows for b in out) == 3000 and sum(seen) == sum(len(t) for t in texts)
     assert max(seen) <= 1 << 19
+
+
+def test_sets_are_made_of_texts_that_have_them_only(spark):
+    """The filter on text hashes comes before the shingles; the sets are whole."""
+    rows = [(k, f"alpha beta {k} gamma delta {k} epsilon") for k in range(200)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    found = ngram_join._prefixes(docs, np.zeros(0, np.uint64), 1, ngram_join.OP7).where("doc_id in (3, 77)")
+    wanted = spark.createDataFrame(found.select("sid", "th").collect(), "sid long, th long")
+    sets = ngram_join._sets(docs, wanted, ngram_join.OP7)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("__map")
+    got = {r["sid"]: sorted(r["set"]) for r in sets.collect()}
+    assert set(got) == {r["sid"] for r in wanted.collect()} and {len(s) for s in got.values()} == {5}
