@@ -37,6 +37,8 @@ FREQUENT = 1 << 20  # frequent shingles that are put last in the order, at most
 FREQUENT_FROM = 16  # sets a shingle must be seen in to be one of them
 SKETCH = 64  # counters of a set's sketch
 SLICE_BYTES = 1 << 19  # of text, whose shingles a task makes at once
+BLOCK = 1 << 10  # members of a region that one task compares with as many others
+MET = 1 << 16  # pairs of sketches a task holds at once
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -181,10 +183,10 @@ def _sketched(pairs: DataFrame, uniques: DataFrame) -> DataFrame:
     return out
 
 
-def _verified(docs: DataFrame, uniques: DataFrame, sketched: DataFrame, link: Link) -> DataFrame:
-    """The pairs that link by the exact similarity of their whole sets; only
-    those whose sketches allow it are read."""
-    pairs = staged(_links(sketched, link), "pairs")
+def _verified(docs: DataFrame, uniques: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
+    """Of the pairs ``(a, b)``, whose sketches allow a link, those that link by the
+    exact similarity of their whole sets."""
+    pairs = staged(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     ends = staged(ends.join(uniques.select("sid", "th"), "sid"), "ends")
     sets = staged(_sets(docs, ends, link), "sets")
@@ -204,21 +206,91 @@ def _pair(x: str, y: str) -> list:
 
 
 def _grouped(regions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions with each set's component so far as ``grp``, without those that
-    are all one component and done; and the components as links, one for each
-    set, for the next time."""
+    """Regions with each set's component so far as ``grp`` and their number of
+    members as ``many``, without those that are all one component and done; and
+    the components as links, one for each set, for the next time."""
     comp = connected(links)
     named = comp.select(F.col("id").alias("sid"), F.col("component").alias("__c"))
-    now = staged(regions.drop("grp").join(named, "sid", "left").withColumn("grp", F.coalesce("__c", "sid")).drop("__c"), "grouped")
+    now = staged(regions.drop("grp", "many").join(named, "sid", "left").withColumn("grp", F.coalesce("__c", "sid")).drop("__c"), "grouped")
     mixed = now.groupBy("region").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = staged(mixed.select("region", "n"), "mixed")
     total = now.count()
     hot = mixed.where(F.col("n") > max(1000, total // HOT_KEYS)) if total > 1000 else None
-    out = staged(salted_join(now, mixed.select("region"), "region", hot, ["sid"]), "regions")
+    out = staged(salted_join(now, mixed.select("region", F.col("n").alias("many")), "region", hot, ["sid"]), "regions")
     dropped(now, mixed)
     return out, comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
+def _close(link: Link, stop: int):
+    """Pairs ``(a, b)`` of sets in one seat (rows sorted by seat and rank) that may
+    link: each member that asks (``side`` 0 or 2, rank below ``stop``) with the
+    members after it (``side`` 1 or 2), where components differ, the rings touch
+    and sizes and sketches allow it. Only such pairs leave the task."""
+    def compared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        seat, sid, n, rank, grp, ring, side = (rows[c].to_numpy() for c in ("seat", "sid", "n", "rank", "grp", "ring", "side"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        new = np.flatnonzero(np.concatenate([[True], seat[1:] != seat[:-1]]))
+        ends = np.repeat(np.append(new[1:], len(seat)), np.diff(np.append(new, len(seat))))
+        asks = np.flatnonzero((rank < stop) & (side != 1))
+        after = ends[asks] - asks - 1
+        total = np.cumsum(after)
+        at = 0
+        while at < len(asks):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + MET, side="right")))
+            some = after[at:to]
+            i = np.repeat(asks[at:to], some)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+            at = to
+            may = (side[j] != 0) & (grp[i] != grp[j]) & (np.abs(ring[i] - ring[j]) <= 1) & (
+                np.minimum(n[i], n[j]) * link.den >= np.maximum(n[i], n[j]) * link.num)
+            i, j = i[may], j[may]
+            x, y = sketch[i], sketch[j]
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)  # the sets differ in as many shingles at least
+            size = n[i] + n[j]
+            near = (size - apart) * link.den >= (size + apart) * link.num
+            a, b = sid[i[near]], sid[j[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            seat = rows["seat"].to_numpy()
+            whole = int(np.flatnonzero(seat != seat[-1])[-1]) + 1 if len(seat) and seat[0] != seat[-1] else 0
+            if whole:
+                yield from compared(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None and held.num_rows:
+            yield from compared(held)
+
+    return run
+
+
+def _met(regions: DataFrame, uniques: DataFrame, start: int, width: int, link: Link) -> DataFrame:
+    """``(a, b)``: the members of ranks from ``start`` with those after them, where
+    ``_close`` leaves a chance. A region is cut into blocks of BLOCK ranks, and
+    each block that asks meets each from it on in a seat of their own: a task
+    holds two blocks at most and makes no rows but the pairs found."""
+    block = F.floor(F.col("rank") / BLOCK).cast("int")
+    last = F.floor((F.col("many") - 1) / BLOCK).cast("int")
+    stop = start + width
+
+    def seat(i, j, side: int):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    asked = F.filter(F.sequence(F.lit(start // BLOCK), F.greatest(F.least(block, F.lit((stop - 1) // BLOCK)), F.lit(start // BLOCK))), lambda k: k < block)
+    asks = F.filter(F.sequence(block, last), lambda k: (k > block) & (F.col("rank") < stop))
+    seats = F.concat(F.transform(asked, lambda k: seat(k, block, 1)), F.transform(asks, lambda k: seat(block, k, 0)),
+                     F.when(block <= (stop - 1) // BLOCK, F.array(seat(block, block, 2))).otherwise(F.array()))
+    sketch = F.expr("unhex(array_join(transform(sketch, v -> lpad(hex(least(v, 255)), 2, '0')), ''))")
+    rows = regions.where((F.col("rank") >= start) & (F.col("many") > start + 1)).join(uniques.select("sid", sketch.alias("sketch")), "sid")
+    dealt = rows.select("region", "sid", F.col("n").cast("long").alias("n"), "rank", "grp", "ring", "sketch", F.explode(seats).alias("s")).select(
+        F.xxhash64("region", "s.i", "s.j").alias("seat"), "sid", "n", "rank", "grp", "ring", "s.side", "sketch")
+    return dealt.repartition("seat").sortWithinPartitions("seat", "rank").mapInArrow(
+        _close(link, stop), "a long, b long").distinct()
+
+
 def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame:
     """``(id, component)`` over set ids: the components of all links.
 
@@ -232,10 +304,12 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
        larger, so what is too far apart there cannot link; members that may be
        within the radius are verified on the whole sets.
     3. Members that are still of different components meet in rounds: the next
-       32, 128, 512 ... members of the region are compared with those after them,
+       32, 1024, 8192 ... members of the region are compared with those after them,
        but only where the triangle inequality over the pivot leaves a chance
        (rings of the radius, and one ring to each side), sizes allow a link,
-       and the components differ. Regions of one component leave.
+       and the components differ. They meet inside a task that holds a block of
+       the region (``_met``), so pairs that sketches rule out are never rows.
+       Regions of one component leave.
     Every pair of a region is measured, known to be connected, or ruled out,
     so no link between components is lost."""
     cells = uniques.select("sid", "n", F.explode("prefix").alias("t"))
@@ -258,7 +332,7 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
     first = regions.where("rank = 0").select("region", F.col("sid").alias("p"))
     around = staged(salted_join(regions, first, "region", hot, ["sid"]), "around")
     sketched = _sketched(around.where("sid <> p").select(*_pair("sid", "p")).unionByName(twos).distinct(), uniques)
-    links = _verified(docs, uniques, sketched, link)
+    links = _verified(docs, uniques, _links(sketched, link), link)
     # rings as wide as the radius; whole numbers, so that no rounding moves a set
     ring = F.floor((F.col("either") - F.col("both")) * link.den / (F.col("either") * (link.den - link.num)))
     rings = sketched.select("a", "b", ring.cast("int").alias("ring"))
@@ -270,25 +344,16 @@ def set_components(docs: DataFrame, uniques: DataFrame, link: Link) -> DataFrame
     start, width = 1, 32
     while True:
         top = regions.agg(F.max("rank").alias("r")).first()["r"]
-        if top is None or top < start:
+        if top is None or top <= start:
             return connected(forest)
-        cell = F.xxhash64("region", "ring")
-        asks = regions.where(F.col("rank").between(start, start + width - 1)).select(
-            "region", F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("rank").alias("cr"), F.col("grp").alias("cg"),
-            F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring")).select(
-            "c", "cn", "cr", "cg", cell.alias("cell"))
-        rest = regions.where(F.col("rank") >= start).select("sid", "n", "rank", "grp", cell.alias("cell"))
-        met = salted_join(rest, asks, "cell", _often(rest, "cell", held), ["sid"])
-        met = met.where((F.col("rank") > F.col("cr")) & (F.col("grp") != F.col("cg")) & (
-            F.least("n", "cn") * link.den >= F.greatest("n", "cn") * link.num))
-        close = _sketched(met.select(*_pair("sid", "c")).distinct(), uniques)
-        new = _verified(docs, uniques, close, link) if not _links(close, link).isEmpty() else None
+        close = staged(_met(regions, uniques, start, width, link), "met")
+        new = _verified(docs, uniques, close, link) if not close.isEmpty() else None
         if new is not None and not new.isEmpty():
             before, (regions, linked) = regions, _grouped(regions, forest.unionByName(new))
             dropped(before, forest, new)
             forest = linked
         dropped(close)
-        start, width = start + width, width * 4
+        start, width = start + width, width * 32
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: Link = OP7) -> DataFrame:

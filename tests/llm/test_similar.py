@@ -80,6 +80,35 @@ def test_frequent_shingles_only_change_the_order(spark, monkeypatch):
     assert run_join(spark, rows) == brute_components(rows)
 
 
+def test_regions_of_any_number_of_blocks(spark, monkeypatch):
+    rows = near_copies(12, families=2, members=70)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "MET", 50)
+    assert run_join(spark, rows) == brute_components(rows)
+
+
+def test_sets_just_outside_the_radius_are_no_rows(spark, monkeypatch):
+    """240 texts of one template, all apart, and a few copies: pairs that only meet
+    in a region stay inside its task."""
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(140)]
+    rows = [(k, " ".join(shared + [f"o{k}x{j}" for j in range(12)])) for k in range(240)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(0, 240, 60)]
+    rng.shuffle(rows)
+    held, stage = [], ngram_join.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        if set(out.columns) >= {"a", "b"}:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    assert run_join(spark, rows) == brute_components(rows)
+    assert max(held) <= 10 * len(rows)
+
+
 # ---- lines -------------------------------------------------------------------
 
 def python_shingles(line):
