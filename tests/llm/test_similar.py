@@ -280,6 +280,31 @@ def test_near_copies_among_template_lines(spark):
         assert got == brute_lines(rows)
 
 
+def test_long_lines_of_a_template_are_no_pairs(spark, monkeypatch):
+    """The sketch of long lines is as fine as they need: lines far apart are not verified."""
+    rows, planted = template_lines(21, 90, 900, 260)
+    held, stage = [], lines.staged
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "pairs":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    assert run_lines(spark, rows) == brute_lines(rows)
+    assert len(held) == 3 and held[1] <= 2 * planted
+
+
+def test_a_pair_of_many_buckets_is_said_once(monkeypatch):
+    monkeypatch.setattr(lines, "FOUND", 4)
+    names = ["seat", "side", "a", "grp", "size", "odd", "fine"]
+    rows = [(seat, 0, a, a, 30, b"\0" * 32, b"") for seat in range(9) for a in (3, 7)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    out = pa.Table.from_batches(lines._close(0.8)(iter([batch]))).to_pylist()
+    assert out == [{"a": 3, "b": 7}]
+
+
 def test_shingles_are_made_from_bounded_slices(spark, monkeypatch):
     """3 MB of short texts in one batch: no step holds more than 512 KB of them."""
     seen, make = [], ngram_join.shingle_sets
