@@ -280,6 +280,29 @@ def test_near_copies_among_template_lines(spark):
         assert got == brute_lines(rows)
 
 
+def test_line_work_holds_bounded_slices(monkeypatch):
+    """3 MB of short texts in one batch: lines are made of 512 KB at a time, and cells
+    leave a task 3 MB at a time (and what one slice adds)."""
+    seen, make = [], lines.line_spans
+
+    def measured(raw, offsets):
+        seen.append(len(raw))
+        return make(raw, offsets)
+
+    class Texts:  # hands back the Arrow function itself
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(lines, "line_spans", measured)
+    rng = random.Random(2)
+    texts = ["\n".join(f"line {rng.random()} of {rng.random()}" for _ in range(25)) for _ in range(3000)]
+    batches = pa.table({"text": texts}).to_batches()
+    out = list(lines._packed_cells(Texts(), 4, 0.8)(iter(batches)))
+    assert sum(seen) == sum(len(t) for t in texts) and max(seen) <= 1 << 19
+    held = [sum(len(x.as_py()) for x in b.column(1)) for b in out]
+    assert sum(held) > 10 << 20 and max(held) <= 8 << 20
+
+
 def test_long_lines_of_a_template_are_no_pairs(spark, monkeypatch):
     """The sketch of long lines is as fine as they need: lines far apart are not verified."""
     rows, planted = template_lines(21, 90, 900, 260)
