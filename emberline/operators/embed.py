@@ -11,25 +11,34 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyarrow.fs import FileType
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from ..functions.hashing import md5_bucket
 from ..functions.text import tokens
-from ..session import has_at_most, prepare, read_model_batches, shuffle_partitions, write_model_table
+from ..session import (
+    _arrow_fs, has_at_most, prepare, read_model_batches, scratch_path, shuffle_partitions, write_model_table)
 from .batching import _rebatch_by_count, _rebatch_by_key
 from .generate import cached_state
 from .indexing import dense_index
 
 # Fixed value: tokens kept per text by the encoder.
 MAX_TOKENS = 128
-# Broadcasts that a table of vectors may be cut into.
-BLOCKS = 4
+# Ranges of slots that a table of vectors may be cut into; a task reads one after the other.
+BLOCKS = 128
+# Tokens and texts a task holds while it reads the ranges, and tokens whose vectors it holds at once.
+HELD_TOKENS, HELD_TEXTS, GATHERED = 1 << 22, 1 << 15, 1 << 16
 
 
 def truncate_tokens(df: DataFrame, text_col: str = "text", max_len: int = MAX_TOKENS) -> DataFrame:
@@ -57,39 +66,153 @@ def vector_column(vec_col: str):
     return array_to_vector(F.transform(F.col(vec_col), lambda x: x.cast("double")))
 
 
+def _slot_ranges(vectors: DataFrame, size: int) -> str:
+    """The vectors in the shared folder, one subfolder for each ``size`` slots."""
+    path = scratch_path(vectors.sparkSession, "vector-ranges")
+    block = F.floor(F.col("slot") / F.lit(size)).cast("long").alias("block")
+    vectors.where("slot is not null").select("slot", "embedding", block).repartition("block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def _read_range(path: str, block: int, size: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Inside a Python worker: the vectors of a range's slots (of a slot with several, their
+    sum), in the table's own precision, and how many each slot has; None if it has none."""
+    folder = f"{path}/block={block}"
+    fs, where = _arrow_fs(folder)
+    if fs.get_file_info(where).type == FileType.NotFound:
+        return None
+    matrix, times = None, np.zeros(size, np.int64)
+    for batch in read_model_batches(folder, ["slot", "embedding"]):
+        if not batch.num_rows:
+            continue
+        at = batch.column("slot").to_numpy(zero_copy_only=False) - block * size
+        vector = batch.column("embedding")
+        dim = set(pa.compute.list_value_length(vector).unique().to_pylist())
+        if len(dim) != 1 or (matrix is not None and dim != {matrix.shape[1]}) or vector.flatten().null_count:
+            raise ValueError("vectors must be whole and of one length")
+        values = vector.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        if matrix is None:
+            matrix = np.zeros((size, values.shape[1]), values.dtype)
+        met = np.bincount(at, minlength=size)
+        if ((times + met) > 1).any():
+            matrix = matrix.astype(np.float64)
+            np.add.at(matrix, at, values)
+        else:
+            matrix[at] = values
+        times += met
+    return None if matrix is None else (matrix, times)
+
+
+def _sum_texts(path: str, size: int, slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Sums of the vectors of each text's slots, range after range, and how many vectors they are."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    block = slots // size
+    order = np.argsort(block.astype(np.int16) if len(block) and block.max() < 1 << 15 else block, kind="stable")
+    some, first = np.unique(block[order], return_index=True)
+    sums, n = None, np.zeros(len(counts), np.int64)
+    for b, lo, hi in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+        found = _read_range(path, b, size)
+        if found is None:
+            continue
+        matrix, times = found
+        if sums is None:
+            sums = np.zeros((len(counts), matrix.shape[1]))
+        elif sums.shape[1] != matrix.shape[1]:
+            raise ValueError("vectors must be whole and of one length")
+        for at in range(lo, hi, GATHERED):  # in the texts' order: a text is one run
+            mine = order[at:min(at + GATHERED, hi)]
+            where, owner = slots[mine] - b * size, text[mine]
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sums[owner[starts]] += np.add.reduceat(matrix[where].astype(np.float64), starts, axis=0)
+            n[owner[starts]] += np.add.reduceat(times[where], starts)
+    return sums, n
+
+
+def _pooled_by_range(rows: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
+    """``(keys, mean array, n)`` of each row ``(keys, slots)`` that meets a vector. Neither
+    texts nor vectors are shuffled: a task holds texts of HELD_TOKENS tokens and reads
+    the ranges of slots from the shared folder, one at a time."""
+    prepare(rows.sparkSession)
+    path = _slot_ranges(vectors, size)
+    schema = StructType([f for f in rows.schema.fields if f.name != "slots"]).add("mean", ArrayType(DoubleType())).add("n", LongType())
+    out_schema = to_arrow_schema(schema)
+    keys = [f.name for f in schema.fields[:-2]]
+    place = rows.columns.index("slots")
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [b.column(place) for b in held]
+        counts = np.concatenate([pa.compute.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False) for x in lists])
+        slots = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        sums, n = _sum_texts(path, size, slots, counts.astype(np.int64))
+        if sums is None:
+            return
+        first = 0
+        for batch in held:
+            last = first + batch.num_rows
+            own = np.flatnonzero(n[first:last])
+            for lo in range(0, len(own), 2048):
+                mine = own[lo:lo + 2048]
+                mean = sums[first + mine] / n[first + mine][:, None]
+                lists = pa.ListArray.from_arrays(np.arange(len(mine) + 1, dtype=np.int32) * mean.shape[1], pa.array(mean.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(batch.schema.get_field_index(k)).take(pa.array(mine)).cast(out_schema.field(k).type) for k in keys),
+                     lists.cast(out_schema.field("mean").type), pa.array(n[first + mine])], schema=out_schema)
+            first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, count = [], 0, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                held.append(batch)
+                texts += batch.num_rows
+                count += pa.compute.sum(pa.compute.list_value_length(batch.column(place))).as_py() or 0
+                if count >= HELD_TOKENS or texts >= HELD_TEXTS:
+                    yield from flush(held)
+                    held, texts, count = [], 0, 0
+        if held:
+            yield from flush(held)
+
+    return rows.mapInArrow(run, schema)
+
+
 def pooled_vectors(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_id", text_col: str = "text",
-                   max_len: int = MAX_TOKENS, keep: tuple[str, ...] = (), max_broadcast_rows: int = 200_000) -> DataFrame:
+                   max_len: int = MAX_TOKENS, keep: tuple[str, ...] = (), max_broadcast_rows: int = 50_000) -> DataFrame:
     """``(id, *keep, mean vector, n)`` per text with tokens, ``n`` its kept tokens.
 
-    Tokens (at most ``max_len``) are hashed to slots and counted before any
-    shuffle, so a text becomes one row for each distinct slot. These meet
-    the vectors, whole, and one weighted vector aggregate per text sums them up: no
-    row is multiplied by the dimension. The vectors are broadcast while their table
-    is proven small, or in up to BLOCKS ranges of slots of that size: a text's sum
-    over a range is one row before any shuffle. Beyond, a shuffle join moves a vector
-    for each row."""
+    A table that has ``slots`` (:func:`token_slots`) needs no text. While the table of
+    vectors is proven small it is broadcast: tokens (at most ``max_len``) are hashed to
+    slots and counted, these meet the vectors, whole, and one weighted vector
+    aggregate per text sums them up: no row is multiplied by the dimension. A larger
+    one is cut into ranges of that many slots in the shared folder, which the tasks
+    that hold the texts read one after the other; rows that repeat an id are added up
+    after that. Beyond BLOCKS ranges, a shuffle join moves a vector for each row."""
     keys = [id_col, *keep]
+    small = has_at_most(vectors, max_broadcast_rows)
+    if not small and has_at_most(vectors, BLOCKS * max_broadcast_rows):
+        rows = df.select(*keys, "slots") if "slots" in df.columns else token_slots(df, n_vectors, id_col, text_col, max_len, keep)
+        pooled = _pooled_by_range(rows, vectors, max_broadcast_rows).withColumn("mean", array_to_vector("mean"))
+        again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+        if again.isEmpty():
+            return pooled
+        return pooled.groupBy(*keys).agg(Summarizer.mean(F.col("mean"), F.col("n")).alias("mean"), F.sum("n").alias("n"))
     # outer: a plain explode would have the tokens made twice, once to see that there are any
-    toks = df.select(*keys, F.explode_outer(F.slice(tokens(text_col), 1, max_len)).alias("_t")).where("_t is not null")
-    per_slot = toks.groupBy(*keys, md5_bucket(n_vectors, F.col("_t")).alias("slot")).agg(F.count(F.lit(1)).alias("_c"))
-    table = vectors.select("slot", vector_column("embedding").alias("_v"))
-    if has_at_most(table, max_broadcast_rows):
-        hit = per_slot.join(F.broadcast(table), "slot")
-    elif has_at_most(table, BLOCKS * max_broadcast_rows):
-        hit = None
-        for first in range(0, n_vectors, max_broadcast_rows):
-            here = F.col("slot").between(first, first + max_broadcast_rows - 1)
-            block = per_slot.where(here).join(F.broadcast(table.where(here)), "slot").groupBy(*keys).agg(
-                Summarizer.mean(F.col("_v"), F.col("_c")).alias("_v"), F.sum("_c").alias("_c"))
-            hit = block if hit is None else hit.unionByName(block)
+    if "slots" in df.columns:
+        toks = df.select(*keys, F.explode_outer("slots").alias("slot")).where("slot is not null").select(
+            *keys, F.col("slot").cast("long").alias("slot"))
+        slot = F.col("slot")
     else:
-        hit = per_slot.join(table, "slot")
+        toks = df.select(*keys, F.explode_outer(F.slice(tokens(text_col), 1, max_len)).alias("_t")).where("_t is not null")
+        slot = md5_bucket(n_vectors, F.col("_t")).alias("slot")
+    per_slot = toks.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("_c"))
+    table = vectors.select("slot", vector_column("embedding").alias("_v"))
+    hit = per_slot.join(F.broadcast(table) if small else table, "slot")
     pooled = hit.groupBy(*keys).agg(Summarizer.mean(F.col("_v"), F.col("_c")).alias("mean"), F.sum("_c").alias("n"))
     return pooled
 
 
 def embed(df: DataFrame, vectors: DataFrame, n_vectors: int, id_col: str = "doc_id", text_col: str = "text",
-          max_len: int = MAX_TOKENS, pad_to: str | None = None, max_broadcast_rows: int = 200_000) -> DataFrame:
+          max_len: int = MAX_TOKENS, pad_to: str | None = None, max_broadcast_rows: int = 50_000) -> DataFrame:
     """Mean-pooled vector per text, long form ``(id, dim, value)``.
 
     Masked mean by default; with ``pad_to`` (a column with a padded length) the

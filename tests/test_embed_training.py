@@ -341,3 +341,40 @@ def test_a_mini_batch_is_one_stage(spark, monkeypatch):
     steps = df.withColumn("step_id", df.vec_id % 2)
     tr.fit_softmax(df, 1, steps=steps, n_classes=3)
     assert seen == [True, True] and jobs
+
+
+def test_texts_meet_ranges_of_slots_without_a_shuffle(spark):
+    """More vectors than one broadcast takes: no text, token or vector is shuffled or broadcast.
+    Repeated ids are one text, null ids too; slots without a vector do not count."""
+    rows = [(i, [float(i), i * 0.5 + 1]) for i in range(9) if i != 4]
+    vecs = spark.createDataFrame(rows, "slot long, embedding array<float>")
+    texts = [(i, " ".join(f"w{j}" for j in range(i, 3 * i))) for i in range(12)]
+    texts += [(None, "w1 w2"), (None, "w3"), (5, "w5 w9"), (20, None), (21, " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    once = docs.where("doc_id <> 5")
+    plan = plan_of(em.embed(once, vecs, 9, max_broadcast_rows=3))
+    assert "Join" not in plan and "Aggregate" not in plan
+    for df in (docs, once, docs.limit(0)):
+        want = {(r.doc_id, r.dim): r.value for r in em.embed(df, vecs, 9).collect()}
+        got = em.embed(df, vecs, 9, max_broadcast_rows=3).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.dim) for r in got} == set(want)
+        assert all(abs(want[r.doc_id, r.dim] - r.value) < 1e-9 for r in got)
+    slots = em.token_slots(docs, 9, "doc_id").withColumn("pad", F.lit(7)).withColumn("slots", F.col("slots").cast("array<int>"))
+    want = {(r.doc_id, r.dim): r.value for r in em.embed(docs.withColumn("pad", F.lit(7)), vecs, 9, pad_to="pad").collect()}
+    for most in (3, 50_000):
+        got = {(r.doc_id, r.dim): r.value for r in em.embed(slots, vecs, 9, pad_to="pad", max_broadcast_rows=most).collect()}
+        assert got.keys() == want.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_sums_by_range_hold_few_tokens_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 4)).astype(np.float32)
+    vecs = spark.createDataFrame([(i, x[i].tolist()) for i in range(50)], "slot long, embedding array<float>")
+    path = em._slot_ranges(vecs, 16)
+    counts = rng.integers(0, 9, 200)
+    slots = rng.integers(0, 50, counts.sum())
+    monkeypatch.setattr(em, "GATHERED", 7)
+    sums, n = em._sum_texts(path, 16, slots, counts)
+    want = np.zeros((200, 4))
+    np.add.at(want, np.repeat(np.arange(200), counts), x[slots].astype(float))
+    assert np.allclose(sums, want, atol=1e-9) and (n == counts).all()
