@@ -26,7 +26,7 @@ from ..operators import sampling as smp
 from ..operators import sweep as sw
 from ..operators import textmodel as tm
 from ..operators import training as tr
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sinks import writers as wr
 from ..sources import files as fs
 from ..sources import prompts as src
@@ -416,9 +416,12 @@ def embed_pad_to_batch(spark, sf_dir):
     kept = table(spark, sf_dir, "documents").select("doc_id", F.size(F.slice(tokens("text"), 1, em.MAX_TOKENS)).alias("k"))
     batched = doc_batches(spark, sf_dir, kept)
     padded = batched.groupBy("batch_id").agg(F.max("k").alias("padded"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(
-        batched.select("doc_id", "batch_id").join(padded, "batch_id").select("doc_id", "padded"), "doc_id")
-    out = em.embed(docs, vecs, n, pad_to="padded")
+    lengths = stored(batched.select("doc_id", "batch_id").join(padded, "batch_id").select("doc_id", "padded"), "padded")
+    slots = em.token_slots(table(spark, sf_dir, "documents"), n, "doc_id")
+    if n < 1 << 31:  # slots pass the join, not texts
+        slots = slots.withColumn("slots", F.col("slots").cast("array<int>"))
+    # the lengths are the built side, whatever their size: nothing is sorted or passes the driver
+    out = em.embed(slots.join(lengths.hint("shuffle_hash"), "doc_id"), vecs, n, pad_to="padded")
     return out.select("doc_id", "dim", r6(F.col("value")).alias("value"))
 
 

@@ -378,3 +378,12 @@ def test_sums_by_range_hold_few_tokens_at_a_time(spark, monkeypatch):
     want = np.zeros((200, 4))
     np.add.at(want, np.repeat(np.arange(200), counts), x[slots].astype(float))
     assert np.allclose(sums, want, atol=1e-9) and (n == counts).all()
+
+
+def test_padded_texts_do_not_pass_a_join(spark):
+    from emberline.plans import catalog
+
+    out = catalog.QUERIES["embed_pad_to_batch"](spark, SF_SMALL)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line and "doc_id#" in line)
+    assert " AS slots#" in lines[join + 1]  # the side that had the texts
