@@ -132,3 +132,31 @@ def test_doubling_where_all_tokens_lead_to_one(spark, max_tokens):
     prompts = spark.createDataFrame(list(enumerate(starts)), "prompt_id long, prompt string")
     got = rows(gen.generate_joined(prompts, model, params))
     assert got == [(k, 0, *greedy(table, t, params)) for k, t in enumerate(starts)]
+
+
+def test_tables_of_the_model_go_when_their_successors_are_written(spark, counts, prompts, tmp_dir):
+    """Disk holds one form of the model at a time; given tables stay."""
+    import os
+
+    from emberline.session import ensure_checkpoint_dir, released
+
+    def folder(df):
+        return df.inputFiles()[0].rsplit("/", 1)[0].split(":", 1)[1]
+
+    params = gen.SamplingParams(temperature=1.0, top_p=0.9, max_tokens=11, n=2)
+    lazy = tm.nucleus(counts, 1.0, 0.9, hot_successors=3, placed=True)
+    model = gen._stored(lazy, "nucleus")
+    first = {path.rsplit("/", 1)[0].split(":", 1)[1] for path in lazy.inputFiles()}
+    released(spark, lazy)
+    assert first and not any(os.path.exists(f) for f in first)
+    scratch = os.path.join("/" + ensure_checkpoint_dir(spark).split(":", 1)[-1].lstrip("/"), "scratch")
+    before, own = set(os.listdir(scratch)), folder(model)
+    want = rows(smp.generate_sampled(prompts, model, params))
+    assert os.path.exists(own) and want == by_predictor(spark, prompts, counts, params)
+    assert rows(smp.generate_sampled(prompts, model, params, own=True)) == want
+    assert not os.path.exists(own)
+    assert not [f for f in set(os.listdir(scratch)) - before if f.startswith("contexts")]
+    counts.limit(3).write.parquet(tmp_dir + "/given")
+    given = spark.read.parquet(tmp_dir + "/given")
+    released(spark, given)
+    assert given.count() == 3
